@@ -137,7 +137,7 @@ def tokenize_default(c) -> Column:
 def tokens_no_punct(c) -> Column:
     """Lower, word-tokenise, drop tokens that are a substring of the punctuation string."""
     punct = F.lit(PUNCTUATION)
-    return F.filter(tokenize_words(F.lower(col_(c))), lambda t: F.locate(t, punct) == 0)
+    return F.filter(tokenize_words(F.lower(col_(c))), lambda t: ~F.contains(punct, t))
 
 
 # T13

@@ -63,7 +63,7 @@ def filter_rules(spark, sf_dir):
     return P.filter_disjunction_rules(annotated(spark, sf_dir), DROP_RULES).select("doc_id", "sentiment", "polarity")
 
 
-@query("null_count", sql="SELECT lang, count_if(text IS NULL) AS n_null FROM documents GROUP BY lang")
+@query("null_count", sql="SELECT lang, CAST(count_if(text IS NULL) AS BIGINT) AS n_null FROM documents GROUP BY lang")
 def null_count(spark, sf_dir):
     return P.null_count(table(spark, sf_dir, "documents"), "text", "lang")
 

@@ -50,3 +50,82 @@ def tfidf_top_terms(spark, sf_dir):
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     top = TF.top_terms_by_mean_tfidf(tfidf, n_docs, 20)
     return top.select("term", F.round("mean_tfidf", DIGITS).alias("mean_tfidf"))
+
+
+@query("tfidf_vocabulary", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL}
+SELECT term, term_index, df, round(idf, {DIGITS}) AS idf, n_docs FROM model""")
+def tfidf_vocabulary(spark, sf_dir):
+    """C6 fit + C7 sorted vocabulary index (term_index by range-partitioned sort, no
+    single-partition window)."""
+    m = TF.tfidf_fit(clean_tokens(spark, sf_dir))
+    return m.select("term", "term_index", "df", F.round("idf", DIGITS).alias("idf"), "n_docs")
+
+
+@query("tfidf_doc_terms", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL}
+SELECT doc_id, term, term_index, tf, round(tfidf, {DIGITS}) AS tfidf FROM tfidf""")
+def tfidf_doc_terms(spark, sf_dir):
+    """Long-form tf-idf of every (document, term), L2-normalised per document."""
+    docs = clean_tokens(spark, sf_dir)
+    t = TF.tfidf_transform(docs, TF.tfidf_fit(docs))
+    return t.select("doc_id", "term", "term_index", "tf", F.round("tfidf", DIGITS).alias("tfidf"))
+
+
+@query("tfidf_default_tokenizer", sql=f"""WITH {DEFAULT_TOKENS_SQL}, {TFIDF_SQL}
+SELECT term, round(sum(tfidf) / (SELECT n_docs FROM ndocs), {DIGITS}) AS mean_tfidf
+FROM tfidf GROUP BY term ORDER BY sum(tfidf) DESC, term LIMIT 20""")
+def tfidf_default_tokenizer(spark, sf_dir):
+    """C6/C8/C9 with the vectoriser's default tokenizer (lower, runs of >= 2 word chars)."""
+    docs = default_tokens(spark, sf_dir)
+    tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
+    top = TF.top_terms_by_mean_tfidf(tfidf, docs.agg(F.count(F.lit(1)).alias("n_docs")), 20)
+    return top.select("term", F.round("mean_tfidf", DIGITS).alias("mean_tfidf"))
+
+
+@query("tfidf_heatmap", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL},
+top AS (SELECT term FROM tfidf GROUP BY term ORDER BY sum(tfidf) DESC, term LIMIT 10),
+first_docs AS (SELECT doc_id FROM docs ORDER BY doc_id LIMIT 10)
+SELECT f.doc_id, t.term, round(coalesce(x.tfidf, 0.0), {DIGITS}) AS tfidf
+FROM first_docs f CROSS JOIN top t LEFT JOIN tfidf x ON x.doc_id = f.doc_id AND x.term = t.term""")
+def tfidf_heatmap(spark, sf_dir):
+    """First 10 documents x top-10 mean-tf-idf terms, zero filled (a fixed 10x10 block)."""
+    docs = clean_tokens(spark, sf_dir)
+    tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
+    top = TF.top_terms_by_mean_tfidf(tfidf, docs.agg(F.count(F.lit(1)).alias("n_docs")), 10).select("term")
+    first = docs.select("doc_id").orderBy("doc_id").limit(10)
+    h = TF.tfidf_heatmap(tfidf, first, top)
+    return h.select("doc_id", "term", F.round("tfidf", DIGITS).alias("tfidf"))
+
+
+@query("doc_word_scores", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL},
+occ AS (SELECT doc_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM docs)
+SELECT o.doc_id, o.pos, o.term, round(coalesce(x.tfidf, 0.0), {DIGITS}) AS tfidf
+FROM occ o LEFT JOIN tfidf x ON x.doc_id = o.doc_id AND x.term = o.term""")
+def doc_word_scores(spark, sf_dir):
+    """C11: tf-idf of each word occurrence, for every document."""
+    docs = clean_tokens(spark, sf_dir)
+    tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
+    s = TF.doc_word_scores(tfidf, docs)
+    return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "term", F.round("tfidf", DIGITS).alias("tfidf"))
+
+
+@query("tfidf_sparse_vectors")
+def tfidf_sparse_vectors(spark, sf_dir):
+    """Long form -> one ML SparseVector per document (rows-only check)."""
+    docs = clean_tokens(spark, sf_dir)
+    model = TF.tfidf_fit(docs)
+    size = model.agg(F.max("term_index")).first()[0] + 1
+    v = TF.to_ml_vector(TF.tfidf_transform(docs, model), size)
+    return v.select("doc_id", F.col("features").cast("string").alias("features"))
+
+
+@query("vectorizer_save_load", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL}
+SELECT term, term_index, df, round(idf, {DIGITS}) AS idf, n_docs FROM model""")
+def vectorizer_save_load(spark, sf_dir):
+    """Persist the fitted vocabulary + idf as Parquet in the shared scratch folder and
+    load it back."""
+    from tessera.session import scratch_path
+    from tessera.sources import files
+    path = scratch_path(spark, "vectorizer")
+    files.save_vectorizer(TF.tfidf_fit(clean_tokens(spark, sf_dir)), path)
+    m = files.load_vectorizer(spark, path)
+    return m.select("term", "term_index", "df", F.round("idf", DIGITS).alias("idf"), "n_docs")

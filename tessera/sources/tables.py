@@ -119,3 +119,49 @@ def run_log(spark, sf_dir) -> DataFrame:
 RUN_LOG_SQL = """run_log AS (
   SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS epoch,
          value AS metric, event_id, ts, user_id FROM events)"""
+
+
+# -- trial log (23 columns) derived from events: one trial per event --------------------
+def trial_log_raw(spark, sf_dir) -> DataFrame:
+    """Columns named as in the trial CSV (``config/...``); f1 := value / 100,
+    optimiser := event type, batch / hidden sizes and epochs from user and event ids."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("index"), (F.col("value") / 100.0).alias("f1"),
+        F.unix_timestamp("ts").alias("timestamp"),
+        F.concat(F.lit("checkpoint_"), F.col("event_id").cast("string")).alias("checkpoint_dir_name"),
+        (F.col("event_type") == "purchase").alias("done"),
+        (F.pmod("user_id", F.lit(7)) + 1).cast("int").alias("training_iteration"),
+        F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("trial_id"),
+        F.date_format("ts", "yyyy-MM-dd_HH-mm-ss").alias("date"),
+        F.col("value").alias("time_this_iter_s"), (F.col("value") * 2).alias("time_total_s"),
+        (F.col("user_id") + 1000).cast("int").alias("pid"), F.lit("worker").alias("hostname"),
+        F.lit("10.0.0.1").alias("node_ip"), F.col("value").alias("time_since_restore"),
+        F.lit(1).alias("iterations_since_restore"),
+        (F.lit(8) * (F.pmod("user_id", F.lit(4)) + 1)).cast("int").alias("config/batch_size"),
+        (F.lit(16) * (F.pmod("user_id", F.lit(20)) + 1)).cast("int").alias("config/hidden_dim"),
+        F.col("event_type").alias("config/optimizer"), (F.col("value") / 1000.0).alias("config/lr"),
+        (F.pmod("event_id", F.lit(50)) + 1).cast("int").alias("config/epochs"),
+        F.when(F.pmod("user_id", F.lit(3)) == 0, "relu").when(F.pmod("user_id", F.lit(3)) == 1, "gelu")
+         .otherwise("tanh").alias("config/activation"),
+        F.lit(0.1).alias("config/dropout"),
+        F.concat(F.lit("trial_"), F.col("event_id").cast("string")).alias("logdir"))
+
+
+def trial_log(spark, sf_dir) -> DataFrame:
+    """Trial log with ``config_*`` names (as ``read_trial_log`` returns it)."""
+    t = trial_log_raw(spark, sf_dir)
+    return t.withColumnsRenamed({c: c.replace("/", "_") for c in t.columns if "/" in c})
+
+
+TRIAL_LOG_SQL = """trials AS (
+  SELECT event_id AS "index", value / 100.0 AS f1, CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp",
+         'checkpoint_' || CAST(event_id AS VARCHAR) AS checkpoint_dir_name, event_type = 'purchase' AS done,
+         CAST(user_id % 7 + 1 AS INTEGER) AS training_iteration, 't' || CAST(event_id AS VARCHAR) AS trial_id,
+         strftime(ts, '%Y-%m-%d_%H-%M-%S') AS date, value AS time_this_iter_s, value * 2 AS time_total_s,
+         CAST(8 * (user_id % 4 + 1) AS INTEGER) AS config_batch_size,
+         CAST(16 * (user_id % 20 + 1) AS INTEGER) AS config_hidden_dim, event_type AS config_optimizer,
+         value / 1000.0 AS config_lr, CAST(event_id % 50 + 1 AS INTEGER) AS config_epochs,
+         CASE user_id % 3 WHEN 0 THEN 'relu' WHEN 1 THEN 'gelu' ELSE 'tanh' END AS config_activation,
+         0.1 AS config_dropout
+  FROM events)"""
