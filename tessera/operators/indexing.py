@@ -77,3 +77,66 @@ def unit_uniform(id_col, seed: int, salt: str = "u") -> "F.Column":
 def unit_uniform_sql(id_expr: str, seed: int, salt: str = "u") -> str:
     return (f"(CAST(('0x' || substr(md5('{seed}:{salt}:' || CAST({id_expr} AS VARCHAR)), 1, 13)) AS BIGINT)"
             f" / {float(16 ** 13)!r})")
+
+
+def cumulative(df: DataFrame, group_cols, order_cols, value_cols, op: str = "sum",
+               suffix: str = "_cum") -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value_cols`` within each group in ``order_cols`` order
+    (rows up to and including the current one), without a window that holds a whole group.
+
+    Same idea as ``dense_index``: a range-partitioned sort spreads a hot group over many
+    partitions; each partition computes its running values in one vectorised pass
+    (``mapInPandas`` keeps the partitioning, no shuffle); a table of per-(partition, group)
+    totals — at most #partitions + #groups rows — turns into offsets that are added back.
+    """
+    import pandas as pd
+    from pyspark.sql import types as Ty
+
+    group_cols, value_cols = list(group_cols), list(value_cols)
+    keys = _cols(group_cols) + _cols(order_cols)
+    tagged = materialize(df.orderBy(*keys).withColumn("_part", F.spark_partition_id()))
+    out_fields = list(tagged.schema.fields) + [Ty.StructField(v + suffix, Ty.DoubleType()) for v in value_cols]
+    schema = Ty.StructType(out_fields)
+
+    def run(batches):
+        # rows arrive sorted by (group, order), so groups are contiguous runs; only the last
+        # group of a batch can continue into the next batch of the same partition
+        last_key, last_val = None, {}
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(**{v + suffix: pd.Series(dtype="float64") for v in value_cols})
+                continue
+            cont = pd.Series(last_key is not None, index=pdf.index)
+            if last_key is not None:
+                for c, k in zip(group_cols, last_key):
+                    col = pdf[c]
+                    cont &= col.isna() if k is None else col.eq(k).fillna(False)
+            out = {}
+            for v in value_cols:
+                vals = pdf[v].astype("float64")
+                if group_cols:
+                    g = vals.groupby([pdf[c] for c in group_cols], sort=False, dropna=False)
+                    run_v = g.cumsum() if op == "sum" else g.cummax()
+                else:
+                    run_v = vals.cumsum() if op == "sum" else vals.cummax()
+                if last_key is not None and cont.any():
+                    prev = last_val[v]
+                    run_v = run_v.where(~cont, run_v + prev if op == "sum" else run_v.clip(lower=prev))
+                out[v + suffix] = run_v.values
+                last_val[v] = float(run_v.iloc[-1])
+            tail = pdf.iloc[-1]
+            last_key = tuple(None if pd.isna(tail[c]) else tail[c] for c in group_cols)
+            yield pdf.assign(**out)
+
+    within = tagged.mapInPandas(run, schema)
+    agg = F.sum if op == "sum" else F.max
+    seg = tagged.groupBy("_part", *group_cols).agg(*[agg(F.col(v).cast("double")).alias(v + "_seg") for v in value_cols])
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("_part") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select("_part", *group_cols, *[agg(v + "_seg").over(w).alias(v + "_off") for v in value_cols])
+    j = within.join(seg, ["_part", *group_cols], "left")
+    for v in value_cols:
+        off = F.col(v + "_off")
+        j = j.withColumn(v + suffix, F.when(off.isNull(), F.col(v + suffix)).otherwise(
+            off + F.col(v + suffix) if op == "sum" else F.greatest(off, F.col(v + suffix))))
+    return j.drop("_part", *[v + "_off" for v in value_cols])
