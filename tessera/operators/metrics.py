@@ -289,3 +289,34 @@ def pair_predictions(truth: DataFrame, preds: DataFrame, on: str = "id") -> Data
 # V18
 def misclassified(df: DataFrame, label="label", pred="prediction") -> DataFrame:
     return df.where(F.col(label) != F.col(pred))
+
+
+# M18
+def cost_weight_candidates(preds: DataFrame, n_candidates: int, seed: int, label="label") -> list[list[float]]:
+    """Candidate class-weight vectors: U(0.5, 1.5) x balanced weight, clipped to [0, 1].
+    u is a hash of (seed, candidate, class). The class table has k rows, so the candidate
+    matrix (n_candidates x k) is a bounded parameter returned to the driver."""
+    import hashlib
+    from tessera.operators.aggregates import balanced_class_weights
+    w = {r[label]: r["weight"] for r in balanced_class_weights(preds, label).collect()}
+    k = max(w) + 1
+    cands = []
+    for c in range(n_candidates):
+        row = []
+        for j in range(k):
+            h = hashlib.md5(f"{seed}:w:{c}:{j}".encode()).hexdigest()[:13]
+            u = int(h, 16) / float(16 ** 13)
+            row.append(min(1.0, max(0.0, (0.5 + u) * w.get(j, 0.0))))
+        cands.append(row)
+    return cands
+
+
+def search_cost_weights(preds: DataFrame, candidates: list[list[float]], top_n: int = 5,
+                        label="label", prob="probability") -> DataFrame:
+    """Score every candidate in one pass: per row, argmax(w * p) for each candidate (an
+    array of predictions, no join), then macro-F1 per candidate; best ``top_n``."""
+    cand = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in candidates])
+    p = preds.select(label, F.transform(cand, lambda w: argmax(F.zip_with(w, F.col(prob), lambda a, b: a * b))).alias("_preds"))
+    long = explode_rows(p, [label], "_preds", "prediction", pos="candidate")
+    f1 = per_class_scores(long, label, "prediction", by=["candidate"]).groupBy("candidate").agg(F.avg("f1").alias("macro_f1"))
+    return f1.orderBy(F.col("macro_f1").desc(), F.col("candidate")).limit(top_n)

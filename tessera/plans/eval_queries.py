@@ -9,7 +9,7 @@ from tessera.functions.arrays import argmax
 from tessera.operators import aggregates as A
 from tessera.operators import metrics as M
 from tessera.operators import runs as R
-from tessera.plans.params import DIGITS
+from tessera.plans.params import DIGITS, SEED
 from tessera.plans.registry import query
 from tessera.sources.tables import (PREDICTIONS_SQL, RUN_LOG_SQL, TRIAL_LOG_SQL, predictions, run_log, table,
                                     trial_log)
@@ -356,3 +356,41 @@ def resume_population(spark, sf_dir):
     t = trial_log(spark, sf_dir)
     pop = R.resume_population([t.where(F.col("done")), t.where(~F.col("done"))], 12)
     return pop.select("index", "trial_id", F.round("f1", DIGITS).alias("f1"))
+
+
+def _cand_sql(n, k, seed):
+    rows = []
+    for c in range(n):
+        for j in range(k):
+            rows.append(f"({c}, {j})")
+    return "(VALUES " + ", ".join(rows) + ") AS cj(candidate, class)"
+
+
+@query("search_cost_weights", sql=f"""WITH {PREDICTIONS_SQL},
+cls AS (SELECT label, count(*) AS n_c FROM predictions GROUP BY label),
+bw AS (SELECT label, sum(n_c) OVER () / (count(*) OVER () * n_c) AS weight FROM cls),
+cw AS (SELECT cj.candidate, cj.class,
+              least(1.0, greatest(0.0, (0.5 + CAST(('0x' || substr(md5('{SEED}:w:' || CAST(cj.candidate AS VARCHAR) || ':' || CAST(cj.class AS VARCHAR)), 1, 13)) AS BIGINT) / {float(16 ** 13)!r})
+                                    * coalesce(bw.weight, 0.0))) AS w
+       FROM {_cand_sql(24, 10, SEED)} LEFT JOIN bw ON bw.label = cj.class),
+wl AS (SELECT candidate, list(w ORDER BY class) AS wv FROM cw GROUP BY candidate),
+cp AS (SELECT wl.candidate, p.label,
+              CAST(list_position(list_transform(range(1, len(p.probability) + 1), lambda i: wv[i] * p.probability[i]),
+                   list_max(list_transform(range(1, len(p.probability) + 1), lambda i: wv[i] * p.probability[i]))) - 1 AS INTEGER) AS prediction
+       FROM predictions p CROSS JOIN wl),
+pc AS (SELECT candidate, label, prediction, count(*) AS c FROM cp GROUP BY ALL),
+cl AS (SELECT candidate, label AS class FROM pc UNION SELECT candidate, prediction FROM pc),
+s AS (SELECT cl.candidate, cl.class,
+        coalesce(sum(c) FILTER (WHERE pc.label = cl.class AND pc.prediction = cl.class), 0) AS tp,
+        coalesce(sum(c) FILTER (WHERE pc.label = cl.class), 0) AS sup,
+        coalesce(sum(c) FILTER (WHERE pc.prediction = cl.class), 0) AS npred
+      FROM cl JOIN pc ON pc.candidate = cl.candidate GROUP BY cl.candidate, cl.class),
+f AS (SELECT candidate, CASE WHEN npred = 0 THEN 0.0 ELSE tp / npred END AS p, CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END AS r FROM s),
+m AS (SELECT candidate, avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END) AS macro_f1 FROM f GROUP BY candidate)
+SELECT CAST(candidate AS INTEGER) AS candidate, round(macro_f1, {DIGITS}) AS macro_f1 FROM m ORDER BY macro_f1 DESC, candidate LIMIT 5""")
+def search_cost_weights(spark, sf_dir):
+    """24 cost-weight candidates scored on the stored probabilities in one job, best 5."""
+    p = predictions(spark, sf_dir)
+    cands = M.cost_weight_candidates(p, 24, SEED)
+    out = M.search_cost_weights(p, cands, 5)
+    return out.select(F.col("candidate").cast("int").alias("candidate"), F.round("macro_f1", DIGITS).alias("macro_f1"))
