@@ -106,8 +106,9 @@ def train_linear_svm(spark, sf_dir):
     model = TF.tfidf_fit(lab)
     size = model.agg(F.max("term_index")).first()[0] + 1
     vec = TF.to_ml_vector(TF.tfidf_transform(lab, model), size)
-    d = vec.join(lab.select("doc_id", "target"), "doc_id").withColumn(
-        "label", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("target")) - 1)
+    from tessera.operators.labels import class_table
+    codes = class_table(lab, "target", "label")  # one row per distinct target
+    d = vec.join(lab.select("doc_id", "target"), "doc_id").join(codes, "target")
     d = X.stratified_split(d.select("doc_id", "features", F.col("label").cast("int")), "label", 0.2, SEED, "doc_id")
     tr, te = d.where("split = 'train'"), d.where("split = 'test'")
     p = MD.predict(MD.train_linear_svm(tr), te, keep=("doc_id", "label"))
