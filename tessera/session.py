@@ -7,16 +7,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings that matter at scale: AQE re-plans joins from runtime sizes (broadcast only
-# when the materialised side is measured small), splits skewed sort-merge partitions and
-# coalesces small shuffle partitions.
+# Settings that matter at scale: no broadcast from static size estimates (an estimate
+# derived from a compressed scan can be far below the exploded data); AQE re-plans joins
+# from measured runtime sizes (broadcast only when the materialised side is small), splits
+# skewed sort-merge partitions and coalesces small shuffle partitions. Explicit broadcast
+# hints are used only on sides bounded by construction (literal tables, one-row scalars).
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
-    "spark.sql.autoBroadcastJoinThreshold": "16MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",

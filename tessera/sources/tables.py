@@ -13,8 +13,28 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Text-heavy tables whose per-row work (regex cleaning, tokenising) is CPU-bound.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+# Below this input size a table may sit in one Parquet row group, i.e. one scan task; a
+# round-robin spread over the cores costs a shuffle of at most this many bytes. Larger
+# inputs come as many files / row groups and are scanned in parallel as they are.
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (Hadoop FileSystem, works for any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in TEXT_TABLES and input_bytes(spark, path) < SMALL_INPUT_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism * 2)
+    return df
 
 
 # -- annotated corpus: sentiment := lang, polarity := doc_id % 2, order := doc_id --------
