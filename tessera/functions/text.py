@@ -103,12 +103,20 @@ def strip_suffixes(c, suffixes, min_stem: int = 2) -> Column:
     return F.array_join(strip_suffixes_tokens(tokenize_whitespace(c), suffixes, min_stem), " ")
 
 
+def strip_suffixes_inline(c, suffixes, min_stem: int = 2) -> Column:
+    """Same stems as ``strip_suffixes`` in one pass over the text (token boundaries by
+    lookaround), keeping the original whitespace; used inside ``clean_text`` whose stopword
+    step normalises whitespace anyway."""
+    alts = "|".join(re.escape(s) for s in sorted(set(suffixes), key=lambda s: (-len(s), s)))
+    return F.regexp_replace(col_(c), f"(?<!\\S)(\\S{{{min_stem},}}?)({alts})(?!\\S)", "$1")
+
+
 # T7
 def clean_text(c, stopwords=(), suffixes=(), min_stem: int = 2, punct_mode: str = "space") -> Column:
     """suffix strip -> lower -> danda -> punctuation -> dots/dashes -> stopwords; null -> ''."""
     x = F.coalesce(col_(c), F.lit(""))
     if suffixes:
-        x = strip_suffixes(x, suffixes, min_stem)
+        x = strip_suffixes_inline(x, suffixes, min_stem)
     x = to_lower(x)
     x = normalize_danda(x)
     x = strip_punctuation(x, punct_mode)

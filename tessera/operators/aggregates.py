@@ -65,16 +65,14 @@ def sample_weights(df: DataFrame, weights: DataFrame, label: str = "label", out:
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over [min, max]; the last bin is closed. (bin, lo, hi, count);
     empty bins are listed with count 0."""
-    mm = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(col) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    counted = (df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(mm))  # one-row scalar side
-                 .select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(mm))
+    r = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")).first()  # 2 scalars
+    lo, hi = F.lit(r["lo"]), F.lit(r["hi"])
+    width = (hi - lo) / bins
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1))).cast("int")
+    counted = df.where(F.col(col).isNotNull()).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (grid.join(counted, "bin", "left")
-                .select("bin", (F.col("lo") + F.col("bin") * width).alias("lo"),
-                        (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
+                .select("bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"),
                         F.coalesce("count", F.lit(0)).alias("count")))
 
 
@@ -84,17 +82,17 @@ def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     (n^(-1/5) * sample std). Each row adds its kernel to every grid point inside an array
     (no join); the arrays are summed per grid point with a partial aggregation."""
     st = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"),
-                F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    step = (F.col("hi") - F.col("lo")) / F.lit(points - 1)
-    x = df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(st))  # one-row scalar side
+                F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")).first()  # 4 scalars
+    n = st["n"]
+    h = st["sd"] * float(n) ** -0.2
+    lo, hi = st["lo"], st["hi"]
+    step = (hi - lo) / (points - 1)
     kernel = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                         lambda i: F.exp(-0.5 * F.pow((F.col("lo") + i * step - F.col(col)) / F.col("h"), 2)))
-    contrib = explode_rows(x, ["n", "h", "lo", "hi"], kernel, "k", pos="i")
-    g = contrib.groupBy("i").agg(F.sum("k").alias("s"), F.first("n").alias("n"), F.first("h").alias("h"),
-                                F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    return g.select(F.col("i").alias("point"), (F.col("lo") + F.col("i") * step).alias("x"),
-                    (F.col("s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+                         lambda i: F.exp(-0.5 * F.pow((F.lit(lo) + i * F.lit(step) - F.col(col)) / F.lit(h), 2)))
+    contrib = explode_rows(df.where(F.col(col).isNotNull()), [], kernel, "k", pos="i")
+    g = contrib.groupBy("i").agg(F.sum("k").alias("s"))
+    return g.select(F.col("i").alias("point"), (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"),
+                    (F.col("s") / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 # A11
@@ -110,9 +108,11 @@ def krippendorff_alpha_nominal(df: DataFrame, unit: str, raters) -> DataFrame:
     u = uc.groupBy(unit).agg(F.sum("n_uc").alias("m_u"), F.sum(F.col("n_uc") * F.col("n_uc")).alias("sq_u"))
     u = u.where(F.col("m_u") >= 2)
     do = u.agg(F.sum((F.col("m_u") * F.col("m_u") - F.col("sq_u")) / (F.col("m_u") - 1)).alias("d_o"),
-               F.sum("m_u").alias("n"))
+               F.sum("m_u").alias("n"), F.lit(None).cast("double").alias("sq_c"))
     nc = uc.join(u.select(unit), unit, "left_semi").groupBy("value").agg(F.sum("n_uc").alias("n_c"))
-    de = nc.agg(F.sum(F.col("n_c") * F.col("n_c")).alias("sq_c"))
-    return do.crossJoin(de).select(  # two one-row aggregates
+    de = nc.agg(F.lit(None).cast("double").alias("d_o"), F.lit(None).cast("double").alias("n"),
+                F.sum(F.col("n_c") * F.col("n_c")).alias("sq_c"))
+    one = do.unionByName(de).agg(F.max("d_o").alias("d_o"), F.max("n").alias("n"), F.max("sq_c").alias("sq_c"))
+    return one.select(
         (F.lit(1.0) - (F.col("n") - 1) * F.col("d_o") / (F.col("n") * F.col("n") - F.col("sq_c"))).alias("alpha"),
         F.col("n").cast("long").alias("n_pairable_values"))

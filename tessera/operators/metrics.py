@@ -40,9 +40,9 @@ def confusion_matrix(df: DataFrame, label="label", pred="prediction", by=()) ->
     grid is k x k (classes seen as label or prediction)."""
     by = list(by)
     c = pair_counts(df, label, pred, by)
-    cls = _classes(c, label, pred, by)
-    grid = cls.select(*by, F.col("class").alias(label)).join(cls.select(*by, F.col("class").alias(pred)), by) \
-        if by else cls.select(F.col("class").alias(label)).crossJoin(cls.select(F.col("class").alias(pred)))
+    cls = _classes(c, label, pred, by).groupBy(*by).agg(F.collect_set("class").alias("_cs"))  # k classes per group
+    grid = (cls.select(*by, F.explode("_cs").alias(label), "_cs")
+               .select(*by, label, F.explode("_cs").alias(pred)))
     return (grid.join(c, [*by, label, pred], "left")
                 .select(*by, label, pred, F.coalesce("count", F.lit(0)).alias("count")))
 
@@ -106,18 +106,18 @@ def classification_report(df: DataFrame, label="label", pred="prediction", names
 
 
 def _marginals(df, label, pred, by):
+    """n, correct and the sums of t_k p_k, t_k^2, p_k^2 in one grouped aggregate over the
+    k-row per-class table (true count, predicted count, diagonal count)."""
     c = pair_counts(df, label, pred, by)
     t = c.groupBy(*by, F.col(label).alias("class")).agg(F.sum("count").alias("t_k"))
     p = c.groupBy(*by, F.col(pred).alias("class")).agg(F.sum("count").alias("p_k"))
-    m = t.join(p, [*by, "class"], "full_outer").fillna(0, ["t_k", "p_k"])
-    diag = c.where(F.col(label) == F.col(pred)).groupBy(*by).agg(F.sum("count").alias("correct"))
-    tot = c.groupBy(*by).agg(F.sum("count").alias("n"))
-    sums = m.groupBy(*by).agg(F.sum(F.col("t_k") * F.col("p_k")).cast("double").alias("tp_sum"),
+    d = c.where(F.col(label) == F.col(pred)).select(*by, F.col(label).alias("class"), F.col("count").alias("d_k"))
+    m = (t.join(p, [*by, "class"], "full_outer").join(d, [*by, "class"], "left")
+          .fillna(0, ["t_k", "p_k", "d_k"]))
+    return m.groupBy(*by).agg(F.sum("t_k").alias("n"), F.sum("d_k").alias("correct"),
+                              F.sum(F.col("t_k") * F.col("p_k")).cast("double").alias("tp_sum"),
                               F.sum(F.col("t_k") * F.col("t_k")).cast("double").alias("tt_sum"),
                               F.sum(F.col("p_k") * F.col("p_k")).cast("double").alias("pp_sum"))
-    j = tot.join(sums, list(by), "inner") if by else tot.crossJoin(sums)
-    j = j.join(diag, list(by), "left") if by else j.crossJoin(diag)
-    return j.fillna(0, ["correct"])
 
 
 # V6
@@ -226,8 +226,7 @@ def macro_pr_curve(df: DataFrame, points: int = 100, label="label", prob="probab
                 .agg(F.max_by(F.struct("recall", "precision"), F.col("tp")).alias("lo")))
     upper = (pts.withColumn("cell", hi_cell).groupBy("class", "cell")
                 .agg(F.min_by(F.struct("recall", "precision"), F.col("tp")).alias("hi")))
-    classes = pts.select("class").distinct()
-    grid = classes.crossJoin(pts.sparkSession.range(points).select(F.col("id").cast("int").alias("j")))  # k x points
+    grid = pts.select("class").distinct().select("class", F.explode(F.sequence(F.lit(0), F.lit(g))).alias("j"))
     w_lo = Window.partitionBy("class").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     w_hi = Window.partitionBy("class").orderBy("j").rowsBetween(0, Window.unboundedFollowing)
     # per class at most `points` rows here: windows are bounded by the grid, not the data

@@ -50,10 +50,9 @@ def with_class_weights(df: DataFrame, label: str = "label", normalize: bool = Fa
 
 def replicate_by_weight(df: DataFrame, weight: str = "weight") -> DataFrame:
     """For estimators without weightCol (MLP): repeat each row round(w / min w) times."""
-    mn = df.agg(F.min(weight).alias("_mn"))
-    reps = F.greatest(F.lit(1), F.round(F.col(weight) / F.col("_mn")).cast("int"))
-    x = df.crossJoin(F.broadcast(mn))  # one-row scalar side
-    return x.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), reps))).drop("_rep", "_mn")
+    mn = df.agg(F.min(weight)).first()[0]  # one scalar
+    reps = F.greatest(F.lit(1), F.round(F.col(weight) / F.lit(mn)).cast("int"))
+    return df.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), reps))).drop("_rep")
 
 
 # M1
@@ -305,11 +304,11 @@ def compare_estimators(train: DataFrame, test: DataFrame, estimators: dict, labe
         m = fit_fn(train)
         for split, part in (("train", train), ("test", test)):
             p = predict(m, part, keep=(id_col, label))
-            r = (accuracy(p).crossJoin(per_class_scores(p).agg(F.avg("f1").alias("macro_f1")))
-                 .crossJoin(cohen_kappa(p)).select(F.lit(name).alias("model"), F.lit(split).alias("split"),
-                                                   "accuracy", "macro_f1", "kappa"))  # one-row metric tables
-            rows = r if rows is None else rows.unionByName(r)
-    return rows
+            acc = accuracy(p).first()[0]
+            f1 = per_class_scores(p).agg(F.avg("f1")).first()[0]
+            kappa = cohen_kappa(p).first()[0]
+            rows = (rows or []) + [(name, split, float(acc), float(f1), float(kappa))]
+    return train.sparkSession.createDataFrame(rows, "model string, split string, accuracy double, macro_f1 double, kappa double")
 
 
 # M16

@@ -71,10 +71,10 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
     class only ("minority") up to the largest class size. Returns the original rows plus
     synthetic ones (id null, ``source_id`` = parent)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    mx = counts.agg(F.max("n_c").alias("n_max"), F.min("n_c").alias("n_min"))
-    need = counts.crossJoin(F.broadcast(mx)).withColumn("need", F.col("n_max") - F.col("n_c"))  # one-row scalar side
+    n_max, n_min = counts.agg(F.max("n_c"), F.min("n_c")).first()  # two scalars
+    need = counts.withColumn("need", F.lit(n_max) - F.col("n_c"))
     if strategy == "minority":
-        need = need.where(F.col("n_c") == F.col("n_min"))
+        need = need.where(F.col("n_c") == F.lit(n_min))
     need = need.where(F.col("need") > 0).select(label, "need")
     syn = _generate(df, need, label, id_col, vec, k, seed, per_row=False)
     return _with_synthetic(df, syn, label, id_col, vec)
@@ -87,10 +87,10 @@ def adasyn(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: i
     its k nearest neighbours (all classes), normalised within the class, times the class
     deficit, rounded half-to-even; generation as in SMOTE."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    mx = counts.agg(F.max("n_c").alias("n_max"), F.min("n_c").alias("n_min"))
-    targets = counts.crossJoin(F.broadcast(mx)).withColumn("G", F.col("n_max") - F.col("n_c"))  # one-row side
+    n_max, n_min = counts.agg(F.max("n_c"), F.min("n_c")).first()  # two scalars
+    targets = counts.withColumn("G", F.lit(n_max) - F.col("n_c"))
     if strategy == "minority":
-        targets = targets.where(F.col("n_c") == F.col("n_min"))
+        targets = targets.where(F.col("n_c") == F.lit(n_min))
     targets = targets.where(F.col("G") > 0).select(label, "G")
     minority = df.join(F.broadcast(targets.select(label)), label, "left_semi")  # k-row class table
     nn = knn_join(minority, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed)
@@ -110,13 +110,13 @@ def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k:
     differs from their own (edited nearest neighbours) and (b) non-minority neighbours of
     minority rows that their k-NN vote misclassifies."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    minority = counts.orderBy("n_c", label).limit(1).select(F.col(label).alias("_min"))  # one row
+    minority = counts.orderBy("n_c", label).first()[label]  # the smallest class: one value
     nn = knn_join(df, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed)
-    v = vote(nn, df, id_col, label).join(df.select(id_col, label), id_col).crossJoin(F.broadcast(minority))
+    v = vote(nn, df, id_col, label).join(df.select(id_col, label), id_col).withColumn("_min", F.lit(minority))
     edited = v.where((F.col(label) != F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
     bad_min = v.where((F.col(label) == F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
     neigh = (nn.join(bad_min, id_col, "left_semi").select(F.col("nn_id").alias(id_col))
-               .join(df.select(id_col, label), id_col).crossJoin(F.broadcast(minority))
+               .join(df.select(id_col, label), id_col).withColumn("_min", F.lit(minority))
                .where(F.col(label) != F.col("_min")).select(id_col))
     return df.join(edited.union(neigh).distinct(), id_col, "left_anti")
 
@@ -128,10 +128,10 @@ def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 4
     against the store and adds all misclassified ones. Stops when none is added. The store
     is checkpointed every round (lineage stays short, survives executor loss)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    minority = counts.orderBy("n_c", label).limit(1).select(F.col(label).alias("_min"))
+    minority = counts.orderBy("n_c", label).first()[label]  # one value
     first = dense_index(df.select(id_col, label).withColumn("_key", portable_random_key(id_col, seed)),
                         ["_key", id_col], "_r", group_cols=[label]).where(F.col("_r") == 0).select(id_col)
-    seed_ids = (df.crossJoin(F.broadcast(minority)).where(F.col(label) == F.col("_min")).select(id_col)
+    seed_ids = (df.where(F.col(label) == F.lit(minority)).select(id_col)
                   .union(first).distinct())
     store = materialize(df.join(seed_ids, id_col, "left_semi"))
     for _ in range(max_rounds):
