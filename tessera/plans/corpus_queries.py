@@ -83,7 +83,9 @@ def profile(spark, sf_dir):
 SELECT doc_id, target, {_case('target', TARGET_NAMES_4)} AS target_name FROM labelled
 ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 25""")
 def sample_distinct(spark, sf_dir):
-    s = P.sample_distinct(labelled(spark, sf_dir), 25, SEED, "doc_id")
+    lab = labelled(spark, sf_dir)
+    P.assert_sample_size(lab, 25)  # n <= rows, as the reference asserts
+    s = P.sample_distinct(lab, 25, SEED, "doc_id")
     return L.label_names(s, "target", TARGET_NAMES_4, "target_name").select("doc_id", "target", "target_name")
 
 
