@@ -146,7 +146,7 @@ def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 4
 
 
 # X9
-def balance_pipeline(df: DataFrame, label: str, id_col: str, vec: str, under_classes, targets: dict,
+def balance_classes(df: DataFrame, label: str, id_col: str, vec: str, under_classes, targets: dict,
                      over: str = "smote", seed: int = 42, k: int = 5) -> DataFrame:
     """Under-sample a subset of classes (cleaning rule, then random under-sampling to
     ``targets``), keep the other classes untouched, then over-sample the union."""

@@ -90,11 +90,11 @@ def condensed_nn(spark, sf_dir):
     return RS.condensed_nn(df, "label", "vec_id", "embedding", SEED).select("vec_id", "label")
 
 
-@query("balance_pipeline")
-def balance_pipeline(spark, sf_dir):
+@query("balance_classes")
+def balance_classes(spark, sf_dir):
     """Class 0 cleaned and under-sampled to 150, classes 1-3 untouched, then SMOTE."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")
-    out = RS.balance_pipeline(df, "label", "vec_id", "embedding", [0], {0: 150}, "smote", SEED)
+    out = RS.balance_classes(df, "label", "vec_id", "embedding", [0], {0: 150}, "smote", SEED)
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("source_id").alias("n_synthetic"))
 
 
