@@ -10,7 +10,7 @@ from tessera.operators import split as X
 from tessera.operators.indexing import unit_uniform_sql
 from tessera.plans.params import DIGITS, SEED
 from tessera.plans.registry import query
-from tessera.plans.sample_queries import knn_sql
+from tessera.plans.sample_queries import knn_sql, split_sql
 from tessera.sources.tables import IMBALANCED_SQL, imbalanced
 
 _E_SQL = f"""{IMBALANCED_SQL},
@@ -23,21 +23,27 @@ def _syn_out(df):
         F.round(F.element_at("embedding", 1), DIGITS).alias("v0"))
 
 
-_SMOTE_SQL = f"""WITH {_E_SQL},
-cnt AS (SELECT label, count(*) AS n_c FROM e GROUP BY label),
-need AS (SELECT label, n_c, (SELECT max(n_c) FROM cnt) - n_c AS need FROM cnt WHERE n_c < (SELECT max(n_c) FROM cnt)),
-{knn_sql('e', 'e', 5, True, same=True)},
-keff AS (SELECT vec_id, max(nn_rank) AS k_eff FROM knn GROUP BY vec_id),
-par AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS r FROM e),
-jobs0 AS (SELECT p.vec_id, p.label, p.r, n.n_c,
-                 unnest(range(CAST(greatest(0, ceil((n.need - p.r) / n.n_c)) AS BIGINT))) AS t FROM par p JOIN need n USING (label)),
-jobs AS (SELECT j.vec_id, j.label, j.r + j.t * j.n_c AS syn_index, k.k_eff FROM jobs0 j JOIN keff k USING (vec_id)),
-pick AS (SELECT *, CAST(floor({unit_uniform_sql("(CAST(label AS VARCHAR) || ':' || CAST(syn_index AS VARCHAR))", SEED, 'nn')} * k_eff) + 1 AS BIGINT) AS nn_rank,
-                {unit_uniform_sql("(CAST(label AS VARCHAR) || ':' || CAST(syn_index AS VARCHAR))", SEED, 'gap')} AS u FROM jobs),
-syn AS (SELECT p.label, p.syn_index, p.vec_id AS source_id, k.nn_id,
-               list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] + p.u * (b.v[i] - a.v[i])) AS x
-        FROM pick p JOIN knn k ON k.vec_id = p.vec_id AND k.nn_rank = p.nn_rank
-        JOIN e a ON a.vec_id = p.vec_id JOIN e b ON b.vec_id = k.nn_id)
+def smote_ctes(src: str, p: str, k: int = 5, seed: int = SEED) -> str:
+    """SQL twin of ``smote`` over CTE ``src`` (vec_id, label, v); CTE names prefixed ``p``;
+    the synthetic rows end in ``{p}syn`` (label, syn_index, source_id, nn_id, x)."""
+    key = "(CAST(label AS VARCHAR) || ':' || CAST(syn_index AS VARCHAR))"
+    return f"""{p}cnt AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label),
+{p}need AS (SELECT label, n_c, (SELECT max(n_c) FROM {p}cnt) - n_c AS need FROM {p}cnt WHERE n_c < (SELECT max(n_c) FROM {p}cnt)),
+{knn_sql(src, src, k, True, same=True, prefix=p)},
+{p}keff AS (SELECT vec_id, max(nn_rank) AS k_eff FROM {p}knn GROUP BY vec_id),
+{p}par AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{seed}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS r FROM {src}),
+{p}jobs0 AS (SELECT q.vec_id, q.label, q.r, n.n_c,
+                 unnest(range(CAST(greatest(0, ceil((n.need - q.r) / n.n_c)) AS BIGINT))) AS t FROM {p}par q JOIN {p}need n USING (label)),
+{p}jobs AS (SELECT j.vec_id, j.label, j.r + j.t * j.n_c AS syn_index, k.k_eff FROM {p}jobs0 j JOIN {p}keff k USING (vec_id)),
+{p}pick AS (SELECT *, CAST(floor({unit_uniform_sql(key, seed, 'nn')} * k_eff) + 1 AS BIGINT) AS nn_rank,
+                {unit_uniform_sql(key, seed, 'gap')} AS u FROM {p}jobs),
+{p}syn AS (SELECT q.label, q.syn_index, q.vec_id AS source_id, k.nn_id,
+               list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] + q.u * (b.v[i] - a.v[i])) AS x
+        FROM {p}pick q JOIN {p}knn k ON k.vec_id = q.vec_id AND k.nn_rank = q.nn_rank
+        JOIN {src} a ON a.vec_id = q.vec_id JOIN {src} b ON b.vec_id = k.nn_id)"""
+
+
+_SMOTE_SQL = f"""WITH {_E_SQL}, {smote_ctes('e', '')}
 SELECT label, syn_index, source_id, round(list_sum(x), {DIGITS}) AS vsum, round(x[1], {DIGITS}) AS v0 FROM syn"""
 
 
@@ -98,7 +104,22 @@ def balance_classes(spark, sf_dir):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("source_id").alias("n_synthetic"))
 
 
-@query("leak_audit")
+@query("leak_audit", sql=f"""WITH {_E_SQL},
+{split_sql('e', 'sp', 'vec_id', 0.2, SEED)},
+tr AS (SELECT vec_id, label, v FROM sp WHERE split = 'train'),
+te AS (SELECT vec_id FROM sp WHERE split = 'test'),
+{smote_ctes('tr', 'a_')},
+a_all AS (SELECT vec_id AS src FROM tr UNION ALL SELECT source_id FROM a_syn),
+after AS (SELECT 'after_split' AS mode, count(*) AS n_leaked_rows, count(DISTINCT src) AS n_test_sources
+          FROM a_all WHERE src IN (SELECT vec_id FROM te)),
+{smote_ctes('e', 'b_')},
+b_rows AS (SELECT vec_id, label, CAST(NULL AS BIGINT) AS source_id, vec_id AS _row FROM e
+           UNION ALL SELECT NULL, label, source_id, -(syn_index * 10 + label + 1) FROM b_syn),
+{split_sql('b_rows', 'sp2', '_row', 0.2, SEED)},
+b_src AS (SELECT coalesce(source_id, vec_id) AS src FROM sp2 WHERE split = 'train'),
+before AS (SELECT 'before_split' AS mode, count(*) AS n_leaked_rows, count(DISTINCT src) AS n_test_sources
+           FROM b_src WHERE src IN (SELECT vec_id FROM sp2 WHERE split = 'test' AND source_id IS NULL))
+SELECT * FROM after UNION ALL SELECT * FROM before""")
 def leak_audit(spark, sf_dir):
     """Over-sampling before the split leaks test parents into train; after, it does not."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")

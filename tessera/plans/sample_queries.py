@@ -89,15 +89,16 @@ def random_undersample(spark, sf_dir):
 _EMB_D = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
 
-def knn_sql(q: str, r: str, k: int, self_join: bool, same: bool = False) -> str:
+def knn_sql(q: str, r: str, k: int, self_join: bool, same: bool = False, prefix: str = "") -> str:
+    """Brute-force k-NN in SQL (all pairs: fine for an oracle on small data)."""
     cond = "a.vec_id <> b.vec_id" if self_join else "TRUE"
     if same:
         cond += " AND a.label = b.label"
-    return f"""pairs AS (SELECT a.vec_id, b.vec_id AS nn_id,
+    return f"""{prefix}pairs AS (SELECT a.vec_id, b.vec_id AS nn_id,
       sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS dist
     FROM {q} a JOIN {r} b ON {cond}),
-knn AS (SELECT vec_id, nn_id, dist, nn_rank FROM
-  (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nn_id) AS nn_rank FROM pairs) WHERE nn_rank <= {k})"""
+{prefix}knn AS (SELECT vec_id, nn_id, dist, nn_rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nn_id) AS nn_rank FROM {prefix}pairs) WHERE nn_rank <= {k})"""
 
 
 @query("knn_join", sql=f"""WITH e AS (SELECT vec_id, {_EMB_D} AS v FROM embeddings), {knn_sql('e', 'e', 5, True)}
