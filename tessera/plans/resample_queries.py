@@ -72,17 +72,23 @@ def adasyn(spark, sf_dir):
                .agg(F.count(F.lit(1)).alias("n_generated")))
 
 
-@query("neighbourhood_cleaning", sql=f"""WITH {_E_SQL},
-cnt AS (SELECT label, count(*) AS n_c FROM e GROUP BY label),
-mn AS (SELECT label AS _min FROM cnt ORDER BY n_c, label LIMIT 1),
-{knn_sql('e', 'e', 3, True)},
-votes AS (SELECT k.vec_id, b.label AS nl, count(*) AS c FROM knn k JOIN e b ON b.vec_id = k.nn_id GROUP BY 1, 2),
-pred AS (SELECT v.vec_id, arg_max(nl, (c, -nl)) AS prediction FROM votes v GROUP BY v.vec_id),
-lab AS (SELECT p.vec_id, p.prediction, e.label FROM pred p JOIN e USING (vec_id)),
-edited AS (SELECT vec_id FROM lab, mn WHERE label <> _min AND prediction <> label),
-bad_min AS (SELECT vec_id FROM lab, mn WHERE label = _min AND prediction <> label),
-neigh AS (SELECT k.nn_id AS vec_id FROM knn k JOIN bad_min USING (vec_id) JOIN e ON e.vec_id = k.nn_id, mn WHERE e.label <> _min)
-SELECT vec_id, label FROM e WHERE vec_id NOT IN (SELECT vec_id FROM edited UNION SELECT vec_id FROM neigh)""")
+def ncr_ctes(src: str, p: str, k: int = 3) -> str:
+    """SQL twin of ``neighbourhood_cleaning``; the kept rows end in ``{p}kept``."""
+    return f"""{p}cnt AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label),
+{p}mn AS (SELECT label AS _min FROM {p}cnt ORDER BY n_c, label LIMIT 1),
+{knn_sql(src, src, k, True, prefix=p)},
+{p}votes AS (SELECT k.vec_id, b.label AS nl, count(*) AS c FROM {p}knn k JOIN {src} b ON b.vec_id = k.nn_id GROUP BY 1, 2),
+{p}pred AS (SELECT v.vec_id, arg_max(nl, (c, -nl)) AS prediction FROM {p}votes v GROUP BY v.vec_id),
+{p}lab AS (SELECT q.vec_id, q.prediction, s.label FROM {p}pred q JOIN {src} s USING (vec_id)),
+{p}edited AS (SELECT vec_id FROM {p}lab, {p}mn WHERE label <> _min AND prediction <> label),
+{p}bad_min AS (SELECT vec_id FROM {p}lab, {p}mn WHERE label = _min AND prediction <> label),
+{p}neigh AS (SELECT k.nn_id AS vec_id FROM {p}knn k JOIN {p}bad_min USING (vec_id) JOIN {src} s ON s.vec_id = k.nn_id, {p}mn
+             WHERE s.label <> _min),
+{p}kept AS (SELECT * FROM {src} WHERE vec_id NOT IN (SELECT vec_id FROM {p}edited UNION SELECT vec_id FROM {p}neigh))"""
+
+
+@query("neighbourhood_cleaning", sql=f"""WITH {_E_SQL}, {ncr_ctes('e', '')}
+SELECT vec_id, label FROM kept""")
 def neighbourhood_cleaning(spark, sf_dir):
     """Neighbourhood cleaning rule with k=3."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")
@@ -96,7 +102,15 @@ def condensed_nn(spark, sf_dir):
     return RS.condensed_nn(df, "label", "vec_id", "embedding", SEED).select("vec_id", "label")
 
 
-@query("balance_classes")
+@query("balance_classes", sql=f"""WITH {_E_SQL},
+sub AS (SELECT * FROM e WHERE label IN (0)),
+{ncr_ctes('sub', 'c_')},
+rus AS (SELECT vec_id, label, v FROM (SELECT *, row_number() OVER (PARTITION BY label
+          ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS rk FROM c_kept) WHERE label <> 0 OR rk < 150),
+merged AS (SELECT vec_id, label, v FROM rus UNION ALL SELECT vec_id, label, v FROM e WHERE label NOT IN (0)),
+{smote_ctes('merged', 's_')},
+allr AS (SELECT label, CAST(NULL AS BIGINT) AS source_id FROM merged UNION ALL SELECT label, source_id FROM s_syn)
+SELECT label, count(*) AS n, count(source_id) AS n_synthetic FROM allr GROUP BY label""")
 def balance_classes(spark, sf_dir):
     """Class 0 cleaned and under-sampled to 150, classes 1-3 untouched, then SMOTE."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")
