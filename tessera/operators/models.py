@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -381,4 +381,4 @@ def encode_batches(df: DataFrame, text_col: str, id_col: str, fn=None, dim: int
     return df.select(id_col, text_col).mapInPandas(run, schema)
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["VectorAssembler"]
+__all__ = [n for n in dir() if not n.startswith("_")]

@@ -1,6 +1,5 @@
 """Cleaning, tokenizers and n-grams on literal frames (FIXTURES C3, C4)."""
 
-from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import vocab as V

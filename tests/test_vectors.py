@@ -1,7 +1,6 @@
 """Pooling (FIXTURES C5), exact k-NN against brute force, SMOTE invariants, splits."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tessera.operators import embed as EM
 from tessera.operators import knn as K
