@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import models as MD
 from tessera.operators import split as X
+from tessera.operators.indexing import materialize
 from tessera.plans.params import MIN_STEM, SEED, STOPWORDS, SUFFIXES
 from tessera.plans.registry import query
 from tessera.plans.sample_queries import _SPLIT_SQL, _split
@@ -110,6 +111,7 @@ def train_linear_svm(spark, sf_dir):
     codes = class_table(lab, "target", "label")  # one row per distinct target
     d = vec.join(lab.select("doc_id", "target"), "doc_id").join(codes, "target")
     d = X.stratified_split(d.select("doc_id", "features", F.col("label").cast("int")), "label", 0.2, SEED, "doc_id")
+    d = materialize(d)  # the optimiser makes one pass per iteration: read the vectors, not the text
     tr, te = d.where("split = 'train'"), d.where("split = 'test'")
     p = MD.predict(MD.train_linear_svm(tr), te, keep=("doc_id", "label"))
     return p.select("doc_id", "label", "prediction")
