@@ -29,19 +29,23 @@ def set_in(arr, sets) -> Column:
 
 # D1
 def find_polarity_conflicts(df: DataFrame, keys=("text", "sentiment"), label: str = "polarity") -> DataFrame:
-    """Key groups whose label set is exactly {0, 1} (nulls ignored, as a Python set of
-    non-null values would). Counted with mergeable counters, not collected sets."""
-    g = df.groupBy(*keys).agg(
+    """Key groups whose label set is exactly {0, 1}. As with a pandas group-by, rows with a
+    null key form no group, and a null label is a member of the set (so {0, 1, null} is not
+    {0, 1}). Counted with mergeable counters, not collected sets."""
+    keyed = df.dropna(subset=list(keys))
+    g = keyed.groupBy(*keys).agg(
         F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"),
-        F.count_if(F.col(label).isNotNull() & ~F.col(label).isin(0, 1)).alias("n_other"))
+        F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1)).alias("n_other"))
     return g.where((F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("n_other") == 0)).select(*keys)
 
 
 # J1
-def duplicates_full(df: DataFrame, keys=("text", "sentiment")) -> DataFrame:
-    """Detail rows of every key group that occurs more than once (inner join back)."""
-    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    return df.join(dup, list(keys), "inner")
+def duplicates_full(df: DataFrame, groups: DataFrame | None = None, keys=("text", "sentiment")) -> DataFrame:
+    """Detail rows of the given key groups (inner join back), e.g. the conflict groups of
+    ``find_polarity_conflicts``; without ``groups``, of every group occurring more than once."""
+    if groups is None:
+        groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    return df.join(groups.select(*keys), list(keys), "inner")
 
 
 # J2
@@ -90,8 +94,10 @@ def find_cross_class_conflicts(df: DataFrame, sets, key: str = "text", label: st
     The per-group label set is a collect_set — bounded by the number of classes, not by
     the group size — so the hot-group case stays small in the aggregation buffer.
     """
-    g = df.groupBy(key).agg(F.array_sort(F.collect_set(label)).alias("label_set"))
-    return g.where(set_in("label_set", sets))
+    g = (df.where(F.col(key).isNotNull()).groupBy(key)
+           .agg(F.array_sort(F.collect_set(label)).alias("label_set"), F.count_if(F.col(label).isNull()).alias("_nn")))
+    # a null label is part of the group's set in the reference, so such a group never matches
+    return g.where(set_in("label_set", sets) & (F.col("_nn") == 0)).drop("_nn")
 
 
 # D5

@@ -153,15 +153,25 @@ def label_names(spark, sf_dir):
 
 # ---------------------------------------------------------------- J1-J3, D1-D9
 _CONFLICTS_SQL = f"""{ANNOTATED_SQL},
-conflicts AS (SELECT text, sentiment FROM annotated GROUP BY text, sentiment
+conflicts AS (SELECT text, sentiment FROM annotated WHERE text IS NOT NULL AND sentiment IS NOT NULL
+              GROUP BY text, sentiment
               HAVING count_if(polarity = 0) > 0 AND count_if(polarity = 1) > 0
-                 AND count_if(polarity IS NOT NULL AND polarity NOT IN (0, 1)) = 0)"""
+                 AND count_if(polarity IS NULL OR polarity NOT IN (0, 1)) = 0)"""
 
 
-@query("duplicates_full", sql=f"""WITH {ANNOTATED_SQL},
+@query("duplicates_full", sql=f"""WITH {_CONFLICTS_SQL}
+SELECT a.doc_id, a.sentiment, a.polarity FROM annotated a JOIN conflicts d ON a.text = d.text AND a.sentiment = d.sentiment""")
+def duplicates_full(spark, sf_dir):
+    """Detail rows of the polarity-conflict groups."""
+    a = annotated(spark, sf_dir)
+    return D.duplicates_full(a, D.find_polarity_conflicts(a)).select("doc_id", "sentiment", "polarity")
+
+
+@query("repeated_groups", sql=f"""WITH {ANNOTATED_SQL},
 dup AS (SELECT text, sentiment FROM annotated GROUP BY text, sentiment HAVING count(*) > 1)
 SELECT a.doc_id, a.sentiment, a.polarity FROM annotated a JOIN dup d ON a.text = d.text AND a.sentiment = d.sentiment""")
-def duplicates_full(spark, sf_dir):
+def repeated_groups(spark, sf_dir):
+    """J1 without a group table: detail rows of every (text, sentiment) occurring twice or more."""
     return D.duplicates_full(annotated(spark, sf_dir)).select("doc_id", "sentiment", "polarity")
 
 
@@ -237,7 +247,8 @@ def _sets_sql(sets):
 
 @query("cross_class_conflicts", sql=f"""WITH {_CODED_SQL}
 SELECT md5(text) AS text_md5, array_to_string(label_set, ',') AS label_set FROM
- (SELECT text, list_sort(list_distinct(list(target))) AS label_set FROM coded GROUP BY text)
+ (SELECT text, list_sort(list_distinct(list(target))) AS label_set FROM coded WHERE text IS NOT NULL
+  GROUP BY text HAVING count_if(target IS NULL) = 0)
 WHERE label_set IN {_sets_sql(CROSS_PASSES[0][0] + CROSS_PASSES[1][0])}""")
 def cross_class_conflicts(spark, sf_dir):
     sets = CROSS_PASSES[0][0] + CROSS_PASSES[1][0]
@@ -247,7 +258,8 @@ def cross_class_conflicts(spark, sf_dir):
 
 def _pass_sql(src, dst, sets, drop):
     return f"""{dst} AS (SELECT s.* FROM {src} s WHERE NOT (s.target IN ({', '.join(map(str, drop))}) AND s.text IN
-  (SELECT text FROM {src} GROUP BY text HAVING list_sort(list_distinct(list(target))) IN {_sets_sql(sets)})))"""
+  (SELECT text FROM {src} WHERE text IS NOT NULL GROUP BY text
+   HAVING count_if(target IS NULL) = 0 AND list_sort(list_distinct(list(target))) IN {_sets_sql(sets)})))"""
 
 
 _CROSS_RESOLVED_SQL = (f"{_CODED_SQL},\n{_pass_sql('coded', 'pass1', *CROSS_PASSES[0])},\n"

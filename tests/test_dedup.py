@@ -7,12 +7,13 @@ def test_polarity_conflicts(spark):
     data = [(1, "t1", "S", 0), (2, "t1", "S", 1),            # {0,1} -> conflict
             (3, "t2", "S", 0),                               # {0}
             (4, "t3", "S", 1), (5, "t3", "S", 1),            # {1,1}
-            (6, "t4", "S", None), (7, "t4", "S", 0), (8, "t4", "S", 1)]  # null ignored -> conflict
+            (6, "t4", "S", None), (7, "t4", "S", 0), (8, "t4", "S", 1),  # {0, 1, null} is not {0, 1}
+            (9, None, "S", 0), (10, None, "S", 1)]                         # null key: no group
     df = spark.createDataFrame(data, "doc_id int, text string, sentiment string, polarity int")
     got = sorted(r.text for r in D.find_polarity_conflicts(df).collect())
-    assert got == ["t1", "t4"]
+    assert got == ["t1"]
     res = D.resolve_polarity_conflicts(df, [("S", 1)])
-    assert sorted(r.doc_id for r in res.collect()) == [1, 3, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in res.collect()) == [1, 3, 4, 5, 6, 7, 8, 9, 10]
 
 
 def test_cross_class_exact_sets(spark):
@@ -21,6 +22,8 @@ def test_cross_class_exact_sets(spark):
     df = spark.createDataFrame(data, "doc_id int, text string, target int")
     found = sorted(r.text for r in D.find_cross_class_conflicts(df, [{0, 2}, {1, 5}]).collect())
     assert found == ["a", "b"]                 # {0,1,2} and {0,2,4} are not exact matches
+    with_null = df.unionByName(spark.createDataFrame([(11, "a", None)], "doc_id int, text string, target int"))
+    assert sorted(r.text for r in D.find_cross_class_conflicts(with_null, [{0, 2}, {1, 5}]).collect()) == ["b"]
     res = D.resolve_cross_class_conflicts(df, [([{0, 2}, {1, 5}], [0, 1])])
     assert sorted(r.doc_id for r in res.collect()) == [2, 4, 5, 6, 7, 8, 9, 10]
     check = D.assert_no_conflicts(res, [{0, 2}, {1, 5}])
