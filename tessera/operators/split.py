@@ -48,13 +48,14 @@ def stratified_split(df: DataFrame, label: str, test_size: float, seed: int, id_
 # X2
 def train_test_val_split(df: DataFrame, label: str, test_size: float, val_size: float, seed: int,
                          id_col: str, out: str = "split") -> DataFrame:
-    """Two stratified steps: test off the whole table, then validation off the rest with
-    fraction val / (1 - test)."""
-    s1 = stratified_split(df, label, test_size, seed, id_col, "_s1")
-    test = s1.where(F.col("_s1") == "test").withColumn(out, F.lit("test")).drop("_s1")
-    rest = s1.where(F.col("_s1") == "train").drop("_s1")
-    s2 = stratified_split(rest, label, val_size / (1.0 - test_size), seed + 1, id_col, out, ("train", "validation"))
-    return s2.unionByName(test)
+    """Two stratified steps as in the reference: train vs. a held-out share test + val, then
+    the held-out rows split into test and validation, validation taking the fraction
+    val / (test + val)."""
+    s1 = stratified_split(df, label, test_size + val_size, seed, id_col, "_s1", ("train", "held"))
+    train = s1.where(F.col("_s1") == "train").withColumn(out, F.lit("train")).drop("_s1")
+    held = s1.where(F.col("_s1") == "held").drop("_s1")
+    s2 = stratified_split(held, label, val_size / (test_size + val_size), seed + 1, id_col, out, ("test", "validation"))
+    return train.unionByName(s2)
 
 
 # X3

@@ -33,10 +33,10 @@ _SPLIT_SQL = f"""{IMBALANCED_SQL}, base AS (SELECT vec_id, label FROM imbalanced
 {split_sql('base', 'sp', 'vec_id', 0.2, SEED)}"""
 
 _TVT_SQL = f"""{IMBALANCED_SQL}, base AS (SELECT vec_id, label FROM imbalanced),
-{split_sql('base', 's1', 'vec_id', 0.1, SEED)},
-rest AS (SELECT vec_id, label FROM s1 WHERE split = 'train'),
-{split_sql('rest', 's2', 'vec_id', 0.1 / 0.9, SEED + 1, 'validation', 'train')},
-tvt AS (SELECT vec_id, label, split FROM s2 UNION ALL SELECT vec_id, label, 'test' FROM s1 WHERE split = 'test')"""
+{split_sql('base', 's1', 'vec_id', 0.1 + 0.1, SEED, 'held', 'train')},
+held AS (SELECT vec_id, label FROM s1 WHERE split = 'held'),
+{split_sql('held', 's2', 'vec_id', 0.1 / (0.1 + 0.1), SEED + 1, 'validation', 'test')},
+tvt AS (SELECT vec_id, label, split FROM s2 UNION ALL SELECT vec_id, label, 'train' FROM s1 WHERE split = 'train')"""
 
 
 def _split(spark, sf_dir):
