@@ -95,7 +95,27 @@ def neighbourhood_cleaning(spark, sf_dir):
     return RS.neighbourhood_cleaning(df, "label", "vec_id", "embedding", 3, SEED).select("vec_id", "label")
 
 
-@query("condensed_nn")
+def cnn_sql(rounds: int = 10, seed: int = SEED) -> str:
+    """SQL twin of ``condensed_nn`` with the loop unrolled: once a round adds nothing, later
+    rounds add nothing either, so the store after ``rounds`` rounds equals the early stop."""
+    dist = "sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))))"
+    ctes = [_E_SQL,
+            "cnt AS (SELECT label, count(*) AS n_c FROM e GROUP BY label)",
+            "mn AS (SELECT label AS _min FROM cnt ORDER BY n_c, label LIMIT 1)",
+            f"""seed AS (SELECT vec_id FROM e, mn WHERE label = _min UNION
+              SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label
+                ORDER BY md5('{seed}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS r FROM e) WHERE r = 0)""",
+            "st0 AS (SELECT * FROM e WHERE vec_id IN (SELECT vec_id FROM seed))"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"""rest{i} AS (SELECT * FROM e WHERE vec_id NOT IN (SELECT vec_id FROM st{i - 1})),
+nn{i} AS (SELECT a.vec_id, a.label, arg_min(b.label, ({dist}, b.vec_id)) AS nl
+          FROM rest{i} a JOIN st{i - 1} b ON TRUE GROUP BY a.vec_id, a.label),
+st{i} AS (SELECT * FROM st{i - 1} UNION ALL
+          SELECT * FROM rest{i} WHERE vec_id IN (SELECT vec_id FROM nn{i} WHERE nl <> label))""")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT vec_id, label FROM st{rounds}"
+
+
+@query("condensed_nn", sql=cnn_sql())
 def condensed_nn(spark, sf_dir):
     """Condensed nearest-neighbour subset (iterative rounds, rows-only check)."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")
