@@ -21,18 +21,30 @@ TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 SMALL_INPUT_BYTES = 1 << 30
 
 
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` (Hadoop FileSystem, works for any scheme)."""
+_SMALL_CACHE: dict = {}
+
+
+def is_small_input(spark: SparkSession, path: str, limit: int = SMALL_INPUT_BYTES) -> bool:
+    """True when the files under ``path`` total less than ``limit`` bytes. The listing
+    (Hadoop FileSystem, any scheme) stops as soon as the limit is passed, so a table of
+    many files costs a few list calls, not a full walk; the answer is cached per path."""
+    if path in _SMALL_CACHE:
+        return _SMALL_CACHE[path]
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+    it = fs.listFiles(p, True)
+    total = 0
+    while total < limit and it.hasNext():
+        total += int(it.next().getLen())
+    _SMALL_CACHE[path] = total < limit
+    return _SMALL_CACHE[path]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    if name in TEXT_TABLES and input_bytes(spark, path) < SMALL_INPUT_BYTES:
+    if name in TEXT_TABLES and is_small_input(spark, path):
         df = df.repartition(spark.sparkContext.defaultParallelism * 2)
     return df
 
