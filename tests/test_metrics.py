@@ -53,3 +53,28 @@ def test_best_epoch_rules(spark):
 def test_alpha_perfect_agreement(spark):
     df = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 1), (4, 0, None)], "u int, a int, b int")
     assert math.isclose(A.krippendorff_alpha_nominal(df, "u", ["a", "b"]).first().alpha, 1.0)
+
+
+def test_pr_curve_average_precision_and_interpolation(spark):
+    # binary-style one-vs-rest on class 1: scores 0.9 (pos), 0.8 (neg), 0.7 (pos), 0.1 (neg)
+    df = spark.createDataFrame([(1, [0.1, 0.9]), (0, [0.2, 0.8]), (1, [0.3, 0.7]), (0, [0.9, 0.1])],
+                               "label int, probability array<double>")
+    pts = sorted((r.recall, r.precision) for r in M.pr_curve(df).where("class = 1").collect())
+    assert pts == sorted([(0.0, 1.0), (0.5, 1.0), (0.5, 0.5), (1.0, 2 / 3), (1.0, 0.5)])
+    ap = {r["class"]: r.ap for r in M.average_precision(df).collect()}
+    assert math.isclose(ap[1], 0.5 * 1.0 + 0.5 * (2 / 3))
+    grid = {r.j: r.precision for r in M.macro_pr_curve(df, points=3).collect()}
+    # per class: best precision at each recall, linear between; class 0 and 1 averaged
+    assert set(grid) == {0, 1, 2} and all(0.0 <= v <= 1.0 for v in grid.values())
+
+
+def test_roc_curve_points(spark):
+    df = spark.createDataFrame([(1, [0.2, 0.8]), (0, [0.6, 0.4]), (1, [0.7, 0.3])], "label int, probability array<double>")
+    pts = sorted((r.fpr, r.tpr) for r in M.roc_curve(df).where("class = 1").collect())
+    assert pts == [(0.0, 0.0), (0.0, 0.5), (1.0, 0.5), (1.0, 1.0)]
+
+
+def test_cross_entropy_smoothing(spark):
+    df = spark.createDataFrame([(0, [0.5, 0.5])], "label int, probability array<double>")
+    ce = M.cross_entropy(df, smoothing=0.1).first()[0]
+    assert math.isclose(ce, -math.log(0.5))
