@@ -68,3 +68,9 @@ def test_leak_audit(spark):
     test = spark.createDataFrame([(1,), (2,)], "id long")
     r = X.leak_audit(train, test, "id").first()
     assert r.n_leaked_rows == 1 and r.n_test_sources == 1
+
+
+def test_knn_empty_right(spark):
+    left = spark.createDataFrame([(1, [0.0, 1.0])], "id long, v array<double>")
+    right = spark.createDataFrame([], "id long, v array<double>")
+    assert K.knn_join(left, right, 3, "id", "id", "v", "v").count() == 0
