@@ -394,3 +394,13 @@ def search_cost_weights(spark, sf_dir):
     cands = M.cost_weight_candidates(p, 24, SEED)
     out = M.search_cost_weights(p, cands, 5)
     return out.select(F.col("candidate").cast("int").alias("candidate"), F.round("macro_f1", DIGITS).alias("macro_f1"))
+
+
+@query("confusion_matrix_wide", sql=f"""WITH {_COUNTS_SQL},
+cm AS (SELECT a.class AS label, CAST(b.class AS VARCHAR) AS prediction, coalesce(pc.count, 0) AS count
+       FROM cls a CROSS JOIN cls b LEFT JOIN pc ON pc.label = a.class AND pc.prediction = b.class)
+PIVOT cm ON prediction USING first(count) GROUP BY label""")
+def confusion_matrix_wide(spark, sf_dir):
+    """V1 pivoted: one row per true class, one column per predicted class (k columns)."""
+    cm = M.confusion_matrix(predictions(spark, sf_dir))
+    return M.pivot_confusion(cm.withColumn("prediction", F.col("prediction").cast("string")))
