@@ -105,19 +105,23 @@ def adasyn(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: i
 
 
 # X5
-def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k: int = 3, seed: int = 42) -> DataFrame:
+def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k: int = 3, seed: int = 42,
+                           threshold_cleaning: float = 0.5) -> DataFrame:
     """Neighbourhood cleaning rule: remove (a) non-minority rows whose k-NN majority label
-    differs from their own (edited nearest neighbours) and (b) non-minority neighbours of
-    minority rows that their k-NN vote misclassifies."""
+    differs from their own (edited nearest neighbours) and (b) the neighbours of minority
+    rows that their k-NN vote misclassifies, when those neighbours belong to a class larger
+    than ``threshold_cleaning`` x the minority size."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    minority = counts.orderBy("n_c", label).first()[label]  # the smallest class: one value
+    small = counts.orderBy("n_c", label).first()  # the smallest class: one row
+    minority = small[label]
+    cleanable = [r[label] for r in counts.where(F.col("n_c") > threshold_cleaning * small["n_c"]).collect()]  # <= k
     nn = knn_join(df, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed)
     v = vote(nn, df, id_col, label).join(df.select(id_col, label), id_col).withColumn("_min", F.lit(minority))
     edited = v.where((F.col(label) != F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
     bad_min = v.where((F.col(label) == F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
     neigh = (nn.join(bad_min, id_col, "left_semi").select(F.col("nn_id").alias(id_col))
                .join(df.select(id_col, label), id_col).withColumn("_min", F.lit(minority))
-               .where(F.col(label) != F.col("_min")).select(id_col))
+               .where((F.col(label) != F.col("_min")) & F.col(label).isin(cleanable)).select(id_col))
     return df.join(edited.union(neigh).distinct(), id_col, "left_anti")
 
 

@@ -83,7 +83,8 @@ def ncr_ctes(src: str, p: str, k: int = 3) -> str:
 {p}edited AS (SELECT vec_id FROM {p}lab, {p}mn WHERE label <> _min AND prediction <> label),
 {p}bad_min AS (SELECT vec_id FROM {p}lab, {p}mn WHERE label = _min AND prediction <> label),
 {p}neigh AS (SELECT k.nn_id AS vec_id FROM {p}knn k JOIN {p}bad_min USING (vec_id) JOIN {src} s ON s.vec_id = k.nn_id, {p}mn
-             WHERE s.label <> _min),
+             WHERE s.label <> _min AND s.label IN (SELECT label FROM {p}cnt
+                   WHERE n_c > 0.5 * (SELECT min(n_c) FROM {p}cnt))),
 {p}kept AS (SELECT * FROM {src} WHERE vec_id NOT IN (SELECT vec_id FROM {p}edited UNION SELECT vec_id FROM {p}neigh))"""
 
 
