@@ -30,22 +30,26 @@ def is_small_input(spark: SparkSession, path: str, limit: int = SMALL_INPUT_BYTE
     many files costs a few list calls, not a full walk; the answer is cached per path."""
     if path in _SMALL_CACHE:
         return _SMALL_CACHE[path]
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    it = fs.listFiles(p, True)
-    total = 0
-    while total < limit and it.hasNext():
-        total += int(it.next().getLen())
-    _SMALL_CACHE[path] = total < limit
-    return _SMALL_CACHE[path]
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        it = fs.listFiles(p, True)
+        total = 0
+        while total < limit and it.hasNext():
+            total += int(it.next().getLen())
+        small = total < limit
+    except Exception:  # noqa: BLE001 - no JVM gateway (e.g. a remote session): keep the scan as is
+        small = False
+    _SMALL_CACHE[path] = small
+    return small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
     if name in TEXT_TABLES and is_small_input(spark, path):
-        df = df.repartition(spark.sparkContext.defaultParallelism * 2)
+        df = df.repartition(spark.sparkContext.defaultParallelism * 2)  # only reached with a JVM gateway
     return df
 
 
