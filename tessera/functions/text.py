@@ -112,16 +112,27 @@ def strip_suffixes_inline(c, suffixes, min_stem: int = 2) -> Column:
 
 
 # T7
-def clean_text(c, stopwords=(), suffixes=(), min_stem: int = 2, punct_mode: str = "space") -> Column:
-    """suffix strip -> lower -> danda -> punctuation -> dots/dashes -> stopwords; null -> ''."""
+def _pre_stopwords(c, suffixes, min_stem, punct_mode) -> Column:
     x = F.coalesce(col_(c), F.lit(""))
     if suffixes:
         x = strip_suffixes_inline(x, suffixes, min_stem)
     x = to_lower(x)
     x = normalize_danda(x)
     x = strip_punctuation(x, punct_mode)
-    x = collapse_dots_dashes(x)
-    return remove_stopwords(x, list(stopwords))
+    return collapse_dots_dashes(x)
+
+
+def clean_text(c, stopwords=(), suffixes=(), min_stem: int = 2, punct_mode: str = "space") -> Column:
+    """suffix strip -> lower -> danda -> punctuation -> dots/dashes -> stopwords; null -> ''."""
+    return remove_stopwords(_pre_stopwords(c, suffixes, min_stem, punct_mode), list(stopwords))
+
+
+def clean_tokens(c, stopwords=(), suffixes=(), min_stem: int = 2, punct_mode: str = "space") -> Column:
+    """The whitespace tokens of ``clean_text`` (T7 then T8) without joining and re-splitting:
+    the stopword-filtered token array itself."""
+    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
+    toks = tokenize_whitespace(_pre_stopwords(c, suffixes, min_stem, punct_mode))
+    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
 
 
 # T9

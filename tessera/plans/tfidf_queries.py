@@ -15,7 +15,7 @@ from tessera.sources.tables import table
 def clean_tokens(spark, sf_dir):
     """documents -> (doc_id, tokens): cleaned (T7) then whitespace-tokenised."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.tokenize_whitespace(T.clean_text("text", STOPWORDS, SUFFIXES, MIN_STEM)).alias("tokens"))
+    return d.select("doc_id", T.clean_tokens("text", STOPWORDS, SUFFIXES, MIN_STEM).alias("tokens"))
 
 
 def default_tokens(spark, sf_dir):

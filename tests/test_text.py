@@ -62,3 +62,10 @@ def test_top_and_bottom_words_ties(spark):
     assert top == [("b", 2), ("a", 2), ("c", 1)]      # ties by first appearance
     bottom = rows(V.bottom_words(df, 2))
     assert bottom == [("d", 1), ("c", 1)]             # least common, later-seen first
+
+
+def test_clean_tokens_equals_split_of_clean_text(spark):
+    df = spark.createDataFrame([(1, "The  walking\\ndogs, and cats!"), (2, None), (3, "a … b -- the")], "id int, text string")
+    r = df.select(T.clean_tokens("text", ["the", "and"], ["s", "ing"]).alias("a"),
+                  T.tokenize_whitespace(T.clean_text("text", ["the", "and"], ["s", "ing"])).alias("b")).collect()
+    assert all(x.a == x.b for x in r)
