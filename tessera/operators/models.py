@@ -315,9 +315,9 @@ def compare_estimators(train: DataFrame, test: DataFrame, estimators: dict, labe
 def score_texts(df: DataFrame, text_col: str, vectors: DataFrame, model, stopwords=(), suffixes=(),
                 min_stem=2, doc_col="doc_id", dim=None) -> DataFrame:
     """clean -> tokens -> mean-pooled vector -> model: (doc, prediction, probability)."""
-    from tessera.functions.text import clean_text, tokenize_whitespace
+    from tessera.functions.text import clean_tokens
     from tessera.operators.embed import mean_pool
-    toks = df.select(doc_col, tokenize_whitespace(clean_text(text_col, stopwords, suffixes, min_stem)).alias("tokens"))
+    toks = df.select(doc_col, clean_tokens(text_col, stopwords, suffixes, min_stem).alias("tokens"))
     emb = with_features(mean_pool(toks, vectors, doc_col, "tokens", dim), "embedding")
     return predict(model, emb, keep=(doc_col,))
 

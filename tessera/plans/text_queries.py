@@ -151,7 +151,7 @@ SELECT target, term, count(*) AS count FROM (SELECT target, unnest(tokens) AS te
 def class_term_counts(spark, sf_dir):
     """Term frequencies of every class in one pass (the table behind a word cloud)."""
     lab = labelled(spark, sf_dir).select(
-        "target", T.tokenize_whitespace(T.clean_text("text", STOPWORDS, SUFFIXES, MIN_STEM)).alias("tokens"))
+        "target", T.clean_tokens("text", STOPWORDS, SUFFIXES, MIN_STEM).alias("tokens"))
     return V.class_term_counts(lab, "target")
 
 
