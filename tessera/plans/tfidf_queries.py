@@ -108,14 +108,23 @@ def doc_word_scores(spark, sf_dir):
     return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "term", F.round("tfidf", DIGITS).alias("tfidf"))
 
 
-@query("tfidf_sparse_vectors")
+@query("tfidf_sparse_vectors", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL}
+SELECT doc_id, CAST((SELECT count(*) FROM model) AS INTEGER) AS size, CAST(count(*) AS INTEGER) AS nnz,
+       round(sum(tfidf), {DIGITS}) AS value_sum, CAST(min(term_index) AS INTEGER) AS first_index
+FROM tfidf GROUP BY doc_id""")
 def tfidf_sparse_vectors(spark, sf_dir):
-    """Long form -> one ML SparseVector per document (rows-only check)."""
+    """Long form -> one ML SparseVector per document; checked through the vector's
+    text form (size, stored entries, sum of values, first index)."""
     docs = clean_tokens(spark, sf_dir)
     model = TF.tfidf_fit(docs)
     size = model.agg(F.max("term_index")).first()[0] + 1
-    v = TF.to_ml_vector(TF.tfidf_transform(docs, model), size)
-    return v.select("doc_id", F.col("features").cast("string").alias("features"))
+    v = TF.to_ml_vector(TF.tfidf_transform(docs, model), size).select("doc_id", F.col("features").cast("string").alias("s"))
+    idx = F.split(F.regexp_extract("s", r"^\(\d+,\[([^\]]*)\]", 1), ",")
+    vals = F.split(F.regexp_extract("s", r"\],\[([^\]]*)\]\)$", 1), ",")
+    return v.select("doc_id", F.regexp_extract("s", r"^\((\d+),", 1).cast("int").alias("size"),
+                    F.size(idx).alias("nnz"),
+                    F.round(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x.cast("double")), DIGITS).alias("value_sum"),
+                    F.element_at(idx, 1).cast("int").alias("first_index"))
 
 
 @query("vectorizer_save_load", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL}
