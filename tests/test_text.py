@@ -69,3 +69,11 @@ def test_clean_tokens_equals_split_of_clean_text(spark):
     r = df.select(T.clean_tokens("text", ["the", "and"], ["s", "ing"]).alias("a"),
                   T.tokenize_whitespace(T.clean_text("text", ["the", "and"], ["s", "ing"])).alias("b")).collect()
     assert all(x.a == x.b for x in r)
+
+
+def test_script_tokenizer_and_transliteration(spark):
+    df = spark.createDataFrame([("नमस्ते world, राम।",)], "t string")
+    assert df.select(T.tokenize_script("t").alias("s")).first().s == ["नमस्ते", "राम"]
+    tr = spark.createDataFrame([("Größe café",)], "t string")
+    out = tr.select(T.transliterate("t", {"ö": "o", "é": "e"}, {"ß": "ss"}).alias("x")).first().x
+    assert out == "Grosse cafe"
