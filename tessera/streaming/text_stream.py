@@ -1,8 +1,9 @@
 """Stateless reuse of the batch operators on Structured Streaming sources.
 
-The reference has no streaming, watermarks or state. Cleaning (T7/T8) and scoring with a
-fitted model (M16) are per-row column expressions, so the same functions apply to a
-``readStream`` DataFrame unchanged; nothing here keeps state across micro-batches.
+The reference has no streaming, watermarks or state. Cleaning (T7/T8) is a per-row column
+expression and applies to a ``readStream`` DataFrame unchanged. Scoring with a fitted model
+(M16) pools each document's vectors, so it runs per micro-batch through ``foreachBatch``;
+documents are single rows, so no state crosses micro-batches.
 """
 
 from __future__ import annotations
@@ -25,9 +26,22 @@ def clean_stream(stream: DataFrame, stopwords=(), suffixes=(), min_stem: int = 2
     return stream.select("doc_id", c.alias("clean")).withColumn("tokens", T.tokenize_whitespace("clean"))
 
 
-def score_stream(stream: DataFrame, model, vectors: DataFrame, stopwords=(), suffixes=(), min_stem: int = 2,
-                 dim: int | None = None) -> DataFrame:
-    """M16 on a stream: the fitted model and the (static) vector table are joined per
-    micro-batch; a stream-static join keeps no state."""
+def start_scoring(stream: DataFrame, model, vectors: DataFrame, out_path: str, checkpoint: str,
+                  stopwords=(), suffixes=(), min_stem: int = 2, dim: int | None = None, trigger=None):
+    """M16 on a stream, one micro-batch at a time (``foreachBatch``).
+
+    Scoring pools each document's word vectors — a per-document aggregation — so it is not a
+    streaming projection; but a document is one row and therefore whole inside one
+    micro-batch, so the batch scorer runs on each micro-batch with no state across batches.
+    Each batch is written to its own ``batch_id=<n>`` folder in overwrite mode: a retried
+    batch replaces its own output (idempotent sink).
+    """
     from tessera.operators.models import score_texts
-    return score_texts(stream, "text", vectors, model, stopwords, suffixes, min_stem, dim=dim)
+
+    def write_batch(batch_df: DataFrame, batch_id: int) -> None:
+        scored = score_texts(batch_df, "text", vectors, model, stopwords, suffixes, min_stem, dim=dim)
+        scored.drop("probability").write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(**(trigger or {"availableNow": True}))
+    return w.start()
