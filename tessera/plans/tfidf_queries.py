@@ -45,9 +45,9 @@ FROM tfidf GROUP BY term ORDER BY sum(tfidf) DESC, term LIMIT 20""", headline=Tr
 def tfidf_top_terms(spark, sf_dir):
     """Flagship: clean -> tokens -> TF-IDF fit/transform -> top-20 terms by mean tf-idf."""
     docs = clean_tokens(spark, sf_dir)
-    model = TF.tfidf_fit(docs, with_index=False)
+    n_docs = docs.select("doc_id").count()  # one count serves the idf and the mean
+    model = TF.tfidf_fit(docs, with_index=False, n_docs=n_docs)
     tfidf = TF.tfidf_transform(docs, model)
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     top = TF.top_terms_by_mean_tfidf(tfidf, n_docs, 20)
     return top.select("term", F.round("mean_tfidf", DIGITS).alias("mean_tfidf"))
 
