@@ -84,3 +84,17 @@ def test_top_k_per_group_two_stage(spark):
     t = R.top_k(df, "v", 2, per="g", tie="id")
     got = sorted((r.g, r.id, r.rank) for r in t.collect())
     assert got == [("a", 6, 1), ("a", 13, 2), ("b", 100, 1)]
+
+
+def test_read_trial_log_types_and_names(spark):
+    from tessera.sources.files import TRIAL_LOG_SCHEMA
+    names = [f.name for f in TRIAL_LOG_SCHEMA.fields]
+    row = [0, 0.6384, 1700000000, "ck", True, 30, "t0", "2024-01-02_03-04-05", 1.0, 31.8, 7, "h", "ip", 31.8, 30,
+           8, 64, "Adamax", 0.001, 30, "relu", 0.1, "/logs"]
+    path = _tmp("trials.csv")
+    with open(path, "w") as f:
+        f.write(",".join(names) + "\n" + ",".join("true" if v is True else str(v) for v in row) + "\n")
+    t = files.read_trial_log(spark, path).first()
+    assert t.config_optimizer == "Adamax" and t.config_batch_size == 8 and t.f1 == 0.6384
+    assert t.date_ts.strftime("%Y-%m-%d %H:%M:%S") == "2024-01-02 03:04:05"
+    assert t.ts is not None
