@@ -78,3 +78,14 @@ def test_cross_entropy_smoothing(spark):
     df = spark.createDataFrame([(0, [0.5, 0.5])], "label int, probability array<double>")
     ce = M.cross_entropy(df, smoothing=0.1).first()[0]
     assert math.isclose(ce, -math.log(0.5))
+
+
+def test_histogram_constant_and_kde_mass(spark):
+    const = spark.createDataFrame([(5,), (5,), (5,)], "x int")
+    h = {r.bin: r["count"] for r in A.histogram(const, "x", 4).collect()}
+    assert h == {0: 3, 1: 0, 2: 0, 3: 0}
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 2, 3, 3, 3, 4, 4, 5, 9]], "x double")
+    pts = sorted((r.x, r.density) for r in A.kde(df, "x", 200).collect())
+    step = pts[1][0] - pts[0][0]
+    mass = sum(d for _, d in pts) * step
+    assert 0.8 < mass < 1.0          # the grid spans [min, max]; tails beyond it are cut
