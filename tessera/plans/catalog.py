@@ -1,7 +1,9 @@
 """Imports every query module so the registry is complete."""
 
 from tessera.plans import registry
-from tessera.plans import corpus_queries, embed_queries, eval_queries, model_queries, resample_queries, sample_queries, source_queries, text_queries, tfidf_queries  # noqa: F401
+from tessera.plans import (corpus_queries, embed_queries, eval_queries, model_queries,  # noqa: F401
+                           resample_queries, sample_queries, source_queries, text_queries,
+                           tfidf_queries)
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
