@@ -150,7 +150,9 @@ def _running(df: DataFrame, label="label", prob="probability") -> DataFrame:
     """Per (class, score desc): cumulative positives / negatives and class totals."""
     cs = class_scores(df, label, prob)
     cum = cumulative(cs, ["class"], [F.col("score").desc()], ["pos", "neg"], "sum")
-    totals = cs.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # class totals are the last running values: read them from the (checkpointed) running
+    # table instead of aggregating the prediction table a second time
+    totals = cum.groupBy("class").agg(F.max("pos_cum").cast("long").alias("P"), F.max("neg_cum").cast("long").alias("N"))
     return cum.join(totals, "class")  # k rows
 
 
