@@ -9,18 +9,19 @@ its own: longest piece first, into the open window with the least sufficient roo
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import RUN_BYTES, materialize, runs_of
+from tessera.llm.common import RUN_BYTES, materialize, runs_of, string_buffers, word_spans
 
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
+SPECIAL = "<|endoftext|>"
 #: Pieces per packing group, on average: a task's memory, whatever the input's size.
 GROUP_PIECES = 50_000
 #: A task forgets its words after so many (bounds the cache).
@@ -32,18 +33,59 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    """Token ids of whole texts through a cache of words.
+#: Punctuation that never joins a letter or digit before it in one of the tokenizer's words.
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b",.;:!?$%&#*")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_ALPHA = np.zeros(256, bool)
+_ALPHA[[c for c in range(128) if chr(c).isalpha()]] = True
+
+
+def cache_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words as bytes, index of each text's first word) such that a text's token ids are those
+    of its words in turn.
 
-    The tokenizer splits at white space and never looks across it, so a text's ids are those
-    of its white-space separated words in turn. Each word is tokenised once per task.
+    Words end at ASCII white space, and between a letter or digit and the punctuation that
+    ends a word: the tokenizer splits there too. Words of ASCII letters alone are put in
+    lower case, as the tokenizer does. Both only make equal words meet.
     """
+    starts, ends, first = word_spans(raw, offsets)
+    cut = ends.copy()
+    for _ in range(8):
+        more = (cut > starts) & _TAIL[raw[cut - 1]]
+        if not more.any():
+            break
+        cut -= more
+    before, lead = raw[np.maximum(cut - 1, 0)], raw[np.maximum(cut - 2, 0)]
+    latin = (lead == 0xC3) & (before != 0x97) & (before != 0xB7) & (cut - 2 >= starts)
+    split = (cut < ends) & (cut > starts) & (_ALNUM[before] | latin)
+    count = 1 + split.astype(np.int64)
+    at = np.cumsum(count) - count
+    edges = np.empty(int(count.sum()) + 1, np.int64)
+    lengths = ends - starts
+    base = np.cumsum(lengths) - lengths
+    edges[at] = base
+    edges[at[split] + 1] = (base + cut - starts)[split]
+    edges[-1] = lengths.sum()
+    data = raw[(raw != 32) & ((raw < 9) | (raw > 13))]
+    other = np.concatenate([[0], np.cumsum(~_ALPHA[data])])
+    plain = np.repeat(other[edges[1:]] == other[edges[:-1]], np.diff(edges))
+    data = np.where(plain, data | 32, data).astype(np.uint8)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    return words, np.concatenate([at, [len(edges) - 1]])[first]
+
+
+class WordTokenizer:
+    """Token ids of whole texts through a cache of words; each is tokenised once per task."""
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = SPECIAL
+        self.mark_id = self.tokenizer.token_to_id(SPECIAL)
         self.clear()
 
     def clear(self) -> None:
@@ -52,35 +94,43 @@ class WordTokenizer:
         self.ends = np.zeros(1, np.int64)
 
     def add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        # many words make one call, with a special token between them that no word holds
+        names = [w.decode() for w in words]
+        odd = [i for i, w in enumerate(names) if "<|" in w]
+        single = {i: x.ids for i, x in zip(odd, self.tokenizer.encode_batch_fast([names[i] for i in odd], add_special_tokens=False))}
+        for i in odd:
+            names[i] = ""
+        joined = [self.mark.join(names[i:i + 50]) + self.mark for i in range(0, len(names), 50)]
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        marks = flat == self.mark_id
+        lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
+        flat = flat[~marks]
+        if odd:
+            at = np.cumsum(lengths)[odd]
+            flat = np.insert(flat, np.repeat(at, [len(single[i]) for i in odd]), list(chain.from_iterable(single[i] for i in odd))).astype(np.uint32)
+            lengths[odd] = [len(single[i]) for i in odd]
         used, need = int(self.ends[-1]), int(lengths.sum())
         while used + need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[used:used + need] = np.fromiter((i for x in ids for i in x), np.uint32, need)
-        n = len(self.ends) - 1
-        self.words.update(zip(words, range(n, n + len(words))))
+        self.ids[used:used + need] = flat
         self.ends = np.concatenate([self.ends, used + np.cumsum(lengths)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text)."""
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        bounds = lists.offsets.to_numpy(zero_copy_only=False)
-        words = lists.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).dictionary_encode()
-        bounds = bounds - bounds[0]
-        names = words.dictionary.cast(pa.large_binary()).to_pylist()
+        words, first = cache_words(*string_buffers(texts))
+        words = words.dictionary_encode()
+        names = words.dictionary.to_pylist()
         if len(self.words) > CACHE_WORDS:
             self.clear()
-        fresh = [w for w in names if w not in self.words]
-        if fresh:
-            self.add(fresh)
-        code = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))
+        n = len(self.words)
+        code = np.fromiter([self.words.setdefault(w, len(self.words)) for w in names], np.int64, len(names))
+        if len(self.words) > n:
+            self.add([names[i] for i in np.flatnonzero(code >= n)])
         at = code[words.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
         lo, n = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(n)
         flat = self.ids[np.repeat(lo - (ends - n), n) + np.arange(int(n.sum()))]
-        return flat, np.concatenate([[0], ends])[bounds]
+        return flat, np.concatenate([[0], ends])[first]
 
 
 def tokenised(docs: DataFrame, path: str | None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -94,7 +144,7 @@ def tokenised(docs: DataFrame, path: str | None, window: int = WINDOW, end_id: i
         tok = None
         for batch in batches:
             tok = tok or WordTokenizer(path or tokenizer_path())
-            for part in runs_of(batch, "text", 4 * RUN_BYTES):
+            for part in runs_of(batch, "text", 8 * RUN_BYTES):
                 flat, offsets = tok.encode(part.column(1))
                 out: list[list] = [[], [], [], [], []]
                 for doc, lo, hi in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -446,7 +446,7 @@ def test_backoff_without_words(spark):
 def test_packing_holds_every_id_once(spark, odd):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    rows = odd + [(30 + i, text(random.Random(i), 20 + 37 * i) + " It's <|endoftext|> 3rd\u00a0x e\u0301.") for i in range(40)]
+    rows = odd + [(30 + i, text(random.Random(i), 20 + 37 * i) + " It's <|endoftext|> 3rd\u00a0x e\u0301. (NO), «quoted», x<|startoftext|>y, a'', b'!! 'S. $$$ é!! ×, ÷. J\u030c, <|ENDOFTEXT|> end.") for i in range(40)]
     got = packing.pack(frame(spark, rows), group_pieces=20).collect()
     want = []
     for d, t in rows:
