@@ -24,8 +24,8 @@ TOKENIZER = "word_bpe_49k.json"
 SPECIAL = "<|endoftext|>"
 #: Pieces per packing group, on average: a task's memory, whatever the input's size.
 GROUP_PIECES = 50_000
-#: A task forgets its words after so many (bounds the cache).
-CACHE_WORDS = 1_000_000
+#: A worker forgets its words after so many (bounds the cache at about 100 MB).
+CACHE_WORDS = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -77,7 +77,20 @@ def cache_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndar
 
 
 class WordTokenizer:
-    """Token ids of whole texts through a cache of words; each is tokenised once per task."""
+    """Token ids of whole texts through a cache of words.
+
+    A Python worker keeps its cache over its tasks, see :meth:`of_worker`.
+    """
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordTokenizer:
+        """The process's tokenizer for ``path``, kept by the library's module (this module is
+        unpickled anew in every task)."""
+        import tokenizers
+        kept = vars(tokenizers).setdefault("_word_tokenizers", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def __init__(self, path: str):
         import os
@@ -143,7 +156,7 @@ def tokenised(docs: DataFrame, path: str | None, window: int = WINDOW, end_id: i
     def run(batches):
         tok = None
         for batch in batches:
-            tok = tok or WordTokenizer(path or tokenizer_path())
+            tok = tok or WordTokenizer.of_worker(path or tokenizer_path())
             for part in runs_of(batch, "text", 8 * RUN_BYTES):
                 flat, offsets = tok.encode(part.column(1))
                 out: list[list] = [[], [], [], [], []]
