@@ -6,8 +6,9 @@ partition of the count table. The bucket sums the counts of all chunks and joins
 back to the chunk's n-grams; the chunk then scores every word and sums per document.
 
 One row carries the n-grams of one chunk in one bucket, sorted, as differences in byte
-planes, which takes about a third of the bytes of one row per n-gram. An n-gram that every
-document holds arrives at its bucket once per chunk, so no bucket has a hot key.
+planes, and texts travel compressed; this takes about a quarter of the bytes of one row per
+n-gram. An n-gram that every document holds arrives at its bucket once per chunk, so no
+bucket has a hot key.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import RUN_BYTES, range_hashes, runs_of, string_buffers, word_hashes, word_spans
@@ -23,6 +26,8 @@ from tessera.llm.common import RUN_BYTES, range_hashes, runs_of, string_buffers,
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 #: Bytes of text in a chunk, on average. Its arrays take about 30 times that in a worker.
 CHUNK_BYTES = 8 << 20
+#: N-grams are told apart by hashes of so many bits.
+HASH_BITS = 56
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -39,11 +44,25 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint8)
 
 
-def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row per chunk with all its (doc_id, text, chunk) rows of the batch."""
+    raw, offsets = string_buffers(batch.column(1))
+    chunk = batch.column(2).to_numpy()
+    by = np.argsort(chunk, kind="stable")
+    coder, rows = zstandard.ZstdCompressor(level=3), ([], [], [], [])
+    for part in np.split(by, np.flatnonzero(np.diff(chunk[by])) + 1):
+        blob = b"".join(raw[offsets[i]:offsets[i + 1]].tobytes() for i in part)
+        for col, v in zip(rows, (chunk[part[0]], batch.column(0).take(pa.array(part)).to_pylist(), (offsets[part + 1] - offsets[part]).tolist(), coder.compress(blob))):
+            col.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=["chunk", "ids", "sizes", "texts"])
+
+
+def grams(group: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(first word of each text, hashes by order, by order the word index where each ends)."""
-    raw, offsets = string_buffers(texts)
-    raw = lower_ascii(raw)
-    starts, ends, first = word_spans(raw, offsets)
+    coder = zstandard.ZstdDecompressor()
+    raw = lower_ascii(np.frombuffer(b"".join(coder.decompress(x.as_py()) for x in group.column("texts")), np.uint8))
+    sizes = group.column("sizes").combine_chunks().flatten().to_numpy()
+    starts, ends, first = word_spans(raw, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
     h = word_hashes(raw, starts, ends)
     place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
     hashes, at = [], []
@@ -54,14 +73,14 @@ def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], li
             e = last[i:i + RUN_BYTES] + 1
             lo = int(e[0]) - k
             out[i:i + RUN_BYTES] = range_hashes(h[lo:int(e[-1])], e - k - lo, e - lo)
-        hashes.append(out)
+        hashes.append(out >> np.uint64(64 - HASH_BITS))
         at.append(last)
     return first, hashes, at
 
 
 def bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin in a sorted array; bucket = hash * buckets / 2**64."""
-    edges = [-(-(b << 64) // buckets) for b in range(1, buckets)]
+    """Where each bucket's hashes begin in a sorted array; bucket = hash * buckets / 2**HASH_BITS."""
+    edges = [-(-(b << HASH_BITS) // buckets) for b in range(1, buckets)]
     return np.concatenate([[0], np.searchsorted(distinct, np.array(edges, np.uint64)), [len(distinct)]]).astype(np.int64)
 
 
@@ -84,7 +103,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     corpus, else ``backoff`` times S with the context's first word left out; S(w) is
     count(w) / all words. ``score`` sums the natural logarithms over the document, shorter
     contexts at its start, and ``mean_score`` divides by ``n_words``. N-grams are told apart
-    by 64-bit hashes.
+    by 56-bit hashes.
 
     Null and empty texts have no words, score 0 and no mean. Rows without ``doc_id`` and
     repeated rows count and are scored like others. Extra columns are ignored.
@@ -93,41 +112,58 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     size, words = corpus_size(docs)
     chunks = max(1, -(-size // chunk_bytes))
     buckets = chunks
-    asked = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-    told = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
+    asked = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("k", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+    told = pa.schema([("chunk", pa.int32()), ("k", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
     scored = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("mean_score", pa.float64())])
 
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield packed(batch)
+
     def explode(group: pa.Table) -> pa.Table:
-        _, hashes, _ = grams(group.column("text"), order)
-        distinct, counts = np.unique(np.concatenate(hashes), return_counts=True)
-        cut = bounds(distinct, buckets)
-        rows: list[list] = [[], [], [], []]
-        chunk = group.column("chunk")[0].as_py()
-        for b, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            if hi > lo:
-                for col, v in zip(rows, (b, chunk, planes(np.diff(distinct[lo:hi], prepend=np.uint64(0))), planes(counts[lo:hi].astype(np.uint32)))):
-                    col.append(v)
+        _, hashes, _ = grams(group, order)
+        chunk, rows = group.column("chunk")[0].as_py(), ([], [], [], [], [])
+        for k, h in enumerate(hashes):
+            distinct, counts = np.unique(h, return_counts=True)
+            cut = bounds(distinct, buckets)
+            for b, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                if hi > lo:
+                    for col, v in zip(rows, (b, chunk, k, planes(np.diff(distinct[lo:hi], prepend=np.uint64(0))), planes(counts[lo:hi].astype(np.uint32)))):
+                        col.append(v)
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(rows, asked)], schema=asked)
 
     def count(group: pa.Table) -> pa.Table:
-        parts = [np.cumsum(unplanes(x.as_py(), np.uint64)) for x in group.column("grams")]
-        own = np.concatenate([unplanes(x.as_py(), np.uint32) for x in group.column("counts")])
-        distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
-        totals = np.bincount(at, own, len(distinct)).astype(np.uint64)[at]
-        ends = np.cumsum([len(x) for x in parts])
-        out = [planes(np.ascontiguousarray(totals[e - len(x):e])) for e, x in zip(ends, parts)]
-        return pa.Table.from_arrays([group.column("chunk"), group.column("bucket"), pa.array(out, pa.binary())], schema=told)
+        out = []
+        for k in range(order):
+            some = group.filter(pc.equal(group.column("k"), k))
+            if not some.num_rows:
+                continue
+            parts = [np.cumsum(unplanes(x.as_py(), np.uint64)) for x in some.column("grams")]
+            own = np.concatenate([unplanes(x.as_py(), np.uint32) for x in some.column("counts")])
+            ends = np.cumsum([len(x) for x in parts]).tolist()
+            at = np.argsort(parts := np.concatenate(parts))
+            new = np.flatnonzero(np.r_[True, np.diff(parts[at]) > 0])
+            totals = np.empty(len(at), np.uint64)
+            totals[at] = np.repeat(np.add.reduceat(own[at].astype(np.uint64), new), np.diff(np.r_[new, len(at)]))
+            blobs = [planes(totals[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+            out.append(pa.Table.from_arrays([some.column("chunk"), some.column("k"), some.column("bucket"), pa.array(blobs, pa.binary())], schema=told))
+        return pa.concat_tables(out)
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        first, hashes, at = grams(group.column("text"), order)
-        distinct = np.unique(np.concatenate(hashes))
-        totals = [unplanes(x.as_py(), np.uint64) for x in answers.sort_by("bucket").column("totals")]
-        totals = np.concatenate(totals) if totals else np.zeros(0, np.uint64)
+        first, hashes, ends = grams(group, order)
         n = int(first[-1])
         log_s, before = np.zeros(n), np.zeros(n)
-        for k, (h, last) in enumerate(zip(hashes, at), 1):
-            c = totals[np.searchsorted(distinct, h)].astype(np.float64)
-            if k == 1:
+        answers = answers.sort_by([("k", "ascending"), ("bucket", "ascending")])
+        for k in range(order):
+            h, last, hashes[k] = hashes[k], ends[k], None
+            if not len(h):
+                break
+            totals = np.concatenate([unplanes(x.as_py(), np.uint64) for x in answers.filter(pc.equal(answers.column("k"), k)).column("totals")])
+            at = np.argsort(h)
+            c = np.empty(len(h))
+            c[at] = totals[np.cumsum(np.r_[False, np.diff(h[at]) > 0])]
+            if not k:
                 log_s[last] = np.log(c / words)
             else:
                 hit = c >= least
@@ -141,11 +177,12 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         if len(some):
             sums[some] = np.add.reduceat(log_s, first[:-1][some])
         mean = pa.array(sums / np.maximum(n_words, 1), mask=n_words == 0)
-        return pa.Table.from_arrays([group.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(sums), mean], schema=scored)
+        return pa.Table.from_arrays([group.column("ids").combine_chunks().flatten(), pa.array(n_words, pa.int64()), pa.array(sums), mean], schema=scored)
 
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     home = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     home = home.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
-    asks = home.groupBy("chunk").applyInArrow(explode, "bucket int, chunk int, grams binary, counts binary")
-    tells = asks.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, totals binary")
+    home = home.mapInArrow(pack, "chunk int, ids array<long>, sizes array<long>, texts binary")
+    asks = home.groupBy("chunk").applyInArrow(explode, "bucket int, chunk int, k int, grams binary, counts binary")
+    tells = asks.groupBy("bucket").applyInArrow(count, "chunk int, k int, bucket int, totals binary")
     return home.groupBy("chunk").cogroup(tells.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double, mean_score double")
