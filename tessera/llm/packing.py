@@ -24,8 +24,8 @@ TOKENIZER = "word_bpe_49k.json"
 SPECIAL = "<|endoftext|>"
 #: Pieces per packing group, on average: a task's memory, whatever the input's size.
 GROUP_PIECES = 50_000
-#: A worker forgets its words after so many (bounds the cache at about 100 MB).
-CACHE_WORDS = 600_000
+#: A worker forgets its words after so many (bounds the cache at about 80 MB).
+CACHE_WORDS = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -114,7 +114,7 @@ class WordTokenizer:
         for i in odd:
             names[i] = ""
         joined = [self.mark.join(names[i:i + 50]) + self.mark for i in range(0, len(names), 50)]
-        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        flat = np.concatenate([np.array(x.ids, np.uint32) for i in range(0, len(joined), 100) for x in self.tokenizer.encode_batch_fast(joined[i:i + 100], add_special_tokens=False)])
         marks = flat == self.mark_id
         lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
         flat = flat[~marks]
@@ -157,7 +157,7 @@ def tokenised(docs: DataFrame, path: str | None, window: int = WINDOW, end_id: i
         tok = None
         for batch in batches:
             tok = tok or WordTokenizer.of_worker(path or tokenizer_path())
-            for part in runs_of(batch, "text", 8 * RUN_BYTES):
+            for part in runs_of(batch, "text", 2 * RUN_BYTES):
                 flat, offsets = tok.encode(part.column(1))
                 out: list[list] = [[], [], [], [], []]
                 for doc, lo, hi in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
