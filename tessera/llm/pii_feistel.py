@@ -103,11 +103,18 @@ def ipv4(s: str, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+#: Number prefixes of payment cards, as (first, last, digits).
+CARD_PREFIXES = ((4, 4, (13, 16, 19)), (51, 55, (16,)), (2221, 2720, (16,)), (34, 34, (15,)), (37, 37, (15,)), (3528, 3589, (16, 17, 18, 19)), (300, 305, (14,)), (36, 36, (14,)), (38, 39, (14,)),
+                 (6011, 6011, (16, 19)), (644, 659, (16, 19)), (62, 62, (16, 17, 18, 19)))
+
+
 def card(s: str, key: bytes) -> str | None:
+    """Issuer prefix, length and Luhn digit must hold; the six issuer digits stay."""
     number = re.sub(r"\D", "", s)
-    if not 13 <= len(number) <= 19 or luhn_digit(number[:-1]) != number[-1] or len(set(number)) == 1:
+    issued = any(lo <= int(number[:len(str(lo))]) <= hi and len(number) in sizes for lo, hi, sizes in CARD_PREFIXES)
+    if not issued or luhn_digit(number[:-1]) != number[-1]:
         return None
-    body = digits(number[:-1], key, b"card")
+    body = number[:6] + digits(number[6:-1], key, b"card|" + number[:6].encode())
     return relayout(s, body + luhn_digit(body))
 
 
@@ -159,8 +166,9 @@ PATTERN = re.compile(r"""
   | (?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
   | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-]|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-  | (?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))
-  | (?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\w)
+  | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|3\d{3}[ -]\d{6}[ -]\d{4,5})(?![\w-]))
+  | (?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w|\.\d)
+      |(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,5}(?!\w|\.\d)
       |(?<![\w(])\(\d{3}\)\ ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
 """, re.X | re.A)
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
@@ -169,29 +177,34 @@ SECRET = re.compile(r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access[
 _MAKE = {"phone": phone, "ipv4": ipv4, "card": card, "iban": iban, "ssn": ssn, "date": date}
 
 
-def numbers(text: str):
-    """Matches of PATTERN, tried only where a run of digits begins (or the sign before it)."""
+def numbers(text: str, key: bytes):
+    """(start, end, kind, pseudonym) of the valid numbers and dates of a text.
+
+    The pattern is tried only where a run of digits begins (or the sign before it); where it
+    or the validation fails, the search goes on behind that run.
+    """
     at = 0
     while run := _RUN.search(text, at):
         d = run.start()
         for p in (d - 2, d - 1, d):
             if p >= at and (m := PATTERN.match(text, p)):
-                yield m
-                at = m.end()
-                break
+                kind = next(k for k in _MAKE if m[k])
+                if (new := _MAKE[kind](m[0], key)) is not None:
+                    yield p, m.end(), kind, new
+                    at = m.end()
+                    break
         else:
             at = run.end()
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the candidates of a text, in order and without overlaps."""
-    spans = []
+def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of a text's personal data, in order and without overlaps."""
+    spans = list(numbers(text, key))
     if "@" in text:
-        spans += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+        spans += [(*m.span(), "email", email(m[0], key)) for m in EMAIL.finditer(text)]
     if "=" in text or ":" in text:
-        spans += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
-    spans += [(*m.span(), m.lastgroup) for m in numbers(text)]
-    out: list[tuple[int, int, str]] = []
+        spans += [(*m.span(1), "secret", secret(m[1], key)) for m in SECRET.finditer(text)]
+    out: list[tuple[int, int, str, str]] = []
     for s in sorted(spans, key=lambda s: (s[0], -s[1])):
         if not out or s[0] >= out[-1][1]:
             out.append(s)
@@ -199,18 +212,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
-    """The text with its validated values replaced, and how many of each kind; null stays null."""
+    """The text with its valid values replaced, and how many of each kind; null stays null."""
     counts = dict.fromkeys(KINDS, 0)
     if not text:
         return text, counts
     out, last = [], 0
-    for start, end, kind in find(text):
-        value = text[start:end]
-        new = email(value, key) if kind == "email" else secret(value, key) if kind == "secret" else _MAKE[kind](value, key)
-        if new is not None:
-            out += [text[last:start], new]
-            last = end
-            counts[kind] += 1
+    for start, end, kind, new in find(text, key):
+        out += [text[last:start], new]
+        last = end
+        counts[kind] += 1
     return "".join([*out, text[last:]]), counts
 
 

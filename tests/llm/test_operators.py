@@ -212,6 +212,15 @@ def test_pii_formats_and_links():
     assert pii_feistel.pseudonymise(src, KEY)[0] == out != pii_feistel.pseudonymise(src, b"k2")[0]
 
 
+@pytest.mark.parametrize("src,counts", [
+    ("Des +1 (826) 555-4081 190.137.223.204 du", {"phone": 1, "ipv4": 1}), ("+44 20 7946 0958 190.137.223.204", {"phone": 1, "ipv4": 1}), ("7536784127813050 4111111111111111 +33 6 12 34 56 78.", {"card": 1, "phone": 1}),
+    ("3782 822463 10005, 5555-5555-5555-4444 12", {"card": 2}), ("8111111111111119 1234 5678 9012", {}), ("é.b.9@x.org!! a@b.c@d.ef", {"email": 2}), ("9" * 5000 + ".1.2.3.4 +", {}), ("1.2.3.4.5 v1.2.3.4", {})])
+def test_pii_neighbours(src, counts):
+    out, n = pii_feistel.pseudonymise(src, KEY)
+    assert {k: v for k, v in n.items() if v} == counts
+    assert (out == src) == (not counts) and len(out.split()) == len(src.split())
+
+
 def test_pii_table(spark, odd):
     df = frame(spark, [(d, t if t is None else t + " a.b7@x.org") for d, t in odd]).withColumn("pii", __import__("pyspark").sql.functions.lit(1))
     got = pii_feistel.pseudonymised(df, KEY)
