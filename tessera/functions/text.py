@@ -27,7 +27,8 @@ DEVANAGARI_RANGE = ("ऀ", "ॿ")
 PAD = "<pad>"
 # ---------------------------------------------------------------------------------------
 
-WHITESPACE = "\\s+"
+# The characters that Python's str.split() takes as white space.
+WHITESPACE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 WORD_CHARS = "[\\p{L}\\p{N}_]"
 
 
@@ -108,7 +109,8 @@ def strip_suffixes_inline(c, suffixes, min_stem: int = 2) -> Column:
     lookaround), keeping the original whitespace; used inside ``clean_text`` whose stopword
     step normalises whitespace anyway."""
     alts = "|".join(re.escape(s) for s in sorted(set(suffixes), key=lambda s: (-len(s), s)))
-    return F.regexp_replace(col_(c), f"(?<!\\S)(\\S{{{min_stem},}}?)({alts})(?!\\S)", "$1")
+    other = "[^" + WHITESPACE[1:-1]
+    return F.regexp_replace(col_(c), f"(?<!{other})({other}{{{min_stem},}}?)({alts})(?!{other})", "$1")
 
 
 # T7
@@ -200,5 +202,6 @@ def pad_mask(tokens, pad: str = PAD) -> Column:
 
 
 # T18
-def concat_key(cols, sep: str = "_") -> Column:
-    return F.concat_ws(sep, *[col_(c).cast("string") for c in cols])
+def concat_key(cols, sep: str = "_", null: str = "nan") -> Column:
+    """The columns' text joined by ``sep``; a null becomes ``null``, a class of its own."""
+    return F.concat_ws(sep, *[F.coalesce(col_(c).cast("string"), F.lit(null)) for c in cols])

@@ -245,17 +245,23 @@ def macro_pr_curve(df: DataFrame, points: int = 100, label="label", prob="probab
 
 
 # V13
+# the smallest step from 1 to the next double
+PROBABILITY_FLOOR = 2.220446049250313e-16
+
+
 def cross_entropy(df: DataFrame, weights: DataFrame | None = None, smoothing: float = 0.0,
                   label="label", prob="probability") -> DataFrame:
-    """sum_i w_{y_i} * [(1-e)(-ln p_{i,y_i}) + e/K * sum_c (-ln p_{i,c})] / sum_i w_{y_i}."""
+    """sum_i w_{y_i} * [(1-e)(-ln p_{i,y_i}) + e/K * sum_c (-ln p_{i,c})] / sum_i w_{y_i}.
+    Probabilities below ``PROBABILITY_FLOOR`` count as that (ln 0 would be null)."""
     x = df.select(label, prob)
     if weights is not None:
         x = x.join(F.broadcast(weights.select(label, F.col("weight").alias("_w"))), label, "left")  # k rows
     else:
         x = x.withColumn("_w", F.lit(1.0))
     k = F.size(prob)
-    nll_y = -F.log(F.element_at(prob, F.col(label) + 1))
-    nll_all = F.aggregate(prob, F.lit(0.0), lambda a, p: a - F.log(p))
+    floor = F.lit(PROBABILITY_FLOOR)
+    nll_y = -F.log(F.greatest(F.element_at(prob, F.col(label) + 1).cast("double"), floor))
+    nll_all = F.aggregate(prob, F.lit(0.0), lambda a, p: a - F.log(F.greatest(p.cast("double"), floor)))
     row = (1 - smoothing) * nll_y + F.lit(smoothing) / k * nll_all
     return x.agg((F.sum(F.col("_w") * row) / F.sum("_w")).alias("cross_entropy"))
 

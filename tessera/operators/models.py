@@ -152,8 +152,8 @@ def train_adaboost(df, features="features", label="label", weight=None, rounds=1
                    id_col="vec_id"):
     """SAMME: each round fits a depth-``depth`` tree with the current sample weights,
     alpha = ln((1 - err) / err) + ln(K - 1), weights of misclassified rows times e^alpha,
-    renormalised. The weighted table is checkpointed every round (short lineage, and it
-    survives executor loss)."""
+    renormalised. The weighted table is checkpointed every tenth round (short lineage, and it
+    survives executor loss). Fails if no tree beats chance."""
     classes = sorted(r[0] for r in df.select(label).distinct().collect())  # the label set: k values
     K = len(classes)
     w0 = F.col(weight) if weight else F.lit(1.0)
@@ -180,6 +180,8 @@ def train_adaboost(df, features="features", label="label", weight=None, rounds=1
                        (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")) / F.lit(norm)).alias("_w"))
         if (r + 1) % 10 == 0:
             cur = materialize(cur)  # cut lineage every 10 rounds
+    if not trees:
+        raise ValueError("no tree is better than chance, so there is nothing to vote")
     return SammeModel(trees, alphas, classes)
 
 
@@ -328,10 +330,12 @@ def fit_pipeline(df: DataFrame, stages) -> PipelineModel:
 
 
 # E1 / E2
-def train_word2vec(tokens_df: DataFrame, tokens="tokens", size=100, window=5, min_count=5, epochs=1, seed=42,
-                   partitions=8, step=0.025) -> DataFrame:
+def train_word2vec(tokens_df: DataFrame, tokens="tokens", size=100, window=6, min_count=1, epochs=1, seed=42,
+                   partitions=None, step=0.025) -> DataFrame:
     """MLlib Word2Vec (skip-gram, hierarchical softmax — no CBOW / negative sampling
-    switch). Returns the vector table (word, vector array<float>)."""
+    switch). Trains on as many partitions as the input has. Returns the vector table
+    (word, vector array<float>)."""
+    partitions = partitions or max(1, tokens_df.rdd.getNumPartitions())
     w2v = Word2Vec(inputCol=tokens, vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs,
                    seed=seed, numPartitions=partitions, stepSize=step)
     m = w2v.fit(tokens_df)

@@ -126,11 +126,12 @@ def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k:
 
 
 # X6
-def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 42, max_rounds: int = 10) -> DataFrame:
+def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 42) -> DataFrame:
     """Condensed nearest neighbour, in rounds: the store starts with every minority row
     and one hashed row of each other class; each round 1-NN-classifies the remaining rows
-    against the store and adds all misclassified ones. Stops when none is added. The store
-    is checkpointed every round (lineage stays short, survives executor loss)."""
+    against the store and adds all misclassified ones, until a round adds none (the store
+    grows strictly, so the loop ends). The store is checkpointed every round (lineage stays
+    short, survives executor loss)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     minority = counts.orderBy("n_c", label).first()[label]  # one value
     first = dense_index(df.select(id_col, label).withColumn("_key", portable_random_key(id_col, seed)),
@@ -138,15 +139,14 @@ def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 4
     seed_ids = (df.where(F.col(label) == F.lit(minority)).select(id_col)
                   .union(first).distinct())
     store = materialize(df.join(seed_ids, id_col, "left_semi"))
-    for _ in range(max_rounds):
+    while True:
         rest = df.join(store.select(id_col), id_col, "left_anti")
         nn = knn_join(rest, store, 1, id_col, id_col, vec, vec, seed=seed)
         pred = nn.join(store.select(F.col(id_col).alias("nn_id"), F.col(label).alias("_p")), "nn_id")
         wrong = pred.join(rest.select(id_col, label), id_col).where(F.col("_p") != F.col(label)).select(id_col)
         if wrong.limit(1).count() == 0:
-            break
+            return store
         store = materialize(store.unionByName(df.join(wrong, id_col, "left_semi")))
-    return store
 
 
 # X9

@@ -119,7 +119,7 @@ def add_pad_vector(spark, sf_dir):
     return EM.add_pad_vector(word_vectors(spark, sf_dir), dim=64).select("word", _vsum("vector").alias("vsum"))
 
 
-_NGRAMS = ("flatten(list_transform(range(3, 6), lambda k: CASE WHEN length('<' || {w} || '>') >= k THEN "
+_NGRAMS = ("flatten(list_transform(range(3, 7), lambda k: CASE WHEN length('<' || {w} || '>') >= k THEN "
            "list_transform(range(1, length('<' || {w} || '>') - k + 2), lambda i: substr('<' || {w} || '>', i, k)) "
            "ELSE []::VARCHAR[] END))")
 
@@ -138,9 +138,9 @@ SELECT word, CAST(0 AS BIGINT) AS n_ngrams, round(list_sum(list_transform(vector
 UNION ALL
 SELECT u.word, CAST(coalesce(nn.n_ngrams, 0) AS BIGINT), round(res.vsum, {DIGITS}) FROM unk u LEFT JOIN nn USING (word) LEFT JOIN res USING (word)""")
 def subword_vectors(spark, sf_dir):
-    """Character 3-5-gram vectors give every corpus word a vector (known words keep theirs)."""
+    """Character 3-6-gram vectors give every corpus word a vector (known words keep theirs)."""
     words = word_counts(clean_tokens(spark, sf_dir)).select(F.col("term").alias("word"))
-    s = EM.subword_vectors(words, word_vectors(spark, sf_dir), 3, 5)
+    s = EM.subword_vectors(words, word_vectors(spark, sf_dir), 3, 6)
     return s.select("word", "n_ngrams", _vsum("vector").alias("vsum"))
 
 

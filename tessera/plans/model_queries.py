@@ -5,16 +5,16 @@ has a SQL oracle."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.sql import functions as F
 
 from tessera.operators import models as MD
 from tessera.operators import split as X
 from tessera.operators.indexing import materialize
-from tessera.plans.params import MIN_STEM, SEED, STOPWORDS, SUFFIXES
+from tessera.plans.params import DIGITS, MIN_STEM, SEED, STOPWORDS, SUFFIXES
 from tessera.plans.registry import query
 from tessera.plans.sample_queries import _SPLIT_SQL, _split
-from tessera.plans.tfidf_queries import clean_tokens
+from tessera.plans.tfidf_queries import CLEAN_TOKENS_SQL, clean_tokens
 from tessera.session import scratch_path
 from tessera.sources import files
 from tessera.sources.tables import table
@@ -142,11 +142,14 @@ def train_mlp(spark, sf_dir):
     return _out(MD.predict(MD.train_mlp(tr, [64, 64, 32, 4], seed=SEED), te))
 
 
-@query("class_weighted_rows")
+@query("class_weighted_rows", sql=f"""WITH {_SPLIT_SQL},
+tr AS (SELECT vec_id, label FROM sp WHERE split = 'train'),
+n AS (SELECT label, count(*) AS n_c FROM sp GROUP BY label)
+SELECT tr.vec_id, tr.label, round((SELECT count(*) FROM sp) / ((SELECT count(*) FROM n) * n_c::DOUBLE), {DIGITS}) AS weight FROM tr JOIN n USING (label)""")
 def class_weighted_rows(spark, sf_dir):
     """Per-row balanced class weights (they average to 1 over the rows)."""
     tr, _ = _train_test(spark, sf_dir, weighted=True)
-    return tr.select("vec_id", "label", "weight")
+    return tr.select("vec_id", "label", F.round("weight", DIGITS).alias("weight"))
 
 
 @query("grid_search")
@@ -162,11 +165,11 @@ def grid_search(spark, sf_dir):
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    """Seeded random subset (4 of 9) of a linear-SVM grid, 5-fold CV."""
+    """Seeded random subset (4 of 9) of a one-vs-rest linear-SVM grid over all classes, 5-fold CV."""
     tr, _ = _train_test(spark, sf_dir)
-    tr = X.stratified_kfold(tr.where(F.col("label").isin(0, 1)), "label", 5, SEED, "vec_id")
+    tr = X.stratified_kfold(tr, "label", 5, SEED, "vec_id")
     svc = LinearSVC(maxIter=50)
-    cv = MD.search(tr, svc, {svc.regParam: [0.001, 0.01, 0.1], svc.maxIter: [20, 50, 100]}, fold_col="fold",
+    cv = MD.search(tr, OneVsRest(classifier=svc, parallelism=4), {svc.regParam: [0.001, 0.01, 0.1], svc.maxIter: [5, 10, 20]}, fold_col="fold",
                    n_iter=4, seed=SEED)
     rows = [(str(sorted(p.items())), m) for p, m in MD.search_results(cv)]
     return spark.createDataFrame(rows, "params string, mean_f1 double")
@@ -187,13 +190,13 @@ def compare_estimators(spark, sf_dir):
     return MD.compare_estimators(tr, te, {
         "logreg": lambda d: MD.train_logreg(d, max_iter=50),
         "tree": lambda d: MD.train_tree(d, max_depth=5),
-        "forest": lambda d: MD.train_forest(d, n_trees=20),
+        "forest": lambda d: MD.train_forest(d),
         "naive_bayes": lambda d: MD.train_gaussian_nb(d)})
 
 
 @query("score_texts")
 def score_texts(spark, sf_dir):
-    """Batch scoring of raw texts: clean -> tokens -> mean-pooled vectors -> model."""
+    """Batch scoring of raw texts into the four target codes: clean -> tokens -> mean-pooled vectors -> model."""
     from tessera.operators.embed import mean_pool
     from tessera.plans.embed_queries import word_vectors
     from tessera.sources.tables import labelled
@@ -201,10 +204,10 @@ def score_texts(spark, sf_dir):
     lab = labelled(spark, sf_dir)
     toks = clean_tokens(spark, sf_dir).join(lab.select("doc_id", "target"), "doc_id")
     d = MD.with_features(mean_pool(toks, wv, dim=64), "embedding").join(
-        toks.select("doc_id", F.when(F.col("target").startswith("1"), 1).otherwise(0).alias("label")), "doc_id")
+        toks.select("doc_id", (2 * F.substring("target", 1, 1).cast("int") + F.substring("target", 3, 1).cast("int")).alias("label")), "doc_id")
     model = MD.train_logreg(d, max_iter=50)
     docs = table(spark, sf_dir, "documents")
-    return MD.score_texts(docs, "text", wv, model, STOPWORDS, SUFFIXES, MIN_STEM, dim=64).select("doc_id", "prediction")
+    return MD.score_texts(docs, "text", wv, model, STOPWORDS, SUFFIXES, MIN_STEM, dim=64).select("doc_id", "prediction", "probability")
 
 
 @query("save_load_model")
@@ -217,17 +220,19 @@ def save_load_model(spark, sf_dir):
     return _out(MD.predict(files.load_model(path), te))
 
 
-@query("train_word2vec")
+@query("train_word2vec", sql=f"""WITH {CLEAN_TOKENS_SQL}
+SELECT term AS word, 100 AS dim FROM (SELECT unnest(tokens) AS term FROM docs) GROUP BY term HAVING count(*) >= 1""")
 def train_word2vec(spark, sf_dir):
-    """Skip-gram Word2Vec on the cleaned corpus (100-d, window 5, min count 5)."""
-    v = MD.train_word2vec(clean_tokens(spark, sf_dir), size=100, window=5, min_count=5, epochs=1, seed=SEED)
+    """Skip-gram Word2Vec on the cleaned corpus (100-d, window 6, every word)."""
+    v = MD.train_word2vec(clean_tokens(spark, sf_dir), size=100, window=6, min_count=1, epochs=1, seed=SEED)
     return v.select("word", F.size("vector").alias("dim"))
 
 
-@query("train_glove_like")
+@query("train_glove_like", sql=f"""WITH {CLEAN_TOKENS_SQL}
+SELECT term AS word, 300 AS dim FROM (SELECT unnest(tokens) AS term FROM docs) GROUP BY term HAVING count(*) >= 3""")
 def train_glove_like(spark, sf_dir):
-    """The "GloVe" setting of the reference (100-d, window 5, 15 epochs) on MLlib Word2Vec."""
-    v = MD.train_word2vec(clean_tokens(spark, sf_dir), size=100, window=5, min_count=5, epochs=15, seed=SEED)
+    """Skip-gram with the settings of the second vector model (300-d, window 5, min count 3)."""
+    v = MD.train_word2vec(clean_tokens(spark, sf_dir), size=300, window=5, min_count=3, epochs=1, seed=SEED)
     return v.select("word", F.size("vector").alias("dim"))
 
 

@@ -9,15 +9,16 @@ from tessera.plans.params import DIGITS
 from tessera.plans.registry import query
 from tessera.session import scratch_path
 from tessera.sources import files
-from tessera.sources.tables import TRIAL_LOG_SQL, RUN_LOG_SQL, run_log, table, trial_log_raw
+from tessera.sources.tables import ODD_DOCUMENTS_SQL, TRIAL_LOG_SQL, RUN_LOG_SQL, odd_documents, run_log, table, trial_log_raw
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@query("read_corpus_csv", sql="""SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents""")
+@query("read_corpus_csv", sql=f"""WITH {ODD_DOCUMENTS_SQL}
+SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM odd""")
 def read_corpus_csv(spark, sf_dir):
     """S3 CSV sink + S1 CSV scan with an explicit schema (multi-line quoted text)."""
-    path = files.write_table(table(spark, sf_dir, "documents"), scratch_path(spark, "corpus_csv"), "csv")
+    path = files.write_table(odd_documents(spark, sf_dir), scratch_path(spark, "corpus_csv"), "csv")
     d = files.read_corpus_csv(spark, path, DOC_SCHEMA)
     return d.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 

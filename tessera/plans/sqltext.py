@@ -14,8 +14,12 @@ def str_list(values) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]::VARCHAR[]"
 
 
+# written out here, so that a slip in the Spark side's pattern shows
+_SPACES = "[\\t\\n\\x0b\\f\\r \\x1c\\x1d\\x1e\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
 def tokenize_whitespace(e: str) -> str:
-    return f"list_filter(string_split_regex(coalesce({e}, ''), {q(T.WHITESPACE)}), lambda t: t <> '')"
+    return f"list_filter(string_split_regex(coalesce({e}, ''), {q(_SPACES)}), lambda t: t <> '')"
 
 
 def remove_stopwords(e: str, stopwords) -> str:

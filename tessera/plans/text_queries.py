@@ -11,7 +11,7 @@ from tessera.plans import sqltext as S
 from tessera.plans.params import DIGITS, MIN_STEM, STOPWORDS, SUFFIXES, TRANSLIT_1TO1, TRANSLIT_1TON
 from tessera.plans.registry import query
 from tessera.plans.tfidf_queries import CLEAN_TOKENS_SQL, clean_tokens
-from tessera.sources.tables import ANNOTATED_SQL, LABELLED_SQL, annotated, labelled, table
+from tessera.sources.tables import ANNOTATED_SQL, LABELLED_SQL, ODD_DOCUMENTS_SQL, annotated, labelled, odd_documents, table
 
 
 def _md5_tokens(c):
@@ -22,15 +22,17 @@ def _md5_tokens_sql(e):
     return f"md5(array_to_string({e}, ' '))"
 
 
-@query("clean_text", sql=f"""SELECT doc_id, md5({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS clean_md5,
-  CAST(length({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS INTEGER) AS clean_chars FROM documents""")
+@query("clean_text", sql=f"""WITH {ODD_DOCUMENTS_SQL}
+SELECT doc_id, md5({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS clean_md5,
+  CAST(length({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS INTEGER) AS clean_chars FROM odd""")
 def clean_text(spark, sf_dir):
     """T7 (T6 suffixes -> T1 lower -> T3 danda -> T2 punctuation -> T4 dots -> T5 stopwords)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.clean_text("text", STOPWORDS, SUFFIXES, MIN_STEM).alias("c"))
+    d = odd_documents(spark, sf_dir).select("doc_id", T.clean_text("text", STOPWORDS, SUFFIXES, MIN_STEM).alias("c"))
     return d.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("clean_chars"))
 
 
-@query("cleaning_steps", sql=f"""SELECT doc_id,
+@query("cleaning_steps", sql=f"""WITH {ODD_DOCUMENTS_SQL}
+SELECT doc_id,
   md5(lower(text)) AS lower_md5,
   md5({S.strip_punctuation('text', 'space')}) AS punct_space_md5,
   md5({S.strip_punctuation('text', 'delete')}) AS punct_delete_md5,
@@ -39,11 +41,11 @@ def clean_text(spark, sf_dir):
   md5(regexp_replace(text, '[.\\-…]+', ' ', 'g')) AS dots_md5,
   md5({S.remove_stopwords('lower(text)', STOPWORDS)}) AS stop_md5,
   md5({S.strip_suffixes('text', SUFFIXES, MIN_STEM)}) AS suffix_md5
-FROM documents""")
+FROM odd""")
 def cleaning_steps(spark, sf_dir):
     """Each cleaning step on its own (T1-T6), hashed per document."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return odd_documents(spark, sf_dir).select(
         "doc_id",
         F.md5(T.to_lower(t)).alias("lower_md5"),
         F.md5(T.strip_punctuation(t, "space")).alias("punct_space_md5"),
@@ -55,16 +57,17 @@ def cleaning_steps(spark, sf_dir):
         F.md5(T.strip_suffixes(t, SUFFIXES, MIN_STEM)).alias("suffix_md5"))
 
 
-@query("tokenizers", sql=f"""SELECT doc_id,
+@query("tokenizers", sql=f"""WITH {ODD_DOCUMENTS_SQL}
+SELECT doc_id,
   CAST(len({S.tokenize_whitespace('text')}) AS INTEGER) AS n_ws, {_md5_tokens_sql(S.tokenize_whitespace('text'))} AS ws_md5,
   CAST(len({S.tokenize_words('text')}) AS INTEGER) AS n_words, {_md5_tokens_sql(S.tokenize_words('text'))} AS words_md5,
   CAST(len({S.tokenize_script('text')}) AS INTEGER) AS n_script,
   CAST(len({S.tokenize_default('text')}) AS INTEGER) AS n_default, {_md5_tokens_sql(S.tokenize_default('text'))} AS default_md5,
   CAST(len({S.tokens_no_punct('text')}) AS INTEGER) AS n_no_punct, {_md5_tokens_sql(S.tokens_no_punct('text'))} AS no_punct_md5
-FROM documents""")
+FROM odd""")
 def tokenizers(spark, sf_dir):
     """Token counts (T13) and hashes of each tokenizer's output."""
-    d = table(spark, sf_dir, "documents").select(
+    d = odd_documents(spark, sf_dir).select(
         "doc_id", T.tokenize_whitespace("text").alias("ws"), T.tokenize_words("text").alias("words"),
         T.tokenize_script("text").alias("script"), T.tokenize_default("text").alias("dflt"),
         T.tokens_no_punct("text").alias("np"))
@@ -108,9 +111,10 @@ def pad_mask(spark, sf_dir):
 
 
 @query("concat_key", sql=f"""WITH {ANNOTATED_SQL}
-SELECT doc_id, sentiment || '_' || CAST(polarity AS VARCHAR) AS key FROM annotated""")
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'nan' ELSE sentiment END || '_' || CAST(polarity AS VARCHAR) AS key FROM annotated""")
 def concat_key(spark, sf_dir):
-    return annotated(spark, sf_dir).select("doc_id", T.concat_key(["sentiment", "polarity"]).alias("key"))
+    """T18, with every fifth sentiment null."""
+    return annotated(spark, sf_dir).withColumn("sentiment", F.when(F.col("doc_id") % 5 != 0, F.col("sentiment"))).select("doc_id", T.concat_key(["sentiment", "polarity"]).alias("key"))
 
 
 # ---------------------------------------------------------------- C1-C5, A9, A10

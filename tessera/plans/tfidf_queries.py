@@ -143,15 +143,16 @@ def vectorizer_save_load(spark, sf_dir):
 @query("tfidf_heatmap_wide", sql=f"""WITH {CLEAN_TOKENS_SQL}, {TFIDF_SQL},
 top AS (SELECT term FROM tfidf GROUP BY term ORDER BY sum(tfidf) DESC, term LIMIT 10),
 first_docs AS (SELECT doc_id FROM docs ORDER BY doc_id LIMIT 10),
-cells AS (SELECT f.doc_id, t.term, round(coalesce(x.tfidf, 0.0), {DIGITS}) AS tfidf
-          FROM first_docs f CROSS JOIN top t LEFT JOIN tfidf x ON x.doc_id = f.doc_id AND x.term = t.term)
-PIVOT cells ON term USING first(tfidf) GROUP BY doc_id""")
+ranked AS (SELECT t.term, row_number() OVER (ORDER BY sum(x.tfidf) DESC, t.term) AS r FROM top t JOIN tfidf x USING (term) GROUP BY t.term),
+cells AS (SELECT f.doc_id, t.r, round(coalesce(x.tfidf, 0.0), {DIGITS}) AS tfidf
+          FROM first_docs f CROSS JOIN ranked t LEFT JOIN tfidf x ON x.doc_id = f.doc_id AND x.term = t.term)
+SELECT doc_id, {', '.join(f'max(CASE WHEN r = {k} THEN tfidf END) AS term_{k}' for k in range(1, 11))} FROM cells GROUP BY doc_id""")
 def tfidf_heatmap_wide(spark, sf_dir):
-    """C10 pivoted: the 10 x 10 block with one column per top term."""
+    """C10 pivoted: the 10 x 10 block with one column per top term, named by its rank."""
     docs = clean_tokens(spark, sf_dir)
     tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
     top = TF.top_terms_by_mean_tfidf(tfidf, docs.agg(F.count(F.lit(1)).alias("n_docs")), 10)
     terms = [r.term for r in top.collect()]  # the 10 column names
     first = docs.select("doc_id").orderBy("doc_id").limit(10)
     block = TF.tfidf_heatmap(tfidf, first, terms).withColumn("tfidf", F.round("tfidf", DIGITS))
-    return TF.pivot_heatmap(block, terms)
+    return TF.pivot_heatmap(block, terms).toDF("doc_id", *[f"term_{k}" for k in range(1, len(terms) + 1)])

@@ -13,21 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# Nulls are written as NULL_MARK, so that empty texts, outer blanks and nulls all come back;
+# a row that does not fit its schema fails the read.
+NULL_MARK = "\\N"
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": NULL_MARK,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _csv_options(multi_line: bool, null: str = NULL_MARK, **more) -> dict:
+    return CSV_OPTIONS | {"multiLine": str(multi_line).lower(), "mode": "FAILFAST", "nullValue": null} | more
 
 
 # S1
-def read_corpus_csv(spark: SparkSession, path: str, schema: Ty.StructType | str) -> DataFrame:
-    """CSV with a header and free text (quoted fields may span lines); explicit schema,
-    no inference pass."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+def read_corpus_csv(spark: SparkSession, path: str, schema: Ty.StructType | str, multi_line: bool = True,
+                    null: str = NULL_MARK) -> DataFrame:
+    """CSV with a header; explicit schema, no inference pass. ``multi_line`` lets quoted fields
+    span lines, at the price of one task per file; without it files are split. ``null`` is the
+    text that stands for null (files of other writers often use the empty string)."""
+    return spark.read.schema(schema).options(**_csv_options(multi_line, null)).csv(path)
 
 
 # S2
-def read_headerless_csv(spark: SparkSession, path: str, names, order=None, schema=None) -> DataFrame:
+def read_headerless_csv(spark: SparkSession, path: str, names, order=None, schema=None, multi_line: bool = False,
+                        null: str = NULL_MARK) -> DataFrame:
     """A CSV whose first data row must not be taken as a header: read with header=false,
     name the columns, optionally reorder them."""
-    r = spark.read.options(**{**CSV_OPTIONS, "header": "false"})
+    r = spark.read.options(**_csv_options(multi_line, null, header="false"))
     df = (r.schema(schema) if schema is not None else r).csv(path)
     df = df.toDF(*names)
     return df.select(*(order or names))
@@ -126,14 +137,17 @@ TRIAL_LOG_SCHEMA = Ty.StructType([
 def read_trial_log(spark: SparkSession, path: str) -> DataFrame:
     """23-column trial CSV -> typed table: ``config/x`` -> ``config_x``, ``date`` parsed from
     ``yyyy-MM-dd_HH-mm-ss``, ``timestamp`` (epoch seconds) -> ``ts``."""
-    df = spark.read.schema(TRIAL_LOG_SCHEMA).options(**CSV_OPTIONS).csv(path)
+    df = spark.read.schema(TRIAL_LOG_SCHEMA).options(**_csv_options(False)).csv(path)
     df = df.withColumnsRenamed({c: re.sub("[^0-9A-Za-z_]", "_", c) for c in df.columns if "/" in c})
     return (df.withColumn("date_ts", F.to_timestamp("date", "yyyy-MM-dd_HH-mm-ss"))
               .withColumn("ts", F.timestamp_seconds("timestamp")))
 
 
 # S10
-def append_run_metrics(df: DataFrame, path: str, run_col: str = "run") -> str:
-    """Append long-form metrics (run, level, fold, metric, value, ...) partitioned by run."""
-    df.write.mode("append").partitionBy(run_col).parquet(path)
+def append_run_metrics(df: DataFrame, path: str, keys=("run", "level")) -> str:
+    """Add long-form metrics (run, level, fold, metric, value, ...) partitioned by those ``keys``
+    that ``df`` has. Partitions that ``df`` touches are replaced, so a repeated append leaves no
+    rows twice."""
+    keys = [k for k in keys if k in df.columns]
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
     return path

@@ -15,42 +15,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Text-heavy tables whose per-row work (regex cleaning, tokenising) is CPU-bound.
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
-# Below this input size a table may sit in one Parquet row group, i.e. one scan task; a
-# round-robin spread over the cores costs a shuffle of at most this many bytes. Larger
-# inputs come as many files / row groups and are scanned in parallel as they are.
-SMALL_INPUT_BYTES = 1 << 30
-
-
-_SMALL_CACHE: dict = {}
-
-
-def is_small_input(spark: SparkSession, path: str, limit: int = SMALL_INPUT_BYTES) -> bool:
-    """True when the files under ``path`` total less than ``limit`` bytes. The listing
-    (Hadoop FileSystem, any scheme) stops as soon as the limit is passed, so a table of
-    many files costs a few list calls, not a full walk; the answer is cached per path."""
-    if path in _SMALL_CACHE:
-        return _SMALL_CACHE[path]
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        it = fs.listFiles(p, True)
-        total = 0
-        while total < limit and it.hasNext():
-            total += int(it.next().getLen())
-        small = total < limit
-    except Exception:  # noqa: BLE001 - no JVM gateway (e.g. a remote session): keep the scan as is
-        small = False
-    _SMALL_CACHE[path] = small
-    return small
+# A Parquet file of one row group is one scan task, whatever the split size. A session may name
+# here into how many partitions such text tables are spread after the scan; unset (the
+# default, at any input size) the scan's own splits are used.
+SPREAD_CONF = "spark.tessera.spreadText"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TEXT_TABLES and is_small_input(spark, path):
-        df = df.repartition(spark.sparkContext.defaultParallelism * 2)  # only reached with a JVM gateway
-    return df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    spread = spark.conf.get(SPREAD_CONF, None) if name in TEXT_TABLES else None
+    return df.repartition(int(spread)) if spread else df
 
 
 # -- annotated corpus: sentiment := lang, polarity := doc_id % 2, order := doc_id --------
@@ -64,6 +38,21 @@ ANNOTATED_SQL = """annotated AS (
   SELECT doc_id, text, lang AS sentiment, CAST(doc_id % 2 AS INTEGER) AS polarity FROM documents)"""
 
 
+# -- texts as they come: some documents get odd white space, Devanagari with a danda, outer
+# blanks, an empty or a null text, by doc_id
+ODD_TEXT_SQL = """CASE doc_id % 11 WHEN 1 THEN replace(text, ' ', chr(160)) WHEN 2 THEN '  ' || text || chr(9)
+  WHEN 3 THEN 'नमस्ते। दुनिया ' || text WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN replace(text, ' ', chr(8195)) ELSE text END"""
+ODD_DOCUMENTS_SQL = f"""odd AS (SELECT doc_id, {ODD_TEXT_SQL} AS text, lang, source, n_chars FROM documents)"""
+
+
+def odd_documents(spark, sf_dir) -> DataFrame:
+    n, t = F.pmod(F.col("doc_id"), F.lit(11)), F.col("text")
+    text = (F.when(n == 1, F.replace(t, F.lit(" "), F.lit("\u00a0"))).when(n == 2, F.concat(F.lit("  "), t, F.lit("\t")))
+             .when(n == 3, F.concat(F.lit("नमस्ते। दुनिया "), t)).when(n == 4, F.lit("")).when(n == 5, F.lit(None).cast("string"))
+             .when(n == 6, F.replace(t, F.lit(" "), F.lit("\u2003"))).otherwise(t))
+    return table(spark, sf_dir, "documents").withColumn("text", text)
+
+
 # -- two raters: A := quality, B := 1 - toxic --------------------------------------------
 def raters(spark, sf_dir) -> DataFrame:
     l = table(spark, sf_dir, "labels")

@@ -89,3 +89,10 @@ def test_histogram_constant_and_kde_mass(spark):
     step = pts[1][0] - pts[0][0]
     mass = sum(d for _, d in pts) * step
     assert 0.8 < mass < 1.0          # the grid spans [min, max]; tails beyond it are cut
+
+
+def test_cross_entropy_of_a_zero_probability(spark):
+    from tessera.operators.metrics import PROBABILITY_FLOOR, cross_entropy
+    df = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 0.0])], "label int, probability array<double>")
+    want = (-math.log(0.5) - math.log(PROBABILITY_FLOOR)) / 2
+    assert abs(cross_entropy(df).first()[0] - want) < 1e-9

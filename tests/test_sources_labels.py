@@ -98,3 +98,19 @@ def test_read_trial_log_types_and_names(spark):
     assert t.config_optimizer == "Adamax" and t.config_batch_size == 8 and t.f1 == 0.6384
     assert t.date_ts.strftime("%Y-%m-%d %H:%M:%S") == "2024-01-02 03:04:05"
     assert t.ts is not None
+
+
+def test_csv_keeps_blanks_empty_and_null(spark):
+    path = _tmp("fidelity")
+    rows = [(1, "  lead and trail  "), (2, ""), (3, None), (4, 'a "quoted", one\nand\\N more'), (5, " ")]
+    src = spark.createDataFrame(rows, "doc_id long, text string")
+    files.write_table(src, path, "csv")
+    assert sorted(tuple(r) for r in files.read_corpus_csv(spark, path, "doc_id long, text string").collect()) == rows
+
+
+def test_appending_a_run_twice_keeps_one(spark):
+    path = _tmp("metrics")
+    a = spark.createDataFrame([("r1", "f1", 0.5), ("r2", "f1", 0.6)], "run string, metric string, value double")
+    files.append_run_metrics(a, path)
+    files.append_run_metrics(a.where("run = 'r1'"), path)
+    assert spark.read.parquet(path).count() == 2

@@ -78,3 +78,11 @@ def test_script_tokenizer_and_transliteration(spark):
     tr = spark.createDataFrame([("Größe café",)], "t string")
     out = tr.select(T.transliterate("t", {"ö": "o", "é": "e"}, {"ß": "ss"}).alias("x")).first().x
     assert out == "Grosse cafe"
+
+
+def test_whitespace_is_pythons(spark):
+    from tessera.functions.text import concat_key, tokenize_whitespace
+    text = "a b c d\x1ce　f​g \x85h"
+    df = spark.createDataFrame([(text, "A", None), (None, None, 1)], "t string, s string, p int")
+    rows = df.select(tokenize_whitespace("t").alias("w"), concat_key(["s", "p"]).alias("k")).collect()
+    assert rows[0].w == text.split() and [r.k for r in rows] == ["A_nan", "nan_1"]

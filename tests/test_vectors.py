@@ -74,3 +74,16 @@ def test_knn_empty_right(spark):
     left = spark.createDataFrame([(1, [0.0, 1.0])], "id long, v array<double>")
     right = spark.createDataFrame([], "id long, v array<double>")
     assert K.knn_join(left, right, 3, "id", "id", "v", "v").count() == 0
+
+
+def test_condensed_nn_runs_until_nothing_is_added(spark):
+    """A line of points whose classes alternate in ever wider bands takes many rounds."""
+    from tessera.operators.resample import condensed_nn
+    rows = [(i, i // 3 % 2, [float(i) ** 1.5, 0.0]) for i in range(90)] + [(1000 + i, 1, [-5.0 - i, 0.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    store = {r.vec_id for r in condensed_nn(df, "label", "vec_id", "embedding").collect()}
+    pts = {i: (c, v[0]) for i, c, v in rows}
+    for i, (c, x) in pts.items():
+        if i not in store:
+            near = min(store, key=lambda j: (abs(pts[j][1] - x), j))
+            assert pts[near][0] == c
