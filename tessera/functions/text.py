@@ -27,8 +27,8 @@ DEVANAGARI_RANGE = ("ऀ", "ॿ")
 PAD = "<pad>"
 # ---------------------------------------------------------------------------------------
 
-# The characters that Python's str.split() takes as white space.
-WHITESPACE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+# The characters beyond Java's \\s that Python's str.split() takes as white space.
+OTHER_SPACES = "[\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 WORD_CHARS = "[\\p{L}\\p{N}_]"
 
 
@@ -73,19 +73,26 @@ def collapse_dots_dashes(c) -> Column:
 
 
 # T8
+def plain_spaces(c) -> Column:
+    """White space beyond ASCII becomes a blank, so that ``\\s`` finds all that Python splits at."""
+    return F.regexp_replace(col_(c), OTHER_SPACES, " ")
+
+
+def _split_plain(c) -> Column:
+    return F.filter(F.split(c, "\\s+"), lambda t: t != "")
+
+
 def tokenize_whitespace(c) -> Column:
     """Python ``str.split()``: split on whitespace runs, no empty tokens; null -> []."""
     c = col_(c)
-    return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(
-        F.filter(F.split(c, WHITESPACE), lambda t: t != ""))
+    return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(_split_plain(plain_spaces(c)))
 
 
 # T5
 def remove_stopwords(c, stopwords) -> Column:
     """Drop stopword tokens and re-join with single spaces (whitespace is normalised)."""
     stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    toks = tokenize_whitespace(c)
-    return F.array_join(F.filter(toks, lambda t: ~F.array_contains(stop, t)), " ")
+    return F.array_join(F.filter(tokenize_whitespace(c), lambda t: ~F.array_contains(stop, t)), " ")
 
 
 # T6
@@ -109,13 +116,12 @@ def strip_suffixes_inline(c, suffixes, min_stem: int = 2) -> Column:
     lookaround), keeping the original whitespace; used inside ``clean_text`` whose stopword
     step normalises whitespace anyway."""
     alts = "|".join(re.escape(s) for s in sorted(set(suffixes), key=lambda s: (-len(s), s)))
-    other = "[^" + WHITESPACE[1:-1]
-    return F.regexp_replace(col_(c), f"(?<!{other})({other}{{{min_stem},}}?)({alts})(?!{other})", "$1")
+    return F.regexp_replace(col_(c), f"(?<!\\S)(\\S{{{min_stem},}}?)({alts})(?!\\S)", "$1")
 
 
 # T7
 def _pre_stopwords(c, suffixes, min_stem, punct_mode) -> Column:
-    x = F.coalesce(col_(c), F.lit(""))
+    x = plain_spaces(F.coalesce(col_(c), F.lit("")))
     if suffixes:
         x = strip_suffixes_inline(x, suffixes, min_stem)
     x = to_lower(x)
@@ -126,14 +132,14 @@ def _pre_stopwords(c, suffixes, min_stem, punct_mode) -> Column:
 
 def clean_text(c, stopwords=(), suffixes=(), min_stem: int = 2, punct_mode: str = "space") -> Column:
     """suffix strip -> lower -> danda -> punctuation -> dots/dashes -> stopwords; null -> ''."""
-    return remove_stopwords(_pre_stopwords(c, suffixes, min_stem, punct_mode), list(stopwords))
+    return F.array_join(clean_tokens(c, stopwords, suffixes, min_stem, punct_mode), " ")
 
 
 def clean_tokens(c, stopwords=(), suffixes=(), min_stem: int = 2, punct_mode: str = "space") -> Column:
     """The whitespace tokens of ``clean_text`` (T7 then T8) without joining and re-splitting:
     the stopword-filtered token array itself."""
     stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    toks = tokenize_whitespace(_pre_stopwords(c, suffixes, min_stem, punct_mode))
+    toks = _split_plain(_pre_stopwords(c, suffixes, min_stem, punct_mode))
     return F.filter(toks, lambda t: ~F.array_contains(stop, t))
 
 

@@ -16,13 +16,14 @@ from tessera.operators.indexing import dense_index
 from tessera.operators.vocab import word_counts
 from tessera.plans.params import DIGITS
 from tessera.plans.registry import query
-from tessera.plans.tfidf_queries import CLEAN_TOKENS_SQL, TFIDF_SQL, clean_tokens
+from tessera.plans.tfidf_queries import CLEAN_TOKENS_SQL, TFIDF_SQL, clean_tokens, tokens_once
 from tessera.session import scratch_path
 from tessera.sources.tables import table
 
 
-def word_vectors(spark, sf_dir, order: str = "frequency"):
-    wc = word_counts(clean_tokens(spark, sf_dir))
+def word_vectors(spark, sf_dir, order: str = "frequency", docs=None):
+    """``docs``: the corpus's tokens, if the query has them already."""
+    wc = word_counts(clean_tokens(spark, sf_dir) if docs is None else docs)
     keys = [F.col("count").desc(), F.col("term")] if order == "frequency" else [F.col("term")]
     ranked = dense_index(wc, keys, "rank")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -51,7 +52,8 @@ occ AS (SELECT doc_id, unnest(tokens) AS word FROM docs)
 SELECT o.doc_id, count(*) AS n_in_vocab FROM occ o JOIN wv USING (word) GROUP BY o.doc_id""")
 def lookup_vectors(spark, sf_dir):
     """Token -> vector lookup; in-vocabulary occurrences per document."""
-    lv = EM.lookup_vectors(clean_tokens(spark, sf_dir), word_vectors(spark, sf_dir))
+    docs = tokens_once(spark, sf_dir)
+    lv = EM.lookup_vectors(docs, word_vectors(spark, sf_dir, docs=docs))
     return lv.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_in_vocab"))
 
 
@@ -62,7 +64,8 @@ SELECT d.doc_id, round(coalesce(vsum, 0.0), {DIGITS}) AS vsum, round(coalesce(v0
 FROM docs d LEFT JOIN pooled USING (doc_id)""")
 def mean_pool(spark, sf_dir):
     """E5: mean of in-vocabulary token vectors per document (zeros if none)."""
-    p = EM.mean_pool(clean_tokens(spark, sf_dir), word_vectors(spark, sf_dir), dim=64)
+    docs = tokens_once(spark, sf_dir)
+    p = EM.mean_pool(docs, word_vectors(spark, sf_dir, docs=docs), dim=64)
     return p.select("doc_id", _vsum().alias("vsum"), F.round(F.col("embedding")[0], DIGITS).alias("v0"))
 
 
@@ -74,9 +77,9 @@ SELECT d.doc_id, round(coalesce(vsum, 0.0), {DIGITS}) AS vsum, round(coalesce(v0
 FROM docs d LEFT JOIN pooled USING (doc_id)""")
 def tfidf_weighted_pool(spark, sf_dir):
     """J5 + E6: tf-idf-weighted mean of token vectors."""
-    docs = clean_tokens(spark, sf_dir)
+    docs = tokens_once(spark, sf_dir)
     tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
-    p = EM.tfidf_weighted_pool(docs, word_vectors(spark, sf_dir), tfidf, dim=64)
+    p = EM.tfidf_weighted_pool(docs, word_vectors(spark, sf_dir, docs=docs), tfidf, dim=64)
     return p.select("doc_id", _vsum().alias("vsum"), F.round(F.col("embedding")[0], DIGITS).alias("v0"))
 
 
@@ -91,7 +94,8 @@ ov AS (SELECT p.doc_id, coalesce(w.vector, list_transform(range(64), lambda i: C
 SELECT d.doc_id, round(vsum, {DIGITS}) AS vsum FROM docs d LEFT JOIN pooled USING (doc_id)""")
 def masked_mean_pool(spark, sf_dir):
     """Mean over unmasked positions of the 100-padded sequence (OOV = zeros; all padding -> null)."""
-    p = EM.masked_mean_pool(clean_tokens(spark, sf_dir), word_vectors(spark, sf_dir), max_len=100, dim=64)
+    docs = tokens_once(spark, sf_dir)
+    p = EM.masked_mean_pool(docs, word_vectors(spark, sf_dir, docs=docs), max_len=100, dim=64)
     return p.select("doc_id", _vsum().alias("vsum"))
 
 
@@ -104,7 +108,8 @@ SELECT doc_id, CAST(count(*) AS INTEGER) AS n_positions, CAST(count_if(mask) AS
        round(sum(s), {DIGITS}) AS vsum, round(arg_min(s, pos), {DIGITS}) AS first_sum FROM v GROUP BY doc_id""")
 def sequence_embed(spark, sf_dir):
     """Padded sequences of vectors + mask (max_len 100, pad vector zeros)."""
-    s = EM.sequence_embed(clean_tokens(spark, sf_dir), word_vectors(spark, sf_dir), max_len=100, dim=64)
+    docs = tokens_once(spark, sf_dir)
+    s = EM.sequence_embed(docs, word_vectors(spark, sf_dir, docs=docs), max_len=100, dim=64)
     sums = F.transform("sequence", lambda v: F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda a, x: a + x))
     return s.select("doc_id", F.size("sequence").alias("n_positions"), F.size(F.filter("mask", lambda m: m)).alias("n_unmasked"),
                     F.round(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x), DIGITS).alias("vsum"),
@@ -139,8 +144,9 @@ UNION ALL
 SELECT u.word, CAST(coalesce(nn.n_ngrams, 0) AS BIGINT), round(res.vsum, {DIGITS}) FROM unk u LEFT JOIN nn USING (word) LEFT JOIN res USING (word)""")
 def subword_vectors(spark, sf_dir):
     """Character 3-6-gram vectors give every corpus word a vector (known words keep theirs)."""
-    words = word_counts(clean_tokens(spark, sf_dir)).select(F.col("term").alias("word"))
-    s = EM.subword_vectors(words, word_vectors(spark, sf_dir), 3, 6)
+    docs = tokens_once(spark, sf_dir)
+    words = word_counts(docs).select(F.col("term").alias("word"))
+    s = EM.subword_vectors(words, word_vectors(spark, sf_dir, docs=docs), 3, 6)
     return s.select("word", "n_ngrams", _vsum("vector").alias("vsum"))
 
 
@@ -210,7 +216,8 @@ SELECT CAST(sum(count) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN has THEN count
        count(*) AS n_words, CAST(count_if(NOT has) AS BIGINT) AS n_missing_words, round(sum(CASE WHEN has THEN count ELSE 0 END) / sum(count), {DIGITS}) AS token_share FROM j""")
 def vocab_coverage(spark, sf_dir):
     """Token and word coverage of the vector table."""
-    c = EM.vocab_coverage(clean_tokens(spark, sf_dir), word_vectors(spark, sf_dir))
+    docs = tokens_once(spark, sf_dir)
+    c = EM.vocab_coverage(docs, word_vectors(spark, sf_dir, docs=docs))
     return c.select("n_tokens", "n_covered", "n_words", "n_missing_words", F.round("token_share", DIGITS).alias("token_share"))
 
 
@@ -220,5 +227,6 @@ ov AS (SELECT o.doc_id, w.vector, 1.0 AS w FROM (SELECT doc_id, unnest(tokens) A
 SELECT d.doc_id, round(coalesce(vsum, 0.0), {DIGITS}) AS vsum FROM docs d LEFT JOIN pooled USING (doc_id)""")
 def build_embeddings(spark, sf_dir):
     """Corpus -> pooled document vectors written to Parquet and read back."""
-    path = EM.build_embeddings(clean_tokens(spark, sf_dir), word_vectors(spark, sf_dir), scratch_path(spark, "doc_vectors"))
+    docs = tokens_once(spark, sf_dir)
+    path = EM.build_embeddings(docs, word_vectors(spark, sf_dir, docs=docs), scratch_path(spark, "doc_vectors"))
     return spark.read.parquet(path).select("doc_id", _vsum().alias("vsum"))

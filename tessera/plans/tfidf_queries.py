@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import tfidf as TF
+from tessera.operators.indexing import materialize
 from tessera.plans import sqltext as S
 from tessera.plans.params import DIGITS, MIN_STEM, STOPWORDS, SUFFIXES
 from tessera.plans.registry import query
@@ -18,6 +19,12 @@ def clean_tokens(spark, sf_dir):
     return d.select("doc_id", T.clean_tokens("text", STOPWORDS, SUFFIXES, MIN_STEM).alias("tokens"))
 
 
+def tokens_once(spark, sf_dir):
+    """``clean_tokens`` cleaned once and written to the shared folder, for queries that read the
+    tokens more than once."""
+    return materialize(clean_tokens(spark, sf_dir))
+
+
 def default_tokens(spark, sf_dir):
     """documents -> (doc_id, tokens) with the vectoriser's default tokenizer."""
     d = table(spark, sf_dir, "documents")
@@ -44,7 +51,7 @@ SELECT term, round(sum(tfidf) / (SELECT n_docs FROM ndocs), {DIGITS}) AS mean_tf
 FROM tfidf GROUP BY term ORDER BY sum(tfidf) DESC, term LIMIT 20""", headline=True)
 def tfidf_top_terms(spark, sf_dir):
     """Flagship: clean -> tokens -> TF-IDF fit/transform -> top-20 terms by mean tf-idf."""
-    docs = clean_tokens(spark, sf_dir)
+    docs = tokens_once(spark, sf_dir)
     n_docs = docs.select("doc_id").count()  # one count serves the idf and the mean
     model = TF.tfidf_fit(docs, with_index=False, n_docs=n_docs)
     tfidf = TF.tfidf_transform(docs, model)
@@ -65,7 +72,7 @@ def tfidf_vocabulary(spark, sf_dir):
 SELECT doc_id, term, term_index, tf, round(tfidf, {DIGITS}) AS tfidf FROM tfidf""")
 def tfidf_doc_terms(spark, sf_dir):
     """Long-form tf-idf of every (document, term), L2-normalised per document."""
-    docs = clean_tokens(spark, sf_dir)
+    docs = tokens_once(spark, sf_dir)
     t = TF.tfidf_transform(docs, TF.tfidf_fit(docs))
     return t.select("doc_id", "term", "term_index", "tf", F.round("tfidf", DIGITS).alias("tfidf"))
 
@@ -75,7 +82,7 @@ SELECT term, round(sum(tfidf) / (SELECT n_docs FROM ndocs), {DIGITS}) AS mean_tf
 FROM tfidf GROUP BY term ORDER BY sum(tfidf) DESC, term LIMIT 20""")
 def tfidf_default_tokenizer(spark, sf_dir):
     """C6/C8/C9 with the vectoriser's default tokenizer (lower, runs of >= 2 word chars)."""
-    docs = default_tokens(spark, sf_dir)
+    docs = materialize(default_tokens(spark, sf_dir))
     tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
     top = TF.top_terms_by_mean_tfidf(tfidf, docs.agg(F.count(F.lit(1)).alias("n_docs")), 20)
     return top.select("term", F.round("mean_tfidf", DIGITS).alias("mean_tfidf"))
@@ -88,7 +95,7 @@ SELECT f.doc_id, t.term, round(coalesce(x.tfidf, 0.0), {DIGITS}) AS tfidf
 FROM first_docs f CROSS JOIN top t LEFT JOIN tfidf x ON x.doc_id = f.doc_id AND x.term = t.term""")
 def tfidf_heatmap(spark, sf_dir):
     """First 10 documents x top-10 mean-tf-idf terms, zero filled (a fixed 10x10 block)."""
-    docs = clean_tokens(spark, sf_dir)
+    docs = tokens_once(spark, sf_dir)
     tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
     top = TF.top_terms_by_mean_tfidf(tfidf, docs.agg(F.count(F.lit(1)).alias("n_docs")), 10).select("term")
     first = docs.select("doc_id").orderBy("doc_id").limit(10)
@@ -102,7 +109,7 @@ SELECT o.doc_id, o.pos, o.term, round(coalesce(x.tfidf, 0.0), {DIGITS}) AS tfidf
 FROM occ o LEFT JOIN tfidf x ON x.doc_id = o.doc_id AND x.term = o.term""")
 def doc_word_scores(spark, sf_dir):
     """C11: tf-idf of each word occurrence, for every document."""
-    docs = clean_tokens(spark, sf_dir)
+    docs = tokens_once(spark, sf_dir)
     tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
     s = TF.doc_word_scores(tfidf, docs)
     return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "term", F.round("tfidf", DIGITS).alias("tfidf"))
@@ -115,7 +122,7 @@ FROM tfidf GROUP BY doc_id""")
 def tfidf_sparse_vectors(spark, sf_dir):
     """Long form -> one ML SparseVector per document; checked through the vector's
     text form (size, stored entries, sum of values, first index)."""
-    docs = clean_tokens(spark, sf_dir)
+    docs = tokens_once(spark, sf_dir)
     model = TF.tfidf_fit(docs)
     size = model.agg(F.max("term_index")).first()[0] + 1
     v = TF.to_ml_vector(TF.tfidf_transform(docs, model), size).select("doc_id", F.col("features").cast("string").alias("s"))
@@ -149,7 +156,7 @@ cells AS (SELECT f.doc_id, t.r, round(coalesce(x.tfidf, 0.0), {DIGITS}) AS tfidf
 SELECT doc_id, {', '.join(f'max(CASE WHEN r = {k} THEN tfidf END) AS term_{k}' for k in range(1, 11))} FROM cells GROUP BY doc_id""")
 def tfidf_heatmap_wide(spark, sf_dir):
     """C10 pivoted: the 10 x 10 block with one column per top term, named by its rank."""
-    docs = clean_tokens(spark, sf_dir)
+    docs = tokens_once(spark, sf_dir)
     tfidf = TF.tfidf_transform(docs, TF.tfidf_fit(docs, with_index=False))
     top = TF.top_terms_by_mean_tfidf(tfidf, docs.agg(F.count(F.lit(1)).alias("n_docs")), 10)
     terms = [r.term for r in top.collect()]  # the 10 column names
