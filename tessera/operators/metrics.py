@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import argmax, explode_rows, softmax
-from tessera.operators.indexing import cumulative
+from tessera.operators.indexing import cumulative, materialize
 
 
 def _div(a, b):
@@ -56,35 +56,44 @@ def accuracy(df: DataFrame, label="label", pred="prediction", by=()) -> DataFram
     return df.groupBy(*by).agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
 
 
+def per_class_counts(df: DataFrame, label="label", pred="prediction", by=()) -> DataFrame:
+    """(by, class, tp, support, n_pred): one aggregate of the pair counts, no joins. Each pair
+    counts once for its true and once for its predicted class."""
+    by, n = list(by), F.col("count")
+    hit = F.col(label) == F.col(pred)
+    sides = F.array(F.struct(F.col(label).alias("class"), F.when(hit, n).otherwise(0).alias("tp"), n.alias("support"), F.lit(0).cast("long").alias("n_pred")),
+                    F.struct(F.col(pred).alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"), n.alias("n_pred")))
+    rows = pair_counts(df.withColumn(pred, F.col(pred).cast(df.schema[label].dataType)), label, pred, by)
+    rows = rows.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*").where(F.col("class").isNotNull())
+    return rows.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "n_pred")])
+
+
 # V3
 def per_class_scores(df: DataFrame, label="label", pred="prediction", by=()) -> DataFrame:
     """precision / recall / f1 / support per class (zero_division = 0)."""
     by = list(by)
-    c = pair_counts(df, label, pred, by)
-    tp = c.where(F.col(label) == F.col(pred)).select(*by, F.col(label).alias("class"), F.col("count").alias("tp"))
-    actual = c.groupBy(*by, F.col(label).alias("class")).agg(F.sum("count").alias("support"))
-    predicted = c.groupBy(*by, F.col(pred).alias("class")).agg(F.sum("count").alias("n_pred"))
-    s = (_classes(c, label, pred, by).join(tp, [*by, "class"], "left").join(actual, [*by, "class"], "left")
-         .join(predicted, [*by, "class"], "left").fillna(0, ["tp", "support", "n_pred"]))
-    p = _div(F.col("tp"), F.col("n_pred"))
-    r = _div(F.col("tp"), F.col("support"))
-    s = s.withColumn("precision", p).withColumn("recall", r)
+    s = per_class_counts(df, label, pred, by)
+    s = s.withColumn("precision", _div(F.col("tp"), F.col("n_pred"))).withColumn("recall", _div(F.col("tp"), F.col("support")))
     return s.withColumn("f1", _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))) \
             .select(*by, "class", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
 
 
+def _average_rows(scores: DataFrame, by, names) -> DataFrame:
+    """The rows ``names`` of a report (accuracy, macro avg, weighted avg) from one aggregate.
+    Accuracy is the support-weighted recall."""
+    m, tot = ("precision", "recall", "f1"), F.sum("support")
+    one = scores.groupBy(*by).agg(tot.alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in m],
+                                  *[_div(F.sum(F.col(c) * F.col("support")), tot).alias(f"_w_{c}") for c in m])
+    none = F.lit(None).cast("double")
+    values = {"accuracy": (none, none, F.col("_w_recall")), "macro avg": [F.col(f"_m_{c}") for c in m], "weighted avg": [F.col(f"_w_{c}") for c in m]}
+    rows = F.array(*[F.struct(F.lit(r).alias("row"), *[v.alias(c) for c, v in zip(m, values[r])], F.col("_n").alias("support")) for r in names])
+    return one.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
+
+
 # V4
 def averages(scores: DataFrame, by=()) -> DataFrame:
     """macro and weighted averages of precision / recall / f1 (rows 'macro avg', 'weighted avg')."""
-    by = list(by)
-    tot = F.sum("support")
-    macro = scores.groupBy(*by).agg(F.lit("macro avg").alias("row"), F.avg("precision").alias("precision"),
-                                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), tot.alias("support"))
-    weighted = scores.groupBy(*by).agg(
-        F.lit("weighted avg").alias("row"),
-        *[_div(F.sum(F.col(m) * F.col("support")), tot).alias(m) for m in ("precision", "recall", "f1")],
-        tot.alias("support"))
-    return macro.unionByName(weighted)
+    return _average_rows(scores, list(by), ("macro avg", "weighted avg"))
 
 
 # V5
@@ -98,26 +107,16 @@ def classification_report(df: DataFrame, label="label", pred="prediction", names
     else:
         row = F.col("class").cast("string")
     per = sc.select(*by, row.alias("row"), "precision", "recall", "f1", "support")
-    acc = df.groupBy(*by).agg(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                              F.lit(None).cast("double").alias("recall"),
-                              F.avg((F.col(label) == F.col(pred)).cast("double")).alias("f1"),
-                              F.count(F.lit(1)).alias("support"))
-    return per.unionByName(acc).unionByName(averages(sc, by))
+    return per.unionByName(_average_rows(sc, by, ("accuracy", "macro avg", "weighted avg")))
 
 
 def _marginals(df, label, pred, by):
     """n, correct and the sums of t_k p_k, t_k^2, p_k^2 in one grouped aggregate over the
     k-row per-class table (true count, predicted count, diagonal count)."""
-    c = pair_counts(df, label, pred, by)
-    t = c.groupBy(*by, F.col(label).alias("class")).agg(F.sum("count").alias("t_k"))
-    p = c.groupBy(*by, F.col(pred).alias("class")).agg(F.sum("count").alias("p_k"))
-    d = c.where(F.col(label) == F.col(pred)).select(*by, F.col(label).alias("class"), F.col("count").alias("d_k"))
-    m = (t.join(p, [*by, "class"], "full_outer").join(d, [*by, "class"], "left")
-          .fillna(0, ["t_k", "p_k", "d_k"]))
-    return m.groupBy(*by).agg(F.sum("t_k").alias("n"), F.sum("d_k").alias("correct"),
-                              F.sum(F.col("t_k") * F.col("p_k")).cast("double").alias("tp_sum"),
-                              F.sum(F.col("t_k") * F.col("t_k")).cast("double").alias("tt_sum"),
-                              F.sum(F.col("p_k") * F.col("p_k")).cast("double").alias("pp_sum"))
+    m = per_class_counts(df, label, pred, by)
+    t, p = F.col("support"), F.col("n_pred")
+    return m.groupBy(*by).agg(F.sum(t).alias("n"), F.sum("tp").alias("correct"), F.sum(t * p).cast("double").alias("tp_sum"),
+                              F.sum(t * t).cast("double").alias("tt_sum"), F.sum(p * p).cast("double").alias("pp_sum"))
 
 
 # V6
@@ -149,11 +148,10 @@ def class_scores(df: DataFrame, label="label", prob="probability") -> DataFrame:
 def _running(df: DataFrame, label="label", prob="probability") -> DataFrame:
     """Per (class, score desc): cumulative positives / negatives and class totals."""
     cs = class_scores(df, label, prob)
-    cum = cumulative(cs, ["class"], [F.col("score").desc()], ["pos", "neg"], "sum")
-    # class totals are the last running values: read them from the (checkpointed) running
-    # table instead of aggregating the prediction table a second time
+    # written once: the class totals are its last running values, and the curves read it again
+    cum = materialize(cumulative(cs, ["class"], [F.col("score").desc()], ["pos", "neg"], "sum"))
     totals = cum.groupBy("class").agg(F.max("pos_cum").cast("long").alias("P"), F.max("neg_cum").cast("long").alias("N"))
-    return cum.join(totals, "class")  # k rows
+    return cum.join(F.broadcast(totals), "class")  # one row per class
 
 
 # V8
