@@ -227,15 +227,22 @@ class OneVsOneModel:
     def __init__(self, models):
         self.models = models  # (a, b, model) with label 1.0 meaning b
 
-    def transform(self, df: DataFrame, id_col: str = "vec_id") -> DataFrame:
-        votes = None
-        for a, b, m in self.models:
-            p = m.transform(df.select(id_col, "features")).select(
-                id_col, F.when(F.col("prediction") == 1.0, F.lit(b)).otherwise(F.lit(a)).alias("_vote"))
-            votes = p if votes is None else votes.unionByName(p)
-        c = votes.groupBy(id_col, "_vote").agg(F.count(F.lit(1)).alias("_n"))
-        best = c.groupBy(id_col).agg(F.max_by(F.col("_vote"), F.struct(F.col("_n"), -F.col("_vote"))).alias("prediction"))
-        return df.join(best, id_col)
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """Every pair's model adds its vote as a column (one pass, no joins); the class with
+        the most votes wins, ties go to the smaller one."""
+        out, extra = df, []
+        for i, (a, b, m) in enumerate(self.models):
+            m = m.copy().setFeaturesCol(features).setPredictionCol(f"_p{i}")
+            for col in ("rawPrediction", "probability"):
+                if m.hasParam(f"{col}Col"):
+                    m.set(m.getParam(f"{col}Col"), f"_{col}{i}")
+                    extra.append(f"_{col}{i}")
+            out = m.transform(out)
+        classes = sorted({c for a, b, _ in self.models for c in (a, b)})
+        votes = F.array(*[sum((F.when(F.col(f"_p{i}") == (1.0 if c == b else 0.0), F.lit(1.0)).otherwise(F.lit(0.0))
+                               for i, (a, b, _) in enumerate(self.models) if c in (a, b)), F.lit(0.0)) for c in classes])
+        best = F.element_at(F.array(*[F.lit(c) for c in classes]), argmax(votes) + 1)
+        return out.withColumn("prediction", best).drop(*extra, *[f"_p{i}" for i in range(len(self.models))])
 
 
 def one_vs_one(df, estimator_factory, features="features", label="label"):

@@ -87,3 +87,11 @@ def test_condensed_nn_runs_until_nothing_is_added(spark):
         if i not in store:
             near = min(store, key=lambda j: (abs(pts[j][1] - x), j))
             assert pts[near][0] == c
+
+
+def test_sequence_embed_gives_unknown_words_the_pad_vector(spark):
+    from tessera.operators.embed import sequence_embed
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("<pad>", [9.0, 8.0])], "word string, vector array<float>")
+    docs = spark.createDataFrame([(1, ["a", "unknown"])], "doc_id long, tokens array<string>")
+    row = sequence_embed(docs, vectors, max_len=3, dim=2).first()
+    assert row.sequence == [[1.0, 2.0], [9.0, 8.0], [9.0, 8.0]] and row.mask == [True, True, False]
