@@ -79,20 +79,19 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 # A8
 def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     """Gaussian kernel density on an evenly spaced grid over [min, max], Scott bandwidth
-    (n^(-1/5) * sample std). Each row adds its kernel to every grid point inside an array
-    (no join); the arrays are summed per grid point with a partial aggregation."""
+    (n^(-1/5) * sample std). One sum per grid point in a single aggregate: no join, no row per
+    (row, point)."""
     st = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"),
                 F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")).first()  # 4 scalars
     n = st["n"]
     h = st["sd"] * float(n) ** -0.2
     lo, hi = st["lo"], st["hi"]
     step = (hi - lo) / (points - 1)
-    kernel = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                         lambda i: F.exp(-0.5 * F.pow((F.lit(lo) + i * F.lit(step) - F.col(col)) / F.lit(h), 2)))
-    contrib = explode_rows(df.where(F.col(col).isNotNull()), [], kernel, "k", pos="i")
-    g = contrib.groupBy("i").agg(F.sum("k").alias("s"))
-    return g.select(F.col("i").alias("point"), (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"),
-                    (F.col("s") / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
+    x = [lo + i * step for i in range(points)]
+    sums = df.agg(*[F.sum(F.exp(-0.5 * F.pow((F.lit(p) - F.col(col)) / F.lit(h), 2))).alias(f"s{i}") for i, p in enumerate(x)])
+    grid = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(p).alias("x"), F.col(f"s{i}").alias("s")) for i, p in enumerate(x)])
+    return sums.select(F.explode(grid).alias("g")).select(
+        "g.point", "g.x", (F.col("g.s") / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 # A11
@@ -100,19 +99,19 @@ def krippendorff_alpha_nominal(df: DataFrame, unit: str, raters) -> DataFrame:
     """Krippendorff's alpha for nominal data, missing ratings ignored.
 
     alpha = 1 - (n - 1) * sum_u (m_u^2 - sum_c n_uc^2) / (m_u - 1) / (n^2 - sum_c n_c^2),
-    over pairable units (m_u >= 2), from value counts per unit — no rating pairs are
-    materialised.
+    over pairable units (m_u >= 2), one row per unit. The unit's terms are computed in its row,
+    then one aggregate per value: one scan, no rating pairs.
     """
-    long = df.unpivot(unit, list(raters), "rater", "value").where(F.col("value").isNotNull())
-    uc = long.groupBy(unit, "value").agg(F.count(F.lit(1)).cast("double").alias("n_uc"))
-    u = uc.groupBy(unit).agg(F.sum("n_uc").alias("m_u"), F.sum(F.col("n_uc") * F.col("n_uc")).alias("sq_u"))
-    u = u.where(F.col("m_u") >= 2)
-    do = u.agg(F.sum((F.col("m_u") * F.col("m_u") - F.col("sq_u")) / (F.col("m_u") - 1)).alias("d_o"),
-               F.sum("m_u").alias("n"), F.lit(None).cast("double").alias("sq_c"))
-    nc = uc.join(u.select(unit), unit, "left_semi").groupBy("value").agg(F.sum("n_uc").alias("n_c"))
-    de = nc.agg(F.lit(None).cast("double").alias("d_o"), F.lit(None).cast("double").alias("n"),
-                F.sum(F.col("n_c") * F.col("n_c")).alias("sq_c"))
-    one = do.unionByName(de).agg(F.max("d_o").alias("d_o"), F.max("n").alias("n"), F.max("sq_c").alias("sq_c"))
+    ratings = F.filter(F.array(*[F.col(r) for r in raters]), lambda v: v.isNotNull())
+    rows = df.select(ratings.alias("_v")).where(F.size("_v") >= 2)
+    m = F.size("_v")
+    sq = F.aggregate("_v", F.lit(0), lambda acc, v: acc + F.size(F.filter("_v", lambda w: w == v)))  # sum of n_uc^2
+    # the unit's share of the observed disagreement goes with its first rating
+    rows = rows.select("_v", ((m * m - sq) / (m - 1)).alias("_d"))
+    long = rows.select("_d", F.posexplode("_v").alias("_i", "value"))
+    by_value = long.groupBy("value").agg(F.count(F.lit(1)).cast("double").alias("n_c"),
+                                         F.sum(F.when(F.col("_i") == 0, F.col("_d"))).alias("d_o"))
+    one = by_value.agg(F.sum("d_o").alias("d_o"), F.sum("n_c").alias("n"), F.sum(F.col("n_c") * F.col("n_c")).alias("sq_c"))
     return one.select(
         (F.lit(1.0) - (F.col("n") - 1) * F.col("d_o") / (F.col("n") * F.col("n") - F.col("sq_c"))).alias("alpha"),
         F.col("n").cast("long").alias("n_pairable_values"))

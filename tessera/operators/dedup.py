@@ -76,15 +76,15 @@ def resolve_polarity_conflicts(df: DataFrame, drop_rules, keys=("text", "sentime
 
 # D3
 def dedup_keep_first(df: DataFrame, keys=("text", "sentiment"), order: str = "doc_id") -> DataFrame:
-    """First row (lowest ``order``) per key group, like ``drop_duplicates(keep='first')``.
+    """First row (lowest ``order``, unique) per key group, like ``drop_duplicates(keep='first')``.
 
-    ``min_by`` over a struct of the row is a mergeable aggregate, so each map task keeps one
-    candidate per group and a hot group never lands whole in one task (unlike
-    ``row_number`` over a window partitioned by the keys).
+    The lowest ``order`` per hashed key (128 bits) is a hash aggregate over narrow rows: each
+    map task keeps one number per group, so a hot group never lands whole in one task. The
+    rows themselves are semi-joined on ``order``, which spreads evenly.
     """
-    others = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order)).alias("_r"))
-    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*df.columns)
+    hashed = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    first = df.groupBy(hashed.alias("_h")).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi").select(*df.columns)
 
 
 # D4
@@ -130,10 +130,14 @@ def assert_no_conflicts(df: DataFrame, sets, key: str = "text", label: str = "ta
 # D7
 def union_corpora(a: DataFrame, b: DataFrame, order_col: str = "doc_id", index: str = "idx") -> DataFrame:
     """Append by column name (missing columns null) and give a new 0-based index: rows of
-    ``a`` first, then ``b``, each in ``order_col`` order."""
+    ``a`` first, then ``b``, each in ``order_col`` order (unique within a corpus). Only the
+    order key is sorted; the texts are joined to their number once."""
     from tessera.operators.indexing import dense_index
     u = a.withColumn("_src", F.lit(0)).unionByName(b.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-    return dense_index(u, ["_src", order_col], index).drop("_src")
+    n = dense_index(u.select("_src", F.col(order_col).alias("_order")), ["_src", "_order"], index)
+    n = n.withColumnRenamed("_src", "_n_src")
+    j = u.join(n, (F.col("_src") == F.col("_n_src")) & F.col(order_col).eqNullSafe(F.col("_order")))
+    return j.drop("_src", "_n_src", "_order")
 
 
 # D8

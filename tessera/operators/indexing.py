@@ -80,9 +80,10 @@ def unit_uniform_sql(id_expr: str, seed: int, salt: str = "u") -> str:
 
 
 def cumulative(df: DataFrame, group_cols, order_cols, value_cols, op: str = "sum",
-               suffix: str = "_cum") -> DataFrame:
+               suffix: str = "_cum", before: bool = False) -> DataFrame:
     """Running ``sum`` or ``max`` of ``value_cols`` within each group in ``order_cols`` order
     (rows up to and including the current one), without a window that holds a whole group.
+    ``before`` adds ``<col>_before``, the same without the current row (null for the first).
 
     Same idea as ``dense_index``: a range-partitioned sort spreads a hot group over many
     partitions; each partition computes its running values in one vectorised pass
@@ -94,8 +95,9 @@ def cumulative(df: DataFrame, group_cols, order_cols, value_cols, op: str = "sum
 
     group_cols, value_cols = list(group_cols), list(value_cols)
     keys = _cols(group_cols) + _cols(order_cols)
+    ends = [suffix, "_before"] if before else [suffix]
     tagged = materialize(df.orderBy(*keys).withColumn("_part", F.spark_partition_id()))
-    out_fields = list(tagged.schema.fields) + [Ty.StructField(v + suffix, Ty.DoubleType()) for v in value_cols]
+    out_fields = list(tagged.schema.fields) + [Ty.StructField(v + x, Ty.DoubleType()) for v in value_cols for x in ends]
     schema = Ty.StructType(out_fields)
 
     def run(batches):
@@ -104,7 +106,7 @@ def cumulative(df: DataFrame, group_cols, order_cols, value_cols, op: str = "sum
         last_key, last_val = None, {}
         for pdf in batches:
             if pdf.empty:
-                yield pdf.assign(**{v + suffix: pd.Series(dtype="float64") for v in value_cols})
+                yield pdf.assign(**{v + x: pd.Series(dtype="float64") for v in value_cols for x in ends})
                 continue
             cont = pd.Series(last_key is not None, index=pdf.index)
             if last_key is not None:
@@ -123,6 +125,12 @@ def cumulative(df: DataFrame, group_cols, order_cols, value_cols, op: str = "sum
                     prev = last_val[v]
                     run_v = run_v.where(~cont, run_v + prev if op == "sum" else run_v.clip(lower=prev))
                 out[v + suffix] = run_v.values
+                if before:
+                    prev_v = run_v.groupby([pdf[c] for c in group_cols], sort=False, dropna=False).shift(1) \
+                        if group_cols else run_v.shift(1)
+                    if bool(cont.iloc[0]):  # the batch goes on with the last group of the one before
+                        prev_v.iloc[0] = last_val[v]
+                    out[v + "_before"] = prev_v.values
                 last_val[v] = float(run_v.iloc[-1])
             tail = pdf.iloc[-1]
             last_key = tuple(None if pd.isna(tail[c]) else tail[c] for c in group_cols)
@@ -139,4 +147,7 @@ def cumulative(df: DataFrame, group_cols, order_cols, value_cols, op: str = "sum
         off = F.col(v + "_off")
         j = j.withColumn(v + suffix, F.when(off.isNull(), F.col(v + suffix)).otherwise(
             off + F.col(v + suffix) if op == "sum" else F.greatest(off, F.col(v + suffix))))
+        if before:  # pandas' missing value arrives as NaN or null
+            own = F.nanvl(v + "_before", F.lit(None).cast("double"))
+            j = j.withColumn(v + "_before", F.coalesce(off + own, off, own) if op == "sum" else F.greatest(off, own))
     return j.drop("_part", *[v + "_off" for v in value_cols])

@@ -67,24 +67,23 @@ def best_epoch_max(log: DataFrame, metric: str = "metric", run: str = "run", epo
                    initial: float = 0.0) -> DataFrame:
     """First epoch with the highest metric (strict improvement over a best starting at
     ``initial``); null when no epoch beats ``initial``."""
-    g = log.groupBy(run).agg(F.max_by(F.col(epoch), F.struct(F.col(metric), -F.col(epoch))).alias("_e"),
-                             F.max(metric).alias("best_value"))
+    # the earliest epoch per value first, so both are hash aggregates over plain columns
+    per = log.groupBy(run, metric).agg(F.min(epoch).alias("_e"))
+    g = per.groupBy(run).agg(F.max_by("_e", metric).alias("_e"), F.max(metric).alias("best_value"))
     return g.select(run, F.when(F.col("best_value") > initial, F.col("_e")).alias("best_epoch"), "best_value")
 
 
 # W5
 def best_epoch_min(log: DataFrame, metric: str = "metric", run: str = "run", epoch: str = "epoch") -> DataFrame:
     """Epoch of the lowest metric (ties: earliest)."""
-    return log.groupBy(run).agg(F.min_by(F.col(epoch), F.struct(F.col(metric), F.col(epoch))).alias("best_epoch"),
-                                F.min(metric).alias("best_value"))
+    per = log.groupBy(run, metric).agg(F.min(epoch).alias("_e"))
+    return per.groupBy(run).agg(F.min_by("_e", metric).alias("best_epoch"), F.min(metric).alias("best_value"))
 
 
 def _prev_best(log, metric, run, epoch, initial):
-    """max(initial, metric of epochs before e) per (run, epoch); epochs are consecutive."""
-    cum = cumulative(log.select(run, epoch, metric), [run], [epoch], [metric], "max")
-    prev = cum.select(run, (F.col(epoch) + 1).alias(epoch), F.col(metric + "_cum").alias("_prev"))
-    j = log.join(prev, [run, epoch], "left")
-    return j.withColumn("_prev", F.greatest(F.coalesce("_prev", F.lit(initial)), F.lit(initial)))
+    """max(initial, metric of the epochs before e) per (run, epoch)."""
+    c = cumulative(log.select(run, epoch, metric), [run], [epoch], [metric], "max", before=True)
+    return c.withColumn("_prev", F.greatest(metric + "_before", F.lit(initial)))
 
 
 # W6

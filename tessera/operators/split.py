@@ -3,7 +3,8 @@
 Randomness is a hash of (seed, id) — the same rows are chosen whatever the partitioning
 or the number of executors, and the SQL oracle can reproduce it. Positions within a class
 come from ``dense_index`` (range-partitioned), because a majority class may hold a third
-of all rows.
+of all rows. Only (class, hash, id) is sorted: a split by quota needs just the last chosen
+row of each class, which filters the payload where it lies. ``id_col`` must be unique.
 """
 
 from __future__ import annotations
@@ -14,9 +15,19 @@ from pyspark.sql import functions as F
 from tessera.operators.indexing import dense_index, portable_random_key
 
 
-def _ranked(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
-    k = df.withColumn("_key", portable_random_key(id_col, seed))
-    return dense_index(k, ["_key", id_col], "_rank", group_cols=[label]).drop("_key")
+def _mark_first(df: DataFrame, quotas: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
+    """Add ``_first``: whether the row is among the first ``quota`` of its class in hash order
+    (null for classes without a quota). The k-row ``quotas`` table gets the key of each class's
+    last chosen row; the payload is neither sorted nor shuffled."""
+    key = portable_random_key(id_col, seed)
+    ranked = dense_index(df.select(label, id_col, key.alias("_key")), ["_key", id_col], "_rank", group_cols=[label])
+    last = (ranked.join(F.broadcast(quotas), label).where(F.col("_rank") == F.col("quota") - 1)
+                  .select(label, F.col("_key").alias("_last_key"), F.col(id_col).alias("_last_id")))
+    bounds = quotas.join(F.broadcast(last), label, "left")  # k rows on both sides
+    up_to = (key < F.col("_last_key")) | ((key == F.col("_last_key")) & (F.col(id_col) <= F.col("_last_id")))
+    return (df.join(F.broadcast(bounds), label, "left")
+              .withColumn("_first", (F.col("quota") > 0) & F.coalesce(up_to, F.lit(True)))  # no last row: quota >= class
+              .select(*df.columns, "_first"))
 
 
 def test_quota(df: DataFrame, label: str, test_size: float) -> DataFrame:
@@ -40,9 +51,8 @@ def stratified_split(df: DataFrame, label: str, test_size: float, seed: int, id_
     """Exact per-class proportions: in each class the ``quota`` rows first in hash order go
     to the test side."""
     q = test_quota(df, label, test_size)
-    r = _ranked(df, label, id_col, seed).join(F.broadcast(q.select(label, "quota")), label, "left")  # k rows
-    return r.withColumn(out, F.when(F.col("_rank") < F.col("quota"), names[1]).otherwise(names[0])) \
-            .drop("_rank", "quota")
+    r = _mark_first(df, q.select(label, "quota"), label, id_col, seed)
+    return r.withColumn(out, F.when(F.col("_first"), names[1]).otherwise(names[0])).drop("_first")
 
 
 # X2
@@ -60,18 +70,20 @@ def train_test_val_split(df: DataFrame, label: str, test_size: float, val_size:
 
 # X3
 def stratified_kfold(df: DataFrame, label: str, k: int, seed: int, id_col: str, out: str = "fold") -> DataFrame:
-    """Fold = position in class (hash order) mod k: every class spread evenly over folds."""
-    r = _ranked(df, label, id_col, seed)
-    return r.withColumn(out, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank")
+    """Fold = position in (class, hash) order mod k: every class is spread evenly over the folds
+    and starts where the one before it ended, so the folds' sizes differ by at most one too."""
+    narrow = df.select(label, id_col, portable_random_key(id_col, seed).alias("_key"))
+    r = dense_index(narrow, [label, "_key", id_col], "_rank")
+    folds = r.select(id_col, F.pmod(F.col("_rank"), F.lit(k)).cast("int").alias(out))
+    return df.join(folds, id_col).select(*df.columns, out)
 
 
 # X4
 def random_undersample(df: DataFrame, label: str, targets: dict, seed: int, id_col: str) -> DataFrame:
     """Keep ``targets[c]`` random rows of each listed class, all rows of other classes."""
     spark = df.sparkSession
-    t = spark.createDataFrame([(k, int(v)) for k, v in targets.items()], f"{label} {dict(df.dtypes)[label]}, _keep long")
-    r = _ranked(df, label, id_col, seed).join(F.broadcast(t), label, "left")  # one row per listed class
-    return r.where(F.col("_keep").isNull() | (F.col("_rank") < F.col("_keep"))).drop("_rank", "_keep")
+    t = spark.createDataFrame([(k, int(v)) for k, v in targets.items()], f"{label} {dict(df.dtypes)[label]}, quota long")
+    return _mark_first(df, t, label, id_col, seed).where(F.coalesce("_first", F.lit(True))).drop("_first")
 
 
 # X10

@@ -23,10 +23,15 @@ def word_counts(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def _first_seen_counts(df, doc_col, tokens_col):
+    """(term, count, first_seen). For whole-number document ids the first appearance is one
+    decimal (id, then position): unlike a struct it fits a hash aggregate's buffer, so the
+    occurrences are not sorted."""
+    if dict(df.dtypes)[doc_col] in ("bigint", "int", "smallint", "tinyint"):
+        seen = F.col(doc_col).cast("decimal(19,0)") * F.lit(2 ** 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    else:
+        seen = F.struct(F.col(doc_col).alias("d"), F.col("pos").alias("p"))
     return (_tokens_long(df, doc_col, tokens_col)
-            .groupBy("term")
-            .agg(F.count(F.lit(1)).alias("count"),
-                 F.min(F.struct(F.col(doc_col).alias("d"), F.col("pos").alias("p"))).alias("first_seen")))
+            .groupBy("term").agg(F.count(F.lit(1)).alias("count"), F.min(seen).alias("first_seen")))
 
 
 # C2

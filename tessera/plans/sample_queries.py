@@ -72,7 +72,7 @@ def write_read_splits(spark, sf_dir):
 
 
 @query("stratified_kfold", sql=f"""WITH {IMBALANCED_SQL}
-SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5 AS INTEGER) AS fold
+SELECT vec_id, label, CAST((row_number() OVER (ORDER BY label, md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5 AS INTEGER) AS fold
 FROM imbalanced""")
 def stratified_kfold(spark, sf_dir):
     return X.stratified_kfold(imbalanced(spark, sf_dir).select("vec_id", "label"), "label", 5, SEED, "vec_id")
@@ -126,7 +126,7 @@ def knn_predict(spark, sf_dir):
 
 _FOLD_PRED_SQL = f"""{PREDICTIONS_SQL},
 fp AS (SELECT id, label, prediction,
-  CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold
+  CAST((row_number() OVER (ORDER BY label, md5('{SEED}:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold
   FROM predictions)"""
 
 

@@ -55,6 +55,30 @@ def test_alpha_perfect_agreement(spark):
     assert math.isclose(A.krippendorff_alpha_nominal(df, "u", ["a", "b"]).first().alpha, 1.0)
 
 
+def test_alpha_with_missing_and_repeated_values(spark):
+    """Three raters; by hand from the coincidence counts."""
+    rows = [(1, 0, 0, 1), (2, 1, 1, None), (3, 0, None, None), (4, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "u int, a int, b int, c int")
+    units = [[v for v in r[1:] if v is not None] for r in rows]
+    units = [u for u in units if len(u) > 1]
+    n = sum(map(len, units))
+    d_o = sum(sum(x != y for x in u for y in u) / (len(u) - 1) for u in units) / n
+    flat = [v for u in units for v in u]
+    d_e = sum(x != y for x in flat for y in flat) / (n * (n - 1))
+    got = A.krippendorff_alpha_nominal(df, "u", ["a", "b", "c"]).first()
+    assert got.n_pairable_values == n and math.isclose(got.alpha, 1 - d_o / d_e)
+
+
+def test_running_values_before_the_row(spark):
+    from tessera.operators.indexing import cumulative
+    rows = [("a", i, float(i * 7 % 11)) for i in range(40)] + [("b", 0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, i long, x double").repartition(5)
+    for op, f in (("max", max), ("sum", sum)):
+        got = {(r.g, r.i): r.x_before for r in cumulative(df, ["g"], ["i"], ["x"], op, before=True).collect()}
+        want = {(g, i): f(v) if (v := [x for h, j, x in rows if h == g and j < i]) else None for g, i, _ in rows}
+        assert got == want
+
+
 def test_pr_curve_average_precision_and_interpolation(spark):
     # binary-style one-vs-rest on class 1: scores 0.9 (pos), 0.8 (neg), 0.7 (pos), 0.1 (neg)
     df = spark.createDataFrame([(1, [0.1, 0.9]), (0, [0.2, 0.8]), (1, [0.3, 0.7]), (0, [0.9, 0.1])],

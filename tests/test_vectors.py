@@ -32,6 +32,35 @@ def test_knn_exact(spark):
         assert [got[(i, r)] for r in (1, 2, 3)] == order
 
 
+def _brute(pts, k):
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    return {(i, r + 1): j for i in range(len(pts)) for r, j in enumerate(sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:k])}
+
+
+def test_knn_prunes_clustered_vectors(spark):
+    """Exact on clusters, ties across cells included, with far fewer pairs than all."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 4)) * 100
+    pts = np.round(centres[np.arange(600) % 20] + rng.normal(size=(600, 4)))  # whole numbers: many ties
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id long, v array<double>")
+    args = (df, df, 4, "id", "id", "v", "v")
+    got = {(r.id, r.nn_rank): r.nn_id for r in K.knn_join(*args, exclude_self=True, r_block=16).collect()}
+    assert got == _brute(pts, 4)
+    assert K.pairs_compared(*args, exclude_self=True, r_block=16) < 600 * 600 / 5
+
+
+def test_knn_line_of_ties_and_small_groups(spark):
+    """Grid points on a line: every neighbour is tied with the one on the other side."""
+    pts = np.array([[float(i), 0.0] for i in range(120)])
+    df = spark.createDataFrame([(i, [float(x) for x in p], "a" if i else "b") for i, p in enumerate(pts)],
+                               "id long, v array<double>, g string")
+    got = {(r.id, r.nn_rank): r.nn_id for r in K.knn_join(df, df, 3, "id", "id", "v", "v", exclude_self=True, r_block=4).collect()}
+    assert got == _brute(pts, 3)
+    alone = K.knn_join(df, df, 3, "id", "id", "v", "v", exclude_self=True, same="g", r_block=4).collect()
+    assert not [r for r in alone if r.id == 0 or r.nn_id == 0] and len(alone) == 119 * 3
+
+
 def test_smote_rows_on_segments(spark):
     rng = np.random.default_rng(1)
     rows = [(i, 0, [float(x) for x in rng.normal(size=3)]) for i in range(20)] + \
@@ -61,6 +90,10 @@ def test_stratified_split_exact(spark):
     assert s.select("id", "split").exceptAll(s7.select("id", "split")).count() == 0
     f = X.stratified_kfold(df, "label", 5, 42, "id")
     assert sorted(r["count"] for r in f.groupBy("fold").count().collect()) == [20] * 5
+    odd = X.stratified_kfold(df.where("id % 4 != 1"), "label", 4, 42, "id").groupBy("fold").count().collect()
+    assert max(r["count"] for r in odd) - min(r["count"] for r in odd) <= 1
+    kept = X.random_undersample(df, "label", {0: 10, 1: 500}, 42, "id").groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in kept} == {0: 10, 1: 30}
 
 
 def test_leak_audit(spark):
