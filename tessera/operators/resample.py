@@ -116,13 +116,14 @@ def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k:
     minority = small[label]
     cleanable = [r[label] for r in counts.where(F.col("n_c") > threshold_cleaning * small["n_c"]).collect()]  # <= k
     nn = knn_join(df, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed)
-    v = vote(nn, df, id_col, label).join(df.select(id_col, label), id_col).withColumn("_min", F.lit(minority))
+    v = materialize(vote(nn, df, id_col, label).join(df.select(id_col, label), id_col)).withColumn("_min", F.lit(minority))
     edited = v.where((F.col(label) != F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
     bad_min = v.where((F.col(label) == F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
     neigh = (nn.join(bad_min, id_col, "left_semi").select(F.col("nn_id").alias(id_col))
                .join(df.select(id_col, label), id_col).withColumn("_min", F.lit(minority))
                .where((F.col(label) != F.col("_min")) & F.col(label).isin(cleanable)).select(id_col))
-    return df.join(edited.union(neigh).distinct(), id_col, "left_anti")
+    removed = materialize(edited.union(neigh).distinct())  # ids; what follows reads the rows several times
+    return df.join(removed, id_col, "left_anti")
 
 
 # X6
