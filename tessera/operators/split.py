@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.indexing import dense_index, portable_random_key
+from tessera.operators.indexing import dense_index, materialize, portable_random_key
 
 
 def _mark_first(df: DataFrame, quotas: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
@@ -50,8 +50,8 @@ def stratified_split(df: DataFrame, label: str, test_size: float, seed: int, id_
                      out: str = "split", names=("train", "test")) -> DataFrame:
     """Exact per-class proportions: in each class the ``quota`` rows first in hash order go
     to the test side."""
-    q = test_quota(df, label, test_size)
-    r = _mark_first(df, q.select(label, "quota"), label, id_col, seed)
+    q = materialize(test_quota(df, label, test_size).select(label, "quota"))  # k rows, read twice
+    r = _mark_first(df, q, label, id_col, seed)
     return r.withColumn(out, F.when(F.col("_first"), names[1]).otherwise(names[0])).drop("_first")
 
 
