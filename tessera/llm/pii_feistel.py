@@ -118,6 +118,13 @@ def card(s: str, key: bytes) -> str | None:
     return relayout(s, body + luhn_digit(body))
 
 
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
+
 def iban(s: str, key: bytes) -> str | None:
     plain = s.replace(" ", "")
     if not 15 <= len(plain) <= 34 or iban_rest(plain[:2], plain[2:4], plain[4:]) != 1:
@@ -173,15 +180,32 @@ PATTERN = re.compile(r"""
 """, re.X | re.A)
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _RUN = re.compile(r"\d+", re.A)
+#: Between two groups of a phone number; a dot and a digit do not end one.
+_GAP = re.compile(r"[ -]", re.A)
 SECRET = re.compile(r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]\s*["']?([A-Za-z0-9+/_-]{16,})(?![A-Za-z0-9+/_-])""", re.A)
 _MAKE = {"phone": phone, "ipv4": ipv4, "card": card, "iban": iban, "ssn": ssn, "date": date}
 
 
+def ends(m: re.Match, kind: str):
+    """Where the value of a match may end, best first: the pattern also takes words and numbers
+    that follow an IBAN or an international phone number, so an IBAN may end at its country's
+    length, and a phone number before any of its later groups."""
+    if kind == "iban" and (n := IBAN_LENGTHS.get(m[0][:2])):
+        value = re.match(r"(?: ?[A-Z0-9]){%d}(?= )" % n, m[0])
+        if value:
+            yield m.start() + value.end()
+    yield m.end()
+    if kind == "phone" and m[0][0] == "+":
+        for gap in reversed(list(_GAP.finditer(m.string, *m.span()))):
+            if PATTERN.fullmatch(m.string, m.start(), gap.start()):
+                yield gap.start()
+
+
 def numbers(text: str, key: bytes):
     """(start, end, kind, pseudonym) of the valid numbers and dates of a text.
 
-    The pattern is tried only where a run of digits begins (or the sign before it); where it
-    or the validation fails, the search goes on behind that run.
+    The pattern is tried only where a run of digits begins (or the sign before it), with each
+    end that its match allows; where all fail, the search goes on behind that run.
     """
     at = 0
     while run := _RUN.search(text, at):
@@ -189,9 +213,10 @@ def numbers(text: str, key: bytes):
         for p in (d - 2, d - 1, d):
             if p >= at and (m := PATTERN.match(text, p)):
                 kind = next(k for k in _MAKE if m[k])
-                if (new := _MAKE[kind](m[0], key)) is not None:
-                    yield p, m.end(), kind, new
-                    at = m.end()
+                end, new = next(((e, v) for e in ends(m, kind) if (v := _MAKE[kind](text[p:e], key)) is not None), (p, None))
+                if new is not None:
+                    yield p, end, kind, new
+                    at = end
                     break
         else:
             at = run.end()

@@ -221,6 +221,27 @@ def test_pii_neighbours(src, counts):
     assert (out == src) == (not counts) and len(out.split()) == len(src.split())
 
 
+@pytest.mark.parametrize("value,kind", [
+    ("ES9121000418450200051332", "iban"), ("ES91 2100 0418 4502 0005 1332", "iban"), ("PL61109010140000071219812874", "iban"), ("SE45 5000 0000 0583 9825 7466", "iban"),
+    ("CZ6508000000192000145399", "iban"), ("BE68539007547034", "iban"), ("DE89370400440532013000", "iban"), ("GB82 WEST 1234 5698 7654 32", "iban"),
+    ("+49 30 1234 5678", "phone"), ("+44 (20) 7946 0958", "phone"), ("+33 6 12 34 56 78", "phone")])
+@pytest.mark.parametrize("tail", ["", " 2024", " BIC", " EUR 2024", " 2024 2025 A1", " 2024-01-02x", " AB12", ", 7", " 2024 2025 2026 2027"])
+def test_pii_value_before_numbers_and_capitals(value, kind, tail):
+    alone, _ = pii_feistel.pseudonymise(value, KEY)
+    out, n = pii_feistel.pseudonymise(f"to {value}{tail}", KEY)
+    assert {k: v for k, v in n.items() if v} == {kind: 1} and value not in out
+    if kind == "iban":  # a phone number has no fixed length: up to 15 digits, what follows may belong to it
+        assert out == f"to {alone}{tail}"
+
+
+def test_pii_long_phone_drops_groups():
+    out, n = pii_feistel.pseudonymise("+49 30 1234 5678 2024 and +44 20 7946 0958 2024-01-02", KEY)
+    a, b = pii_feistel.phone("+49 30 1234 5678", KEY), pii_feistel.phone("+44 20 7946 0958", KEY)
+    assert out == f"{a} 2024 and {b} {pii_feistel.date('2024-01-02', KEY)}" and (n["phone"], n["date"]) == (2, 1)
+    for kept in ("+49301234567890123456", "+49.30.1234.5678.2024.1", "ES9121000418450200051333 2024"):
+        assert pii_feistel.pseudonymise(kept, KEY)[0] == kept
+
+
 def test_pii_table(spark, odd):
     df = frame(spark, [(d, t if t is None else t + " a.b7@x.org") for d, t in odd]).withColumn("pii", __import__("pyspark").sql.functions.lit(1))
     got = pii_feistel.pseudonymised(df, KEY)
