@@ -349,6 +349,11 @@ def train_word2vec(tokens_df: DataFrame, tokens="tokens", size=100, window=6, mi
     return m.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
 
 
+def train_glove_like(tokens_df: DataFrame, tokens="tokens", size=100, window=5, epochs=15, seed=42) -> DataFrame:
+    """E2 with the reference's settings: every word gets a vector, trained over ``epochs`` passes."""
+    return train_word2vec(tokens_df, tokens, size=size, window=window, min_count=1, epochs=epochs, seed=seed)
+
+
 # E14
 def pca(train: DataFrame, others: DataFrame, features="features", k=50):
     """Centred PCA fitted on ``train`` only and applied to both (Spark's PCA does not centre,

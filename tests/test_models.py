@@ -58,3 +58,16 @@ def test_rff_and_pca_shapes(spark):
 def test_replicate_by_weight(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0)], "id int, weight double")
     assert sorted(r.id for r in MD.replicate_by_weight(df).collect()) == [1, 2, 2, 2]
+
+
+def test_glove_gives_every_word_a_vector_over_all_passes(spark, monkeypatch):
+    from tessera.plans import model_queries as Q
+    seen = []
+    fit = MD.train_word2vec
+    monkeypatch.setattr(MD, "train_word2vec", lambda *a, **k: seen.append(k) or fit(*a, **k))
+    toks = spark.createDataFrame([(1, ["once", "many", "many"]), (2, ["many", "twice", "twice"])], "doc_id int, tokens array<string>")
+    monkeypatch.setattr(Q, "clean_tokens", lambda *a: toks)
+    got = {r.word: r.dim for r in Q.train_glove_surveyed(spark, "").collect()}
+    assert got == {"once": 100, "twice": 100, "many": 100}
+    assert {r.word: r.dim for r in Q.train_glove_like(spark, "").collect()} == {"many": 300}
+    assert [(k["size"], k["window"], k["min_count"], k["epochs"]) for k in seen] == [(100, 5, 1, 15), (300, 5, 3, 15)]
