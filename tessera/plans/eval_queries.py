@@ -179,6 +179,20 @@ def cross_entropy(spark, sf_dir):
     return ce.select(F.round("cross_entropy", DIGITS).alias("cross_entropy"))
 
 
+@query("cross_entropy_original", sql=f"""WITH {PREDICTIONS_SQL},
+cls AS (SELECT label, count(*) AS n_c FROM predictions GROUP BY label),
+w AS (SELECT label, sum(n_c) OVER () / (count(*) OVER () * n_c) AS weight FROM cls),
+r AS (SELECT w.weight AS w, 0.9 * (-ln(greatest(p.probability[p.label + 1], 2.220446049250313e-16)))
+             + 0.1 / len(p.probability) * list_sum(list_transform(p.probability, lambda x: -ln(greatest(x, 2.220446049250313e-16)))) AS loss
+      FROM predictions p JOIN w ON p.label = w.label)
+SELECT round(sum(w * loss) / sum(w), {DIGITS}) AS cross_entropy FROM r""")
+def cross_entropy_original(spark, sf_dir):
+    """V13 on every row as it is."""
+    p = predictions(spark, sf_dir)
+    ce = M.cross_entropy(p, A.balanced_class_weights(p), smoothing=0.1)
+    return ce.select(F.round("cross_entropy", DIGITS).alias("cross_entropy"))
+
+
 def _two_models(spark, sf_dir):
     p = predictions(spark, sf_dir)
     a = p.select(F.lit("given").alias("model"), "id", "label", "prediction")

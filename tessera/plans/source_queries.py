@@ -14,13 +14,23 @@ from tessera.sources.tables import ODD_DOCUMENTS_SQL, TRIAL_LOG_SQL, RUN_LOG_SQL
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+def _through_csv(spark, docs):
+    path = files.write_table(docs, scratch_path(spark, "corpus_csv"), "csv")
+    d = files.read_corpus_csv(spark, path, DOC_SCHEMA)
+    return d.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
 @query("read_corpus_csv", sql=f"""WITH {ODD_DOCUMENTS_SQL}
 SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM odd""")
 def read_corpus_csv(spark, sf_dir):
-    """S3 CSV sink + S1 CSV scan with an explicit schema (multi-line quoted text)."""
-    path = files.write_table(odd_documents(spark, sf_dir), scratch_path(spark, "corpus_csv"), "csv")
-    d = files.read_corpus_csv(spark, path, DOC_SCHEMA)
-    return d.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+    """S3 CSV sink + S1 CSV scan with an explicit schema (multi-line quoted text), odd texts."""
+    return _through_csv(spark, odd_documents(spark, sf_dir))
+
+
+@query("read_corpus_csv_original", sql="SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def read_corpus_csv_original(spark, sf_dir):
+    """S3 + S1 with every text as it is."""
+    return _through_csv(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 @query("read_headerless_csv", sql="SELECT doc_id, quality, toxic FROM labels")

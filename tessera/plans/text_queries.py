@@ -22,17 +22,29 @@ def _md5_tokens_sql(e):
     return f"md5(array_to_string({e}, ' '))"
 
 
+_CLEAN_TEXT_SQL = f"""SELECT doc_id, md5({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS clean_md5,
+  CAST(length({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS INTEGER) AS clean_chars"""
+
+
+def _clean_text(docs):
+    d = docs.select("doc_id", T.clean_text("text", STOPWORDS, SUFFIXES, MIN_STEM).alias("c"))
+    return d.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("clean_chars"))
+
+
 @query("clean_text", sql=f"""WITH {ODD_DOCUMENTS_SQL}
-SELECT doc_id, md5({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS clean_md5,
-  CAST(length({S.clean_text('text', STOPWORDS, SUFFIXES, MIN_STEM)}) AS INTEGER) AS clean_chars FROM odd""")
+{_CLEAN_TEXT_SQL} FROM odd""")
 def clean_text(spark, sf_dir):
-    """T7 (T6 suffixes -> T1 lower -> T3 danda -> T2 punctuation -> T4 dots -> T5 stopwords)."""
-    d = odd_documents(spark, sf_dir).select("doc_id", T.clean_text("text", STOPWORDS, SUFFIXES, MIN_STEM).alias("c"))
-    return d.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("clean_chars"))
+    """T7 (T6 suffixes -> T1 lower -> T3 danda -> T2 punctuation -> T4 dots -> T5 stopwords), odd texts."""
+    return _clean_text(odd_documents(spark, sf_dir))
 
 
-@query("cleaning_steps", sql=f"""WITH {ODD_DOCUMENTS_SQL}
-SELECT doc_id,
+@query("clean_text_original", sql=f"{_CLEAN_TEXT_SQL} FROM documents")
+def clean_text_original(spark, sf_dir):
+    """T7 on every text as it is."""
+    return _clean_text(table(spark, sf_dir, "documents"))
+
+
+_CLEANING_STEPS_SQL = f"""SELECT doc_id,
   md5(lower(text)) AS lower_md5,
   md5({S.strip_punctuation('text', 'space')}) AS punct_space_md5,
   md5({S.strip_punctuation('text', 'delete')}) AS punct_delete_md5,
@@ -40,12 +52,12 @@ SELECT doc_id,
   md5(regexp_replace(text, '।', ' |', 'g')) AS danda_md5,
   md5(regexp_replace(text, '[.\\-…]+', ' ', 'g')) AS dots_md5,
   md5({S.remove_stopwords('lower(text)', STOPWORDS)}) AS stop_md5,
-  md5({S.strip_suffixes('text', SUFFIXES, MIN_STEM)}) AS suffix_md5
-FROM odd""")
-def cleaning_steps(spark, sf_dir):
-    """Each cleaning step on its own (T1-T6), hashed per document."""
+  md5({S.strip_suffixes('text', SUFFIXES, MIN_STEM)}) AS suffix_md5"""
+
+
+def _cleaning_steps(docs):
     t = F.col("text")
-    return odd_documents(spark, sf_dir).select(
+    return docs.select(
         "doc_id",
         F.md5(T.to_lower(t)).alias("lower_md5"),
         F.md5(T.strip_punctuation(t, "space")).alias("punct_space_md5"),
@@ -57,17 +69,30 @@ def cleaning_steps(spark, sf_dir):
         F.md5(T.strip_suffixes(t, SUFFIXES, MIN_STEM)).alias("suffix_md5"))
 
 
-@query("tokenizers", sql=f"""WITH {ODD_DOCUMENTS_SQL}
-SELECT doc_id,
+@query("cleaning_steps", sql=f"""WITH {ODD_DOCUMENTS_SQL}
+{_CLEANING_STEPS_SQL}
+FROM odd""")
+def cleaning_steps(spark, sf_dir):
+    """Each cleaning step on its own (T1-T6), hashed per document, odd texts."""
+    return _cleaning_steps(odd_documents(spark, sf_dir))
+
+
+@query("cleaning_steps_original", sql=f"{_CLEANING_STEPS_SQL} FROM documents")
+def cleaning_steps_original(spark, sf_dir):
+    """T1-T6 on every text as it is."""
+    return _cleaning_steps(table(spark, sf_dir, "documents"))
+
+
+_TOKENIZERS_SQL = f"""SELECT doc_id,
   CAST(len({S.tokenize_whitespace('text')}) AS INTEGER) AS n_ws, {_md5_tokens_sql(S.tokenize_whitespace('text'))} AS ws_md5,
   CAST(len({S.tokenize_words('text')}) AS INTEGER) AS n_words, {_md5_tokens_sql(S.tokenize_words('text'))} AS words_md5,
   CAST(len({S.tokenize_script('text')}) AS INTEGER) AS n_script,
   CAST(len({S.tokenize_default('text')}) AS INTEGER) AS n_default, {_md5_tokens_sql(S.tokenize_default('text'))} AS default_md5,
-  CAST(len({S.tokens_no_punct('text')}) AS INTEGER) AS n_no_punct, {_md5_tokens_sql(S.tokens_no_punct('text'))} AS no_punct_md5
-FROM odd""")
-def tokenizers(spark, sf_dir):
-    """Token counts (T13) and hashes of each tokenizer's output."""
-    d = odd_documents(spark, sf_dir).select(
+  CAST(len({S.tokens_no_punct('text')}) AS INTEGER) AS n_no_punct, {_md5_tokens_sql(S.tokens_no_punct('text'))} AS no_punct_md5"""
+
+
+def _tokenizers(docs):
+    d = docs.select(
         "doc_id", T.tokenize_whitespace("text").alias("ws"), T.tokenize_words("text").alias("words"),
         T.tokenize_script("text").alias("script"), T.tokenize_default("text").alias("dflt"),
         T.tokens_no_punct("text").alias("np"))
@@ -78,6 +103,20 @@ def tokenizers(spark, sf_dir):
                     T.text_length("np").alias("n_no_punct"), _md5_tokens("np").alias("no_punct_md5"))
 
 
+@query("tokenizers", sql=f"""WITH {ODD_DOCUMENTS_SQL}
+{_TOKENIZERS_SQL}
+FROM odd""")
+def tokenizers(spark, sf_dir):
+    """Token counts (T13) and hashes of each tokenizer's output, odd texts."""
+    return _tokenizers(odd_documents(spark, sf_dir))
+
+
+@query("tokenizers_original", sql=f"{_TOKENIZERS_SQL} FROM documents")
+def tokenizers_original(spark, sf_dir):
+    """T8-T13 on every text as it is."""
+    return _tokenizers(table(spark, sf_dir, "documents"))
+
+
 @query("ngrams", sql=f"""WITH {CLEAN_TOKENS_SQL}
 SELECT doc_id, CAST(len({S.ngrams('tokens', 2)}) AS INTEGER) AS n_bigrams, {_md5_tokens_sql(S.ngrams('tokens', 2))} AS bigrams_md5,
        CAST(len({S.ngrams('tokens', 3)}) AS INTEGER) AS n_trigrams, {_md5_tokens_sql(S.ngrams('tokens', 3))} AS trigrams_md5
@@ -117,6 +156,13 @@ def concat_key(spark, sf_dir):
     return annotated(spark, sf_dir).withColumn("sentiment", F.when(F.col("doc_id") % 5 != 0, F.col("sentiment"))).select("doc_id", T.concat_key(["sentiment", "polarity"]).alias("key"))
 
 
+@query("concat_key_original", sql=f"""WITH {ANNOTATED_SQL}
+SELECT doc_id, coalesce(sentiment, 'nan') || '_' || CAST(polarity AS VARCHAR) AS key FROM annotated""")
+def concat_key_original(spark, sf_dir):
+    """T18 on every row as it is."""
+    return annotated(spark, sf_dir).select("doc_id", T.concat_key(["sentiment", "polarity"]).alias("key"))
+
+
 # ---------------------------------------------------------------- C1-C5, A9, A10
 _OCC_SQL = f"""{CLEAN_TOKENS_SQL},
 occ AS (SELECT doc_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM docs),

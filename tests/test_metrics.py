@@ -120,3 +120,13 @@ def test_cross_entropy_of_a_zero_probability(spark):
     df = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 0.0])], "label int, probability array<double>")
     want = (-math.log(0.5) - math.log(PROBABILITY_FLOOR)) / 2
     assert abs(cross_entropy(df).first()[0] - want) < 1e-9
+
+
+def test_cross_entropy_of_every_row_as_it_is(spark, tmp_path):
+    from tessera.plans import eval_queries as Q
+    rows = [(i, [float(2 * (j == i % 2)) for j in range(64)], i % 2) for i in range(14)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = [math.exp(2) / (math.exp(2) + 9), 1 / (math.exp(2) + 9)]
+    want = -0.9 * math.log(p[0]) - 0.01 * (math.log(p[0]) + 9 * math.log(p[1]))
+    assert math.isclose(Q.cross_entropy_original(spark, str(tmp_path)).first()[0], want, abs_tol=1e-5)
+    assert Q.cross_entropy(spark, str(tmp_path)).first()[0] > 2 * want

@@ -86,3 +86,21 @@ def test_whitespace_is_pythons(spark):
     df = spark.createDataFrame([(text, "A", None), (None, None, 1)], "t string, s string, p int")
     rows = df.select(tokenize_whitespace("t").alias("w"), concat_key(["s", "p"]).alias("k")).collect()
     assert rows[0].w == text.split() and [r.k for r in rows] == ["A_nan", "nan_1"]
+
+
+def test_original_texts_are_read_beside_the_odd_ones(spark, tmp_path):
+    from tessera.plans import source_queries as S
+    from tessera.plans import text_queries as Q
+    docs = [(i, f"Real text number{i} here.", "en", "web", 20) for i in range(22)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    odd = {r.doc_id: r.clean_chars for r in Q.clean_text(spark, d).collect()}
+    assert sorted(i for i in odd if not odd[i]) == [4, 5, 15, 16]
+    assert len({r.clean_md5 for r in Q.clean_text_original(spark, d).collect()}) == 22
+    assert all(r.n_ws == 4 for r in Q.tokenizers_original(spark, d).collect())
+    steps = Q.cleaning_steps_original(spark, d).collect()
+    assert len(steps) == 22 and len({r.lower_md5 for r in steps}) == 22
+    assert {r.key for r in Q.concat_key_original(spark, d).collect()} == {"en_0", "en_1"}
+    import hashlib
+    csv = {r.doc_id: r.text_md5 for r in S.read_corpus_csv_original(spark, d).collect()}
+    assert csv == {i: hashlib.md5(t.encode()).hexdigest() for i, t, *_ in docs}
