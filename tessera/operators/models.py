@@ -119,8 +119,9 @@ def train_forest(df, features="features", label="label", n_trees=100, seed=42):
 
 
 # M5
-def train_boosted(df, features="features", label="label", weight=None, seed=42, max_iter=20, max_depth=3):
-    """Boosted trees: one-vs-rest gradient-boosted trees (MLlib GBT is binary)."""
+def train_boosted(df, features="features", label="label", weight=None, seed=42, max_iter=100, max_depth=6):
+    """Boosted trees: one-vs-rest gradient-boosted trees (MLlib GBT is binary), with the rounds and
+    depth that XGBClassifier has by default."""
     gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed)
     ovr = OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=4)
     if weight:
@@ -306,18 +307,22 @@ def cross_val_score(df: DataFrame, fit_fn, fold_col="fold", label="label", id_co
 
 # M15
 def compare_estimators(train: DataFrame, test: DataFrame, estimators: dict, label="label", id_col="vec_id") -> DataFrame:
-    """(model, split, accuracy, macro_f1, kappa) for each named fit function."""
-    from tessera.operators.metrics import accuracy, cohen_kappa, per_class_scores
-    rows = None
+    """(model, split, accuracy, macro_precision, macro_recall, macro_f1, kappa, macro_auc) for each
+    named fit function. A fit function returns a model, or a function from a part to its predictions
+    where the model is a join. The AUC is null where there are no probabilities."""
+    from tessera.operators.metrics import accuracy, cohen_kappa, per_class_scores, roc_auc
+    rows = []
     for name, fit_fn in estimators.items():
         m = fit_fn(train)
         for split, part in (("train", train), ("test", test)):
-            p = predict(m, part, keep=(id_col, label))
+            p = materialize(m(part) if callable(m) else predict(m, part, keep=(id_col, label)))
             acc = accuracy(p).first()[0]
-            f1 = per_class_scores(p).agg(F.avg("f1")).first()[0]
+            macro = per_class_scores(p).agg(F.avg("precision"), F.avg("recall"), F.avg("f1")).first()
             kappa = cohen_kappa(p).first()[0]
-            rows = (rows or []) + [(name, split, float(acc), float(f1), float(kappa))]
-    return train.sparkSession.createDataFrame(rows, "model string, split string, accuracy double, macro_f1 double, kappa double")
+            auc = float(roc_auc(p).where("class = -1").first()["auc"]) if "probability" in p.columns else None
+            rows.append((name, split, float(acc), *map(float, macro), float(kappa), auc))
+    return train.sparkSession.createDataFrame(rows, "model string, split string, accuracy double, macro_precision double, macro_recall double, "
+                                                    "macro_f1 double, kappa double, macro_auc double")
 
 
 # M16

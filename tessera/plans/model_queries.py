@@ -12,6 +12,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tessera.operators import knn as KN
 from tessera.operators import models as MD
 from tessera.operators import split as X
 from tessera.operators.indexing import materialize
@@ -104,7 +105,7 @@ def train_forest(spark, sf_dir):
 
 @query("train_boosted", sql=_FIT_SQL)
 def train_boosted(spark, sf_dir):
-    """M5: class-weighted one-vs-rest gradient-boosted trees."""
+    """M5: class-weighted one-vs-rest gradient-boosted trees, 100 rounds at depth 6."""
     tr, te = _train_test(spark, sf_dir, weighted=True)
     return _fit_checked(MD.train_boosted(tr, weight="weight", seed=SEED), tr, te)
 
@@ -183,6 +184,7 @@ def _params(grid: dict) -> str:
 
 _GRID = {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
 _RANDOM_GRID = {"regParam": [0.001, 0.01, 0.1], "maxIter": [5, 10, 20]}
+_LONG_GRID = _RANDOM_GRID | {"maxIter": [20, 50, 100]}
 
 
 def _grid_sql(grid: dict, n_iter: int | None = None) -> str:
@@ -209,17 +211,28 @@ def grid_search(spark, sf_dir):
     return _search_rows(spark, cv)
 
 
-@query("random_search", sql=_grid_sql(_RANDOM_GRID, 4))
-def random_search(spark, sf_dir):
-    """Seeded random subset (4 of 9) of a one-vs-rest linear-SVM grid over all classes, 5-fold CV."""
+def _random_search(spark, sf_dir, grid):
     tr, _ = _train_test(spark, sf_dir)
     tr = X.stratified_kfold(tr, "label", 5, SEED, "vec_id")
     svc = LinearSVC(maxIter=50)
-    cv = MD.search(tr, OneVsRest(classifier=svc, parallelism=4), {getattr(svc, k): v for k, v in _RANDOM_GRID.items()}, fold_col="fold",
+    cv = MD.search(tr, OneVsRest(classifier=svc, parallelism=4), {getattr(svc, k): v for k, v in grid.items()}, fold_col="fold",
                    n_iter=4, seed=SEED)
     return _search_rows(spark, cv)
 
 
+@query("random_search", sql=_grid_sql(_RANDOM_GRID, 4))
+def random_search(spark, sf_dir):
+    """Seeded random subset (4 of 9) of a one-vs-rest linear-SVM grid over all classes, 5-fold CV.
+    Few iterations; ``random_search_long`` has the whole range."""
+    return _random_search(spark, sf_dir, _RANDOM_GRID)
+
+
+@query("random_search_long", sql=_grid_sql(_LONG_GRID, 4))
+def random_search_long(spark, sf_dir):
+    """The same search with 20, 50 or 100 iterations a fit."""
+    return _random_search(spark, sf_dir, _LONG_GRID)
+
+
 @query("cross_val_score", sql="SELECT CAST(range AS INTEGER) AS fold, TRUE AS proper_score FROM range(5)")
 def cross_val_score(spark, sf_dir):
     """Macro-F1 of a logistic regression on each of 5 stratified folds."""
@@ -229,18 +242,46 @@ def cross_val_score(spark, sf_dir):
     return scores.select(F.col("fold").cast("int").alias("fold"), F.col("macro_f1").between(1e-9, 1.0).alias("proper_score"))
 
 
+_ESTIMATORS = {
+    "logreg": lambda d: MD.train_logreg(d, max_iter=50),
+    "tree": lambda d: MD.train_tree(d, max_depth=5),
+    "forest": lambda d: MD.train_forest(d),
+    "naive_bayes": lambda d: MD.train_gaussian_nb(d)}
+
+
+def _fit_knn(tr):
+    return lambda part: KN.knn_predict(tr, part, "vec_id", "embedding", "label", 5)
+
+
+def _fit_rbf_svm(tr):
+    def features(d):
+        return MD.rff_features(d.drop("features"), "embedding", 64, 256, gamma=0.5, seed=SEED)
+    model = MD.train_rff_svm(features(tr))
+    return lambda part: MD.predict(model, features(part))
+
+
+def _proper_scores(out):
+    shares = [F.col(c).between(1e-9, 1.0) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")]
+    proper = F.col("kappa").between(-1.0, 1.0) & F.coalesce(F.col("macro_auc").between(0.0, 1.0), F.lit(True))
+    for share in shares:
+        proper = proper & share
+    return out.select("model", "split", proper.alias("proper_scores"))
+
+
 @query("compare_estimators", sql="""SELECT model, split, TRUE AS proper_scores
 FROM (VALUES ('logreg'), ('tree'), ('forest'), ('naive_bayes')) AS m(model), (VALUES ('train'), ('test')) AS s(split)""")
 def compare_estimators(spark, sf_dir):
-    """Train / test accuracy, macro-F1 and kappa of several estimators."""
+    """Train / test accuracy, macro precision, recall, F1 and AUC, and kappa of several estimators."""
     tr, te = _train_test(spark, sf_dir)
-    out = MD.compare_estimators(tr, te, {
-        "logreg": lambda d: MD.train_logreg(d, max_iter=50),
-        "tree": lambda d: MD.train_tree(d, max_depth=5),
-        "forest": lambda d: MD.train_forest(d),
-        "naive_bayes": lambda d: MD.train_gaussian_nb(d)})
-    proper = F.col("accuracy").between(1e-9, 1.0) & F.col("macro_f1").between(1e-9, 1.0) & F.col("kappa").between(-1.0, 1.0)
-    return out.select("model", "split", proper.alias("proper_scores"))
+    return _proper_scores(MD.compare_estimators(tr, te, _ESTIMATORS))
+
+
+@query("compare_all_estimators", sql="""SELECT model, split, TRUE AS proper_scores
+FROM (VALUES ('logreg'), ('tree'), ('forest'), ('naive_bayes'), ('knn'), ('svm')) AS m(model), (VALUES ('train'), ('test')) AS s(split)""")
+def compare_all_estimators(spark, sf_dir):
+    """M15 with all six estimators of the reference; the RBF SVM is ``train_rff_svm`` (M8)."""
+    tr, te = _train_test(spark, sf_dir)
+    return _proper_scores(MD.compare_estimators(tr, te, _ESTIMATORS | {"knn": _fit_knn, "svm": _fit_rbf_svm}))
 
 
 @query("score_texts", sql="SELECT doc_id, TRUE AS known_class, TRUE AS proper_probability FROM documents")

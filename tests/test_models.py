@@ -71,3 +71,25 @@ def test_glove_gives_every_word_a_vector_over_all_passes(spark, monkeypatch):
     assert got == {"once": 100, "twice": 100, "many": 100}
     assert {r.word: r.dim for r in Q.train_glove_like(spark, "").collect()} == {"many": 300}
     assert [(k["size"], k["window"], k["min_count"], k["epochs"]) for k in seen] == [(100, 5, 1, 15), (300, 5, 3, 15)]
+
+
+def test_boosted_has_the_reference_rounds_and_depth(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(MD.OneVsRest, "fit", lambda self, df: seen.append((self.getClassifier().getMaxIter(), self.getClassifier().getMaxDepth())))
+    MD.train_boosted(None)
+    assert seen == [(100, 6)]
+
+
+def test_long_search_and_all_estimators(spark, monkeypatch):
+    from tessera.plans import model_queries as Q
+    assert Q._LONG_GRID["maxIter"] == [20, 50, 100]
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, i % 3, [float(x) for x in rng.normal(size=64) + 2.5 * (i % 3)]) for i in range(90)],
+                               "vec_id long, label int, embedding array<double>")
+    df = MD.with_features(df, "embedding")
+    kinds = {"logreg": Q._ESTIMATORS["logreg"], "knn": Q._fit_knn, "svm": Q._fit_rbf_svm}
+    got = {(r.model, r.split): r for r in MD.compare_estimators(df.where("vec_id < 60"), df.where("vec_id >= 60"), kinds).collect()}
+    assert set(got) == {(m, s) for m in kinds for s in ("train", "test")}
+    best = got["logreg", "test"]
+    assert best.accuracy == best.macro_precision == best.macro_recall == best.macro_f1 == best.kappa == best.macro_auc == 1.0
+    assert got["knn", "test"].macro_recall == 1.0 and got["knn", "test"].macro_auc is None
