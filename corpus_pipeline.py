@@ -2,12 +2,12 @@
 
 Each stage works on all that its predecessor kept; every stage's output is written as Parquet
 and read again as the next one's input. All stages but the last return the columns of
-``documents`` (and any extra ones) unchanged but for ``text`` where a stage rewrites it.
+``documents`` (and any extra ones) unchanged but for ``text`` and ``n_chars`` where a stage rewrites the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.common import materialize, table
 from tessera.llm.decontaminate import drop_contaminated
@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts becomes pseudonyms; ``n_chars`` follows the text."""
-    return pseudonymised(docs).select(docs.columns)
+    return pseudonymised(docs).withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

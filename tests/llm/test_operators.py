@@ -242,6 +242,18 @@ def test_pii_long_phone_drops_groups():
         assert pii_feistel.pseudonymise(kept, KEY)[0] == kept
 
 
+def test_pipeline_pii_counts_the_new_characters(spark):
+    from corpus_pipeline import pii
+    src = [f"Host 1.2.3.{i} is up, नमस्ते" for i in range(8)] + ["no data", "", None]
+    df = frame(spark, list(enumerate(src)))
+    df = df.withColumn("n_chars", __import__("pyspark").sql.functions.length("text").cast("long"))
+    got = pii(spark, df, "")
+    assert got.columns == df.columns and got.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    rows = got.collect()
+    assert [r.n_chars for r in rows] == [None if r.text is None else len(r.text) for r in rows]
+    assert any(r.n_chars != len(t) for r, t in zip(rows, src) if t)
+
+
 def test_pii_table(spark, odd):
     df = frame(spark, [(d, t if t is None else t + " a.b7@x.org") for d, t in odd]).withColumn("pii", __import__("pyspark").sql.functions.lit(1))
     got = pii_feistel.pseudonymised(df, KEY)
