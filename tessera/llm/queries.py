@@ -13,9 +13,12 @@ from tessera.llm.packing import pack
 from tessera.llm.pii_feistel import pseudonymised
 from tessera.llm.quality_rules import quality_report
 from tessera.llm.rlz_dedup import substring_dedup
+from tessera.llm.sharding import shard_documents
 from tessera.llm.simhash import simhash_groups
+from tessera.llm.spelling import spelling_groups
 from tessera.llm.url_lm import filter_urls
 from tessera.llm.warc_zstd import read_archives, write_archives
+from tessera.llm.whitening import whiten
 
 
 def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +73,19 @@ def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_quality_rules, op3_rlz_dedup, op4_pii_feistel, op5_warc_zstd, op6_spaced_seeds, op7_simhash, op8_url_lm, op9_stupid_backoff, op10_bfd_packing)}
+def op11_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under a uniform shuffle with equal counts."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least two occurrences with the frequent word it is a variant of."""
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every embedding."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_quality_rules, op3_rlz_dedup, op4_pii_feistel, op5_warc_zstd, op6_spaced_seeds, op7_simhash, op8_url_lm, op9_stupid_backoff, op10_bfd_packing, op11_hypergeometric_shards, op12_spelling_variants, op13_feast_whitening)}
