@@ -1,4 +1,4 @@
-"""Over- and under-sampling built on the exact k-NN join.
+"""Over- and under-sampling built on the k-NN join (X5-X9): exact, or approximate with ``mode="lsh"``.
 
 Synthetic rows are made the SMOTE way, x + u * (neighbour - x) with a same-class
 neighbour, but the choices are hashes of (seed, class, synthetic index) instead of a
@@ -23,10 +23,10 @@ def _syn_key(label: str):
 
 
 def _generate(df: DataFrame, quotas: DataFrame, label: str, id_col: str, vec: str, k: int, seed: int,
-              per_row: bool) -> DataFrame:
+              per_row: bool, mode: str = "exact") -> DataFrame:
     """Synthetic rows. ``quotas``: (label, need) per class when not per_row, else
     (id, n_new) per parent row. Returns (label, syn_index, source_id, nn_id, vec)."""
-    nn = knn_join(df, df, k, id_col, id_col, vec, vec, exclude_self=True, same=label, seed=seed)
+    nn = knn_join(df, df, k, id_col, id_col, vec, vec, exclude_self=True, same=label, seed=seed, mode=mode)
     k_eff = nn.groupBy(id_col).agg(F.max("nn_rank").alias("k_eff"))  # < k when the class is small
     base = dense_index(df.select(id_col, label).withColumn("_key", portable_random_key(id_col, seed)),
                        ["_key", id_col], "_r", group_cols=[label]).drop("_key")
@@ -66,7 +66,7 @@ def _with_synthetic(df, syn, label, id_col, vec):
 
 # X7
 def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42,
-          strategy: str = "auto") -> DataFrame:
+          strategy: str = "auto", mode: str = "exact") -> DataFrame:
     """Synthesise rows of every class below the largest one ("auto") or of the smallest
     class only ("minority") up to the largest class size. Returns the original rows plus
     synthetic ones (id null, ``source_id`` = parent)."""
@@ -76,13 +76,13 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
     if strategy == "minority":
         need = need.where(F.col("n_c") == F.lit(n_min))
     need = need.where(F.col("need") > 0).select(label, "need")
-    syn = _generate(df, need, label, id_col, vec, k, seed, per_row=False)
+    syn = _generate(df, need, label, id_col, vec, k, seed, per_row=False, mode=mode)
     return _with_synthetic(df, syn, label, id_col, vec)
 
 
 # X8
 def adasyn(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42,
-           strategy: str = "minority") -> DataFrame:
+           strategy: str = "minority", mode: str = "exact") -> DataFrame:
     """ADASYN: per minority row, quota proportional to the share of other-class rows among
     its k nearest neighbours (all classes), normalised within the class, times the class
     deficit, rounded half-to-even; generation as in SMOTE."""
@@ -93,20 +93,20 @@ def adasyn(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: i
         targets = targets.where(F.col("n_c") == F.lit(n_min))
     targets = targets.where(F.col("G") > 0).select(label, "G")
     minority = df.join(F.broadcast(targets.select(label)), label, "left_semi")  # k-row class table
-    nn = knn_join(minority, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed)
+    nn = knn_join(minority, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed, mode=mode)
     lab = df.select(F.col(id_col).alias("nn_id"), F.col(label).alias("_nl"))
     ratio = (nn.join(lab, "nn_id").join(minority.select(id_col, label), id_col)
                .groupBy(id_col, label).agg((F.count_if(F.col("_nl") != F.col(label)) / F.lit(float(k))).alias("r")))
     ratio = ratio.join(ratio.groupBy(label).agg(F.sum("r").alias("_rs")), label).join(F.broadcast(targets), label)
     quotas = ratio.select(id_col, F.when(F.col("_rs") > 0, F.rint(F.col("r") / F.col("_rs") * F.col("G")))
                           .otherwise(F.lit(0.0)).cast("int").alias("n_new"))
-    syn = _generate(minority, quotas, label, id_col, vec, k, seed, per_row=True)
+    syn = _generate(minority, quotas, label, id_col, vec, k, seed, per_row=True, mode=mode)
     return _with_synthetic(df, syn, label, id_col, vec)
 
 
 # X5
 def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k: int = 3, seed: int = 42,
-                           threshold_cleaning: float = 0.5) -> DataFrame:
+                           threshold_cleaning: float = 0.5, mode: str = "exact") -> DataFrame:
     """Neighbourhood cleaning rule: remove (a) non-minority rows whose k-NN majority label
     differs from their own (edited nearest neighbours) and (b) the neighbours of minority
     rows that their k-NN vote misclassifies, when those neighbours belong to a class larger
@@ -115,7 +115,7 @@ def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k:
     small = counts.orderBy("n_c", label).first()  # the smallest class: one row
     minority = small[label]
     cleanable = [r[label] for r in counts.where(F.col("n_c") > threshold_cleaning * small["n_c"]).collect()]  # <= k
-    nn = knn_join(df, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed)
+    nn = knn_join(df, df, k, id_col, id_col, vec, vec, exclude_self=True, seed=seed, mode=mode)
     v = materialize(vote(nn, df, id_col, label).join(df.select(id_col, label), id_col)).withColumn("_min", F.lit(minority))
     edited = v.where((F.col(label) != F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
     bad_min = v.where((F.col(label) == F.col("_min")) & (F.col("prediction") != F.col(label))).select(id_col)
@@ -127,7 +127,7 @@ def neighbourhood_cleaning(df: DataFrame, label: str, id_col: str, vec: str, k:
 
 
 # X6
-def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 42) -> DataFrame:
+def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 42, mode: str = "exact") -> DataFrame:
     """Condensed nearest neighbour, in rounds: the store starts with every minority row
     and one hashed row of each other class; each round 1-NN-classifies the remaining rows
     against the store and adds all misclassified ones, until a round adds none (the store
@@ -142,7 +142,7 @@ def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 4
     store = materialize(df.join(seed_ids, id_col, "left_semi"))
     while True:
         rest = df.join(store.select(id_col), id_col, "left_anti")
-        nn = knn_join(rest, store, 1, id_col, id_col, vec, vec, seed=seed)
+        nn = knn_join(rest, store, 1, id_col, id_col, vec, vec, seed=seed, mode=mode)
         pred = nn.join(store.select(F.col(id_col).alias("nn_id"), F.col(label).alias("_p")), "nn_id")
         wrong = pred.join(rest.select(id_col, label), id_col).where(F.col("_p") != F.col(label)).select(id_col)
         if wrong.limit(1).count() == 0:
@@ -152,15 +152,15 @@ def condensed_nn(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 4
 
 # X9
 def balance_classes(df: DataFrame, label: str, id_col: str, vec: str, under_classes, targets: dict,
-                     over: str = "smote", seed: int = 42, k: int = 5) -> DataFrame:
+                     over: str = "smote", seed: int = 42, k: int = 5, mode: str = "exact") -> DataFrame:
     """Under-sample a subset of classes (cleaning rule, then random under-sampling to
     ``targets``), keep the other classes untouched, then over-sample the union."""
     from tessera.operators.split import random_undersample
     sub = df.where(F.col(label).isin(list(under_classes)))
     keep = df.where(~F.col(label).isin(list(under_classes)))
-    cleaned = neighbourhood_cleaning(sub, label, id_col, vec, seed=seed)
+    cleaned = neighbourhood_cleaning(sub, label, id_col, vec, seed=seed, mode=mode)
     reduced = random_undersample(cleaned, label, targets, seed, id_col)
     merged = reduced.unionByName(keep.select(*reduced.columns))
     if over == "adasyn":
-        return adasyn(merged, label, id_col, vec, k, seed)
-    return smote(merged, label, id_col, vec, k, seed)
+        return adasyn(merged, label, id_col, vec, k, seed, mode=mode)
+    return smote(merged, label, id_col, vec, k, seed, mode=mode)

@@ -110,6 +110,15 @@ def knn_join(spark, sf_dir):
     return nn.select("vec_id", "nn_id", F.round("dist", DIGITS).alias("dist"), "nn_rank")
 
 
+@query("knn_join_lsh")
+def knn_join_lsh(spark, sf_dir):
+    """J8, approximate: the 5 nearest of every vector through the multi-probe random-projection
+    index. Distances are exact; at least 0.9 of the neighbours are those of ``knn_join``."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = K.knn_join(e, e, 5, "vec_id", "vec_id", "embedding", "embedding", exclude_self=True, seed=SEED, mode="lsh")
+    return out.select("vec_id", "nn_id", F.round("dist", DIGITS).alias("dist"), "nn_rank")
+
+
 @query("knn_predict", sql=f"""WITH {_SPLIT_SQL},
 tr AS (SELECT s.vec_id, s.label, {_EMB_D} AS v FROM sp s JOIN embeddings e USING (vec_id) WHERE split = 'train'),
 te AS (SELECT s.vec_id, s.label, {_EMB_D} AS v FROM sp s JOIN embeddings e USING (vec_id) WHERE split = 'test'),
