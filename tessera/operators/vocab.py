@@ -100,3 +100,19 @@ def sequence_length_stats(df: DataFrame, length_col: str = "length", max_len: in
     for p in percentiles:
         aggs.append(F.percentile(F.col(length_col), p).alias(f"p{int(round(p * 100))}"))
     return df.agg(*aggs)
+
+
+def length_sketches(df: DataFrame, by, length_col: str = "length", k: int = 200) -> DataFrame:
+    """A10 in parts: one mergeable KLL sketch of the lengths per group of ``by`` (a split, a day):
+    (by..., sketch). It keeps about 3k values whatever the group's size; up to k values it is exact,
+    beyond that ranks are off by about 2.3 / k**0.9 of the rows (99 % confidence). Nulls take no part."""
+    return df.groupBy(*by).agg(F.kll_sketch_agg_bigint(F.col(length_col).cast("long"), F.lit(k)).alias("sketch"))
+
+
+def merged_length_stats(sketches: DataFrame, by=(), percentiles=(0.5, 0.9, 0.95, 0.99), sketch: str = "sketch", k: int = 200) -> DataFrame:
+    """Sketches of several parts merged, e.g. stored by earlier runs: (by..., n_rows, p50, ...).
+    A percentile is the smallest length whose rank reaches it; null without rows."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_bigint(sketch, F.lit(k)).alias("_s"))
+    n = F.kll_sketch_get_n_bigint("_s")
+    at = [F.when(n > 0, F.kll_sketch_get_quantile_bigint("_s", F.lit(float(p)))).alias(f"p{int(round(p * 100))}") for p in percentiles]
+    return merged.select(*by, n.alias("n_rows"), *at)

@@ -2,7 +2,7 @@
 
 from tessera.plans import registry
 from tessera.plans import (corpus_queries, embed_queries, eval_queries, model_queries,  # noqa: F401
-                           resample_queries, sample_queries, source_queries, text_queries,
+                           resample_queries, sample_queries, search_queries, source_queries, text_queries,
                            tfidf_queries, word_vector_queries)
 
 QUERIES = registry.QUERIES

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators.metrics import per_class_scores
 from tessera.plans.params import DIGITS
 from tessera.plans.registry import query
 from tessera.session import scratch_path
 from tessera.sources import files
-from tessera.sources.tables import ODD_DOCUMENTS_SQL, TRIAL_LOG_SQL, RUN_LOG_SQL, odd_documents, run_log, table, trial_log_raw
+from tessera.sources.tables import ODD_DOCUMENTS_SQL, PREDICTIONS_SQL, TRIAL_LOG_SQL, odd_documents, predictions, table, trial_log_raw
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -80,16 +81,26 @@ def read_trial_log(spark, sf_dir):
                     "config_optimizer", "config_batch_size", "config_epochs", "config_activation")
 
 
-@query("append_run_metrics", sql=f"""WITH {RUN_LOG_SQL},
-m AS (SELECT run, 'mean' AS level, round(avg(metric), {DIGITS}) AS value FROM run_log GROUP BY run
-      UNION ALL SELECT run, 'best' AS level, round(max(metric), {DIGITS}) AS value FROM run_log GROUP BY run)
-SELECT run, level, value FROM m""")
+@query("append_run_metrics", sql=f"""WITH {PREDICTIONS_SQL},
+p AS (SELECT id % 5 AS fold, label, prediction FROM predictions),
+cl AS (SELECT fold, label AS class FROM p UNION SELECT fold, prediction FROM p),
+s AS (SELECT cl.fold, cl.class, count_if(p.label = cl.class AND p.prediction = cl.class) AS tp, count_if(p.label = cl.class) AS sup, count_if(p.prediction = cl.class) AS npred
+      FROM cl JOIN p USING (fold) GROUP BY cl.fold, cl.class),
+m AS (SELECT fold, class, unnest(['precision', 'recall']) AS metric, unnest([CASE WHEN npred = 0 THEN 0.0 ELSE tp / npred END, CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END]) AS value FROM s),
+f AS (SELECT fold, metric || '_' || class AS metric, value FROM m)
+SELECT 'run' AS run, 'fold' AS level, CAST(fold AS INTEGER) AS fold, metric, round(value, {DIGITS}) AS value, CAST(NULL AS INTEGER) AS folds FROM f
+UNION ALL SELECT 'run', 'parent', NULL, metric, round(avg(value), {DIGITS}), CAST(count(DISTINCT fold) AS INTEGER) FROM f GROUP BY metric""")
 def append_run_metrics(spark, sf_dir):
-    """Two appends (mean level, then best level) to one run-partitioned table."""
-    log = run_log(spark, sf_dir)
+    """The per-class scores of five folds appended one by one (the third twice), then the run's
+    parent level (means over the folds), read back as one log."""
+    p = predictions(spark, sf_dir).withColumn("fold", (F.col("id") % 5).cast("int"))
     path = scratch_path(spark, "run_metrics")
-    files.append_run_metrics(log.groupBy("run").agg(F.lit("mean").alias("level"),
-                                                     F.round(F.avg("metric"), DIGITS).alias("value")), path)
-    files.append_run_metrics(log.groupBy("run").agg(F.lit("best").alias("level"),
-                                                     F.round(F.max("metric"), DIGITS).alias("value")), path)
-    return spark.read.parquet(path).select("run", "level", "value")
+    for fold in [0, 1, 2, 2, 3, 4]:
+        scores = per_class_scores(p.where(F.col("fold") == fold), by=["fold"])
+        long = scores.select(F.lit("run").alias("run"), F.lit("fold").alias("level"), "fold", F.explode(F.create_map(
+            F.concat(F.lit("precision_"), F.col("class").cast("string")), F.col("precision"),
+            F.concat(F.lit("recall_"), F.col("class").cast("string")), F.col("recall"))).alias("metric", "value"))
+        files.append_run_metrics(long, path)
+    files.append_run_metrics(files.parent_metrics(files.read_run_metrics(spark, path)), path, "parent")
+    out = files.read_run_metrics(spark, path)
+    return out.select("run", "level", "fold", "metric", F.round("value", DIGITS).alias("value"), "folds")

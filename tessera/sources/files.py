@@ -8,6 +8,7 @@ one task or the driver.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,10 +145,54 @@ def read_trial_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S10
-def append_run_metrics(df: DataFrame, path: str, keys=("run", "level")) -> str:
-    """Add long-form metrics (run, level, fold, metric, value, ...) partitioned by those ``keys``
-    that ``df`` has. Partitions that ``df`` touches are replaced, so a repeated append leaves no
-    rows twice."""
-    keys = [k for k in keys if k in df.columns]
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+def append_run_metrics(df: DataFrame, path: str, append_id: str | None = None) -> str:
+    """Add long-form metrics (run, level, fold, metric, value, ...) to the log at ``path``.
+
+    Every append is a folder of its own that nothing overwrites; it counts from its commit marker
+    (``_SUCCESS``) on, so a job that died half way leaves nothing to be read. Names rise, and
+    ``read_run_metrics`` takes each (run, level, fold) from the last append that holds it: a
+    repeated append counts once, and appending fold 2 leaves fold 1 alone. ``append_id`` names an
+    append, so that a driver that repeats it after losing the answer adds none (it is skipped).
+    """
+    spark = df.sparkSession
+    done = _appends(spark, path)
+    if append_id is not None and any(name.endswith(f"-{append_id}") for name in done):
+        return path
+    number = max((int(name.split("=")[1].split("-")[0]) for name in done), default=-1) + 1
+    df.write.mode("error").parquet(f"{path.rstrip('/')}/append={number:09d}-{append_id or uuid.uuid4().hex[:12]}")
     return path
+
+
+def _appends(spark: SparkSession, path: str) -> list[str]:
+    """Names of the committed appends, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+    return sorted(n for n in names if n.startswith("append=") and fs.exists(hadoop(f"{path.rstrip('/')}/{n}/_SUCCESS")))
+
+
+def read_run_metrics(spark: SparkSession, path: str, keys=("run", "level", "fold")) -> DataFrame:
+    """The log's rows: of each (run, level, fold) those of the last append that holds it. Columns that
+    some appends lack are null there. Fails on a log without a committed append."""
+    names = _appends(spark, path)
+    if not names:
+        raise FileNotFoundError(f"no committed append below {path}")
+    rows = None
+    for n in names:  # one plan; appends may differ in their columns
+        part = spark.read.parquet(f"{path.rstrip('/')}/{n}").withColumn("_append", F.lit(n))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    held = [k for k in keys if k in rows.columns]
+    last = rows.groupBy(*held).agg(F.max("_append").alias("_last"))
+    same = F.col("r._append") == F.col("l._last")
+    for k in held:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}"))
+    return rows.alias("r").join(last.alias("l"), same).select("r.*").drop("_append")
+
+
+def parent_metrics(folds: DataFrame, by=("run", "metric")) -> DataFrame:
+    """Parent level of fold-level metrics: the mean over a run's folds, and how many there were."""
+    return folds.groupBy(*by).agg(F.avg("value").alias("value"), F.countDistinct("fold").cast("int").alias("folds")) \
+        .withColumn("level", F.lit("parent"))

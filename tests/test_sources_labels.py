@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import dedup as D
@@ -113,4 +114,33 @@ def test_appending_a_run_twice_keeps_one(spark):
     a = spark.createDataFrame([("r1", "f1", 0.5), ("r2", "f1", 0.6)], "run string, metric string, value double")
     files.append_run_metrics(a, path)
     files.append_run_metrics(a.where("run = 'r1'"), path)
-    assert spark.read.parquet(path).count() == 2
+    assert sorted(tuple(r) for r in files.read_run_metrics(spark, path).collect()) == [("r1", "f1", 0.5), ("r2", "f1", 0.6)]
+
+
+def test_folds_appended_one_by_one_all_stay(spark):
+    path = _tmp("fold-metrics")
+    made = [[("r1", "fold", k, m, k + v) for m, v in (("f1", 0.5), ("recall", 0.25))] for k in range(1, 6)]
+    for rows in made:
+        files.append_run_metrics(spark.createDataFrame(rows, "run string, level string, fold int, metric string, value double"), path)
+    files.append_run_metrics(spark.createDataFrame([("r1", "fold", 3, "f1", 9.0)], "run string, level string, fold int, metric string, value double"), path)
+    folds = files.read_run_metrics(spark, path)
+    parent = files.parent_metrics(folds)
+    files.append_run_metrics(parent, path, "parent")
+    files.append_run_metrics(parent, path, "parent")  # repeated after a lost answer
+    got = sorted(((r.level, r.fold, r.metric, r.value, r.folds) for r in files.read_run_metrics(spark, path).collect()), key=str)
+    want = [("fold", k, m, v, None) for k in (1, 2, 4, 5) for m, v in (("f1", k + 0.5), ("recall", k + 0.25))] + [("fold", 3, "f1", 9.0, None)]
+    want += [("parent", None, "f1", (1.5 + 2.5 + 9 + 4.5 + 5.5) / 5, 5), ("parent", None, "recall", (1 + 2 + 4 + 5) / 4 + 0.25, 4)]
+    assert got == sorted(want, key=str)
+
+
+def test_an_append_without_its_marker_does_not_count(spark):
+    import os
+    path = _tmp("half-metrics")
+    a = spark.createDataFrame([("r1", "f1", 0.5)], "run string, metric string, value double")
+    files.append_run_metrics(a, path)
+    half = f"{path}/append=000000001-dead"
+    a.selectExpr("run", "metric", "9.0 AS value").write.parquet(half)
+    os.remove(f"{half}/_SUCCESS")
+    assert [r.value for r in files.read_run_metrics(spark, path).collect()] == [0.5]
+    with pytest.raises(FileNotFoundError):
+        files.read_run_metrics(spark, path + "/nothing")
