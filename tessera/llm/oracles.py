@@ -92,3 +92,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0), 3) AS score, C
 """
 
 ORACLES = {"op2_quality_rules": OP2.strip(), "op3_rlz_dedup": OP3.strip(), "op5_warc_zstd": OP5.strip(), "op6_spaced_seeds": OP6.strip(), "op9_stupid_backoff": OP9.strip()}
+
+
+#: CRC-32 of a string column, bit by bit (reflected polynomial 0xEDB88320).
+def _crc32(text: str) -> str:
+    byte = f"list_transform(range(1, strlen({text}) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: {step}), 4294967295)"
+
+
+#: Two words of one length are near if the same letter taken out leaves the same rest; two of
+#: lengths one apart if taking a letter out of the longer leaves the shorter.
+ORACLES["op12_spelling_variants"] = f"""WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+low AS (SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs WHERE length(run) >= 7),
+per AS (SELECT d, run, d || ':' || run AS k, count(*) AS c FROM low GROUP BY d, run),
+hashed AS (SELECT run, c, {_crc32('k')} AS h FROM per),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM words w JOIN cut c ON c.rest = w.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM words w JOIN cut c ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, min({{'m': -near_n, 'w': near}}) AS b FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * w.n THEN b.w END AS form, CASE WHEN -b.m >= 10 * w.n THEN -b.m END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms r ON r.word = c.root AND r.form IS NULL"""
