@@ -1,8 +1,7 @@
 """Differential evolution of class cost weights (M18): best/1/bin with dithered mutation.
 
-A generation is one Spark job: every trial vector is scored on all stored probabilities at once
-(``metrics.search_cost_weights``). The population (members x classes numbers) is a parameter table
-of bounded size; every generation is written as its own folder of ``path`` and counts once its
+A generation is one Spark job: every trial vector is scored on all stored probabilities at once.
+The population (members x classes numbers) is a parameter table of bounded size; every generation is written as its own folder of ``path`` and counts once its
 commit marker (``_SUCCESS``) is there. A search that was stopped goes on from the last one and ends
 as an unbroken search would: all draws depend on (seed, generation) only.
 
@@ -13,20 +12,48 @@ The written table has the columns of a trial log (``index``, ``f1``), so ``runs.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.metrics import cost_weight_candidates, search_cost_weights
+from tessera.operators.indexing import materialize
+from tessera.operators.metrics import cost_weight_candidates
 
 SCHEMA = "index long, member int, weights array<double>, f1 double, accepted boolean"
-DIGITS = 12  # scores are compared at so many digits, so summation order decides nothing
 
 
 def scores(preds: DataFrame, candidates: list[list[float]], label: str, prob: str) -> list[float]:
-    """Macro-F1 of every candidate, one job."""
-    rows = search_cost_weights(preds, candidates, len(candidates), label, prob).collect()  # one row per candidate
-    found = {r.candidate: round(r.macro_f1, DIGITS) for r in rows}
-    return [found.get(i, 0.0) for i in range(len(candidates))]
+    """Macro-F1 of every candidate's argmax(weight * probability), one job: tasks count (candidate,
+    label, prediction) with one matrix product per batch, and only those counts are shuffled."""
+    w = np.array(candidates, float)
+    m, k = w.shape
+
+    def count(batches):
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            y, p = pdf[label].to_numpy(), np.stack(pdf[prob]).astype(float) if len(pdf) else np.zeros((0, k))
+            for c in range(m):
+                won = np.argmax(p * w[c], axis=1)
+                for v in np.unique(y).tolist():
+                    cells = held.setdefault(v, np.zeros((m, k), np.int64))
+                    cells[c] += np.bincount(won[y == v], minlength=k)
+        for v, cells in held.items():
+            c, g = np.nonzero(cells)
+            yield pd.DataFrame({"candidate": c, "label": v, "prediction": g, "n": cells[c, g]})
+
+    rows = preds.where(F.col(label).isNotNull()).select(label, prob).mapInPandas(count, "candidate int, label int, prediction int, n long")
+    rows = rows.groupBy("candidate", "label", "prediction").agg(F.sum("n").alias("n")).collect()  # candidates * classes**2 at most
+    counts: dict[int, dict] = {c: {} for c in range(m)}
+    for r in rows:
+        counts[r.candidate][r.label, r.prediction] = r.n
+    return [macro_f1(counts[c]) for c in range(m)]
+
+
+def macro_f1(pairs: dict[tuple[int, int], int]) -> float:
+    """Mean F1 over the classes that occur as label or prediction, from pair counts."""
+    classes = sorted({c for pair in pairs for c in pair})
+    f1 = [2 * pairs.get((c, c), 0) / sum(n * ((a == c) + (b == c)) for (a, b), n in pairs.items()) for c in classes]
+    return sum(f1) / len(f1) if f1 else 0.0
 
 
 def trials(population: np.ndarray, f1: np.ndarray, seed: int, generation: int, mutation=(0.5, 1.0), crossover: float = 0.7) -> np.ndarray:
@@ -89,6 +116,7 @@ def evolve_cost_weights(preds: DataFrame, path: str, members: int = 12, most: in
         raise ValueError("differential evolution needs at least 3 members")
     spark = preds.sparkSession
     at = last_generation(spark, path)
+    preds = materialize(preds.select(label, prob))  # every generation reads it
     if at < 0:
         start = np.array(population or cost_weight_candidates(preds, members, seed, label), float)
         _write(spark, path, 0, start, scores(preds, start.tolist(), label, prob), [True] * len(start))

@@ -272,9 +272,9 @@ def poly_features(df: DataFrame, vec: str, dim_in: int, degree: int = 5, n_featu
         out, F.when(F.col("_ts").isNotNull(), array_to_vector("_ts"))).drop("_ts")
 
 
-def train_poly_svm(df, features="features", label="label", c=1.0, weight=None):
+def train_poly_svm(df, features="features", label="label", c=1.0, weight=None, max_iter=50):
     """Polynomial-kernel SVM: a linear one on ``poly_features``."""
-    return train_linear_svm(df, features, label, c, weight=weight)
+    return train_linear_svm(df, features, label, c, max_iter, weight)
 
 
 # M9

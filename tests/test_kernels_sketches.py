@@ -26,12 +26,12 @@ def test_poly_svm_learns_what_a_line_cannot_and_weights_count(spark):
     rng = np.random.default_rng(4)
     x = rng.uniform(-1, 1, (300, 2))
     y = ((x[:, 0] * x[:, 1] > 0.03) ^ (rng.random(300) < 0.1)).astype(int)  # quadrants, a tenth of the labels wrong
-    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist(), 20.0 if y[i] else 1.0) for i in range(300)], "vec_id long, label int, v array<double>, w double")
-    f = MD.poly_features(df, "v", 2, degree=2, n_features=64, gamma=1.0, coef0=1.0).cache()
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist(), 4.0 if y[i] else 1.0) for i in range(300)], "vec_id long, label int, v array<double>, w double")
+    f = MD.poly_features(df, "v", 2, degree=2, n_features=64, gamma=1.0, coef0=1.0).coalesce(1).cache()
 
     def predicted(d, **kw):
-        return [(r.label, r.prediction) for r in MD.predict(MD.train_poly_svm(d, **kw), d).collect()]
-    plain, line, heavy = predicted(f), predicted(MD.with_features(df, "v")), predicted(f, weight="w")
+        return [(r.label, r.prediction) for r in MD.predict(MD.train_poly_svm(d, max_iter=25, **kw), d).collect()]
+    plain, line, heavy = predicted(f), predicted(MD.with_features(df, "v").coalesce(1).cache()), predicted(f, weight="w")
     right = [np.mean([a == b for a, b in p]) for p in (plain, line)]
     assert right[0] > 0.85 and right[0] > right[1] + 0.1
     assert sum(p == (1, 0) for p in heavy) < sum(p == (1, 0) for p in plain)
