@@ -105,8 +105,9 @@ def blocks_of(page: str) -> list[Block]:
             break
         text(page[i:j])
         if page.startswith("<!--", j):
-            k = page.find("-->", j + 4)
-            i = n if k < 0 else k + 3
+            short = next((e for e in (">", "->") if page.startswith(e, j + 4)), None)  # closed as soon as it is opened
+            ends = [(k, k + len(e)) for e in ("-->", "--!>") if (k := page.find(e, j + 4)) >= 0]
+            i = j + 4 + len(short) if short else min(ends, default=(n, n))[1]
             continue
         nxt = page[j + 1:j + 2]
         if nxt in ("!", "?"):
