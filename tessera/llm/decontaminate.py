@@ -56,21 +56,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, su
 
     They overlap if at some alignment ``window`` tokens in a row of the item have at most
     ``substitutions`` that differ, tokens beyond the document's ends included; an item shorter
-    than ``window`` must occur whole. Tokens are runs of letters and digits in lower case.
-    Items shorter than the longest mask are too short to count and match nothing; null and empty texts have no tokens; a null doc_id or item_id is reported as
-    null; repeated rows give the row once. Extra columns are ignored.
+    than ``window`` must occur whole, however short (items that no mask fits into get a mask of
+    all their tokens). Tokens are runs of letters and digits in lower case. Null and empty texts
+    have no tokens and match nothing; a null doc_id or item_id is reported as null; repeated rows
+    give the row once. Extra columns are ignored, an empty table on either side gives no row.
+
+    Up to ``broadcast_rows`` seeds of the items are broadcast; beyond that seeds are joined by a
+    shuffle of (document, position, seed) alone, and the tokens of documents with a hit rejoin.
     """
     if not lossless(masks, window, substitutions):
         raise ValueError("these masks can miss an overlap")
     test = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes("text").alias("item")).distinct()
-    test = materialize(test.filter(F.size("item") >= max(max(m) for m in masks) + 1), "spaced-items")
+    test = materialize(test.filter(F.size("item") > 0), "spaced-items")
+    fits = min(max(m) for m in masks) + 1
+    lengths = [r.n for r in test.filter(F.size("item") < fits).select(F.size("item").alias("n")).distinct().collect()]  # fewer than a mask's span
+    masks = (*masks, *(tuple(range(n)) for n in sorted(lengths)))
     keys = materialize(seeds(test.withColumnRenamed("item", "h"), masks).select("seed", "item_id", F.col("at").alias("item_at"), F.xxhash64("h").alias("item_key")), "spaced-seeds")
     small = keys.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes("text").alias("h"))
     reach = F.col("at") - F.col("item_at")
-    hits = seeds(train, masks).join(hint(keys), "seed").select(
-        "doc_id", "item_id", "item_key", reach.alias("shift"), "h", F.xxhash64("h").alias("doc_key"))
+    train = train.withColumn("doc_key", F.xxhash64("h"))
+    if small:
+        hits = seeds(train, masks).join(hint(keys), "seed").select("doc_id", "item_id", "item_key", reach.alias("shift"), "h", "doc_key")
+    else:
+        found = seeds(train, masks).select("doc_id", "doc_key", "at", "seed").join(keys, "seed")
+        found = materialize(found.select("doc_id", "doc_key", "item_id", "item_key", reach.alias("shift")).distinct(), "spaced-hits").alias("f")
+        mine = (F.col("f.doc_key") == F.col("d.doc_key")) & F.col("f.doc_id").eqNullSafe(F.col("d.doc_id"))
+        hits = found.join(train.alias("d"), mine).select("f.doc_id", "item_id", "item_key", "shift", "h", "f.doc_key")
     # the document's tokens that face the item (items are short, so this is a short array)
     length = test.select(F.col("item_id").alias("id"), F.xxhash64("item").alias("item_key"), "item", F.size("item").alias("n"))
     hits = hits.join(hint(length), (F.col("item_id").eqNullSafe(F.col("id"))) & (hits["item_key"] == length["item_key"])).select(
@@ -89,6 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, su
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id overlaps no benchmark item; null ids stay."""
+    """The rows of ``docs`` whose doc_id overlaps no benchmark item; null ids stay. Other columns
+    pass through unread, whatever their names; an empty table stays empty."""
     bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(materialize(bad, "spaced-bad"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(materialize(bad, "spaced-bad"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

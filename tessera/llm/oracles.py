@@ -68,10 +68,11 @@ RUN_TOKENS = -(-(WINDOW - SUBSTITUTIONS) // (SUBSTITUTIONS + 1))
 OP6 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKENS}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKENS}') AS v FROM benchmark),
-b9 AS (SELECT * FROM b WHERE len(v) >= {max(max(m) for m in MASKS) + 1}),
-dr AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {RUN_TOKENS - 1}), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {RUN_TOKENS - 2})) AS i FROM d)),
-br AS (SELECT item_id, j, array_to_string(list_slice(v, j, j + {RUN_TOKENS - 1}), ' ') AS k FROM (SELECT item_id, v, unnest(range(1, len(v) - {RUN_TOKENS - 2})) AS j FROM b9)),
-al AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM dr JOIN br USING (k)),
+b9 AS (SELECT *, least(len(v), {RUN_TOKENS}) AS r FROM b WHERE len(v) > 0),
+lens AS (SELECT DISTINCT r FROM b9),
+dr AS (SELECT doc_id, i, r, array_to_string(list_slice(w, i, i + r - 1), ' ') AS k FROM (SELECT doc_id, w, r, unnest(range(1, len(w) - r + 2)) AS i FROM d, lens WHERE len(w) >= r)),
+br AS (SELECT item_id, j, r, array_to_string(list_slice(v, j, j + r - 1), ' ') AS k FROM (SELECT item_id, v, r, unnest(range(1, len(v) - r + 2)) AS j FROM b9)),
+al AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM dr JOIN br USING (r, k)),
 eq AS (SELECT doc_id, item_id, shift, len(v) AS n, list_transform(range(1, len(v) + 1), lambda p: CASE WHEN p + shift BETWEEN 1 AND len(w) AND w[p + shift] = v[p] THEN 1 ELSE 0 END) AS e FROM al JOIN d USING (doc_id) JOIN b9 USING (item_id)),
 s AS (SELECT doc_id, item_id, n, list_sum(e)::BIGINT AS n_matched, list_max(list_transform(range(1, n - least(n, {WINDOW}) + 2), lambda p: list_sum(list_slice(e, p, p + least(n, {WINDOW}) - 1))))::BIGINT AS n_window FROM eq)
 SELECT doc_id, item_id, max(n_matched) AS n_matched, max(n_window) AS n_window, max(n)::BIGINT AS n_tokens FROM s

@@ -134,8 +134,9 @@ def simhash_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
 def drop_near_copies(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` but for those of a group that are not its smallest doc_id.
 
-    Rows without ``doc_id`` stay; rows that repeat a doc_id stay or go together.
+    Rows without ``doc_id`` stay; rows that repeat a doc_id stay or go together. Other columns
+    pass through unread, whatever their names; an empty table stays empty.
     """
     groups = simhash_groups(docs, size, bits)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "simhash-gone"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(materialize(gone, "simhash-gone"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

@@ -77,6 +77,13 @@ def test_html_odd_pages(page):
     assert isinstance(html_mincut.main_text(page), str)
 
 
+def test_html_comments_that_end_early():
+    p = "<p>First paragraph of the article, with words and an end.</p>{}<p>Second paragraph of the article, with words and an end.</p>"
+    whole = html_mincut.main_text(p.format(""))
+    for comment in ("<!-->", "<!--->", "<!-- x --!>", "<!-- > -> -->", "<!---->"):
+        assert html_mincut.main_text(p.format(comment)) == whole, comment
+
+
 def test_html_plain_text_without_tags():
     assert html_mincut.main_text("Just a text that is long enough to be the main one.") == "Just a text that is long enough to be the main one."
 
@@ -318,7 +325,7 @@ def brute_leaks(docs, items, window=decontaminate.WINDOW, subs=decontaminate.SUB
         w = tok(t)
         for i, s in items:
             v = tok(s)
-            if len(v) < 9:
+            if not v:
                 continue
             width = min(window, len(v))
             for shift in range(-len(v), len(w)):
@@ -334,6 +341,7 @@ def brute_leaks(docs, items, window=decontaminate.WINDOW, subs=decontaminate.SUB
 def test_leaks_equal_brute_force(spark, broadcast_rows):
     rng = random.Random(11)
     items = [(i, text(rng, n)) for i, n in enumerate([30, 13, 12, 9, 8, 25, 40])] + [(7, None), (8, ""), (0, None)]
+    items += [(20, text(rng, 7)), (21, text(rng, 6)), (22, text(rng, 3)), (23, "w17"), (24, "unheard")]
     docs = [(1, None), (2, ""), (3, text(rng, 50)), (None, items[0][1])]
     for d in range(10, 60):
         words = items[rng.randrange(7)][1].split()
@@ -341,7 +349,7 @@ def test_leaks_equal_brute_force(spark, broadcast_rows):
             words[rng.randrange(len(words))] = "changed"
         a = rng.randint(0, 8)
         docs.append((d, f"{text(rng, rng.randint(0, 9))} {'; '.join(words[a:]).upper()} {text(rng, rng.randint(0, 9))}"))
-    docs.append(docs[-1])
+    docs += [docs[-1], (70, f"so {items[-5][1]} it"), (71, items[-4][1]), (72, items[-4][1][:-1]), (73, f"{items[-3][1]} w1")]
     got = decontaminate.contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string, doc_id int"), broadcast_rows=broadcast_rows)
     assert {(r.doc_id, r.item_id, r.n_matched, r.n_window) for r in got.collect()} == brute_leaks(docs, items)
     left = decontaminate.drop_contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string"))
@@ -539,8 +547,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 6}
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, tmp_path):
+    """Nulls in every column, repeated rows, clashing and awkward names, empty tables."""
+    import corpus_pipeline
+    clean = "The house of the man is on the hill, and it was sold to a woman from the town with the old mill by the river near here."
+    rows = [(d, t) for d, t in odd] + [(None, clean), (50, clean + " one two three"), (50, clean + " one two three"), (51, clean.replace("hill", "roof") + " 1.2.3.4 said so")]
+    names = ["pii_counts", "a.b", "row", "h", "quality_m", "component_id", "item_id", "doc_key"]
+    from pyspark.sql import functions as F
+    df = frame(spark, rows).withColumns({n: F.lit(k) for k, n in enumerate(names)}).withColumn("nil", F.lit(None).cast("int"))
+    spark.createDataFrame([(None, clean[:30]), (2, None), (3, "unheard of here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == "packing"
+        out, none = stage(spark, df, str(tmp_path)), stage(spark, df.limit(0), str(tmp_path))
+        assert none.count() == 0 and (last or none.columns == df.columns)
+        assert last or out.columns == df.columns
+        assert out.count() >= 2
+        if not last:
+            assert {r["a.b"] for r in out.collect()} == {1}
+
+
 def test_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert set(E.oracle_sql()) <= names
