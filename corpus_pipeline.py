@@ -7,7 +7,7 @@ and read again as the next one's input. All stages but the last return the colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm.common import materialize, table
 from tessera.llm.decontaminate import drop_contaminated
@@ -18,27 +18,42 @@ from tessera.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and blank texts among them. Rows are
+    judged one by one (repeated rows alike, null ids too); an empty table stays empty."""
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays. Rows without a doc_id
+    stay, rows that repeat one stay or go together; null and empty texts are copies of each other."""
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go. Rows without a doc_id stay, null and empty texts
+    overlap nothing, rows that repeat a doc_id go together; an empty benchmark removes nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes pseudonyms; ``n_chars`` follows the text."""
-    return pseudonymised(docs).withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Personal data in the texts becomes pseudonyms; ``n_chars`` follows the text. Null and empty texts
+    stay; all other columns, whatever their names, pass through in one struct."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    out = pseudonymised(docs.select(others, "text"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        kept = F.col("row").getField(c)
+        if c == "n_chars":
+            kept = F.coalesce(F.length("text"), kept).cast(docs.schema[c].dataType)
+        return kept.alias(c)
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens; null and empty texts are one
+    end token, repeated rows are packed each, an empty table has no piece."""
     return pack(docs)
 
 
