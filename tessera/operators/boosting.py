@@ -164,12 +164,11 @@ class SoftmaxBoosted:
         return softmax(add_margins(np.tile(np.array(self.base, float), (len(b), 1)), b, self.rounds))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        model = df.sparkSession.sparkContext.broadcast(self)  # at most rounds * classes * 2**(depth + 1) nodes
+        m = self  # goes with the task: at most rounds * classes * 2**(depth + 1) nodes
         classes = F.array(*[F.lit(int(c)) for c in self.classes])
 
         @F.pandas_udf("array<double>")
         def score(v: pd.Series) -> pd.Series:
-            m = model.value
             return pd.Series(list(m.probabilities(matrix(v, len(m.cuts)))))
 
         p = df.withColumn("_p", score(_array(df, self.features)))

@@ -113,12 +113,11 @@ class WeightedMlp:
         self.layers, self.classes, self.features, self.sizes, self.history = layers, classes, features, sizes, history
 
     def transform(self, df: DataFrame) -> DataFrame:
-        model = df.sparkSession.sparkContext.broadcast(self)
+        m = self  # the net goes with the task
         classes = F.array(*[F.lit(int(c)) for c in self.classes])
 
         @F.pandas_udf("array<double>")
         def score(v: pd.Series) -> pd.Series:
-            m = model.value
             return pd.Series(list(forward(m.layers, np.nan_to_num(matrix(v, m.sizes[0])))[0]))
 
         out = df.withColumn("_p", score(_array(df, self.features)))
