@@ -5,6 +5,9 @@ what fails is left alone. A valid value is mapped to an index among all values o
 format, the index is permuted by a keyed Feistel network (cycle-walking inside the format)
 and written back in the same layout, check digits renewed. The map is a permutation, so
 equal values get equal pseudonyms in every document and different ones stay different.
+Values are compared without their layout: a phone number by country code and digits, an e-mail
+address without case, a date as a day. Days up to the 12th stay such days, and later ones later,
+so that a pseudonym reads back in the order (day or month first) it was written in.
 Each text is handled alone, so this runs where the texts are scanned.
 """
 
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect_left
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -22,6 +26,8 @@ KINDS = ("email", "phone", "ipv4", "card", "iban", "ssn", "date", "secret")
 DEMO_KEY = b"tessera demo key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: The days permuted among each other: those up to the 12th of a month, and those after it.
+_DAYS = tuple([n for n in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(n).day > 12) is late] for late in (False, True))
 
 
 def permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -82,17 +88,28 @@ def relayout(model: str, new: str) -> str:
 
 
 def email(s: str, key: bytes) -> str:
+    """Permutes the lower-cased local part; letters keep their case, the domain stays."""
     local, _, domain = s.rpartition("@")
-    return f"{mixed(local, key, b'email|' + domain.lower().encode())}@{domain}"
+    new = mixed(local.translate(_LOWER), key, b"email|" + domain.lower().encode())
+    return "".join(n.upper() if "A" <= c <= "Z" else n for c, n in zip(local, new)) + "@" + domain
+
+
+_LOWER = {u: u + 32 for u in range(ord("A"), ord("Z") + 1)}
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def phone(s: str, key: bytes) -> str | None:
+    """Permutes the digits behind the country code among numbers of that code and length. A
+    number without a code is one of code 1; a trunk digit written as (0) is no part of it."""
     number = re.sub(r"\D", "", s)
     if not 7 <= len(number) <= 15:
         return None
-    code = re.match(r"\+(\d{1,3})(?=[ .(-])", s)
-    keep = len(code[1]) if code else 0
-    return relayout(s, number[:keep] + digits(number[keep:], key, b"phone|" + number[:keep].encode()))
+    code, keep = "1", 0
+    if s[0] == "+":
+        code = number[:1 if number[0] in "17" else 2 if number[:2] in _TWO_DIGIT_CODES else 3]
+        keep = len(code) + bool(re.match(r"\+%s[ .-]?\(0\)" % code, s))
+    return relayout(s, number[:keep] + digits(number[keep:], key, b"phone|" + code.encode()))
 
 
 def ipv4(s: str, key: bytes) -> str | None:
@@ -158,7 +175,9 @@ def date(s: str, key: bytes) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date"))
+    late = int(d) > 12
+    days = _DAYS[late]
+    new = datetime.date.fromordinal(days[permute(bisect_left(days, day), len(days), key, b"date|%d" % late)])
     part = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
     return sep.join(part[x] for x in order)
 

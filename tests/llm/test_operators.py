@@ -249,6 +249,59 @@ def test_pii_long_phone_drops_groups():
         assert pii_feistel.pseudonymise(kept, KEY)[0] == kept
 
 
+def test_pii_dates_do_not_collide():
+    import datetime
+    days = [datetime.date.fromordinal(n) for n in range(pii_feistel.FIRST_DAY, pii_feistel.LAST_DAY + 1)]
+    for layout in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d"):
+        assert len({pii_feistel.date(d.strftime(layout), KEY) for d in days[::7]}) == len(days[::7])
+    written = {d.strftime(layout) for d in days for layout in ("%d/%m/%Y", "%m/%d/%Y")}
+    assert {pii_feistel.date(w, KEY) for w in written} == written
+
+
+def test_pii_links_layouts():
+    def same(values, make, plain):
+        assert len({plain(make(v, KEY)) for v in values}) == 1
+
+    def number(s):
+        return "".join(c for c in s.replace("(0)", "") if c.isdigit())
+    same(["+49 30 12345678", "+493012345678", "+49 (0)30 1234 5678", "+49-30-12345678"], pii_feistel.phone, number)
+    same(["(555) 123-4567", "+1 555 123 4567", "555-123-4567", "+15551234567"], pii_feistel.phone, lambda s: number(s)[-10:])
+    same(["+353 1 234 5678", "+35312345678"], pii_feistel.phone, number)
+    same(["Bob.Q1@x.com", "bob.q1@x.com", "BOB.Q1@X.com"], pii_feistel.email, str.lower)
+    same(["28/05/2020", "05/28/2020", "2020-05-28"], pii_feistel.date, lambda s: "/".join(sorted(s.replace("-", "/").split("/"))))
+
+
+def unpermute(x, size, key, tweak):
+    """The inverse of pii_feistel.permute: the rounds from the last to the first."""
+    from hashlib import blake2b
+    if size < 2:
+        return x
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask, width = (1 << half) - 1, (half + 7) // 8
+    while True:
+        left, right = x >> half, x & mask
+        for r in reversed(range(pii_feistel.ROUNDS)):
+            digest = blake2b(tweak + b"|" + bytes([r]) + b"|" + left.to_bytes(width, "big"), key=key[:64], digest_size=min(64, width + 8)).digest()
+            left, right = right ^ (int.from_bytes(digest, "big") & mask), left
+        x = left << half | right
+        if x < size:
+            return x
+
+
+def test_pii_query_round_trip(spark, monkeypatch):
+    """Every text of the query comes back when its result is permuted backwards."""
+    from tessera.llm.queries import op4_pii_feistel
+    sf = "/root/testdata/sf0.001"
+    src = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op4_pii_feistel(spark, sf).collect()}
+    assert got.keys() == src.keys()
+    changed = {i for i in src if src[i] != got[i].text}
+    assert len(changed) > 5 and all((sum(got[i].pii_counts) > 0) == (i in changed) for i in src)
+    monkeypatch.setattr(pii_feistel, "permute", unpermute)
+    for i in changed:
+        assert pii_feistel.pseudonymise(got[i].text, pii_feistel.DEMO_KEY)[0] == src[i], i
+
+
 def test_pipeline_pii_counts_the_new_characters(spark):
     from corpus_pipeline import pii
     src = [f"Host 1.2.3.{i} is up, नमस्ते" for i in range(8)] + ["no data", "", None]
