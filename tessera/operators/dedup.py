@@ -103,12 +103,23 @@ def find_cross_class_conflicts(df: DataFrame, sets, key: str = "text", label: st
 # D5
 def resolve_cross_class_conflicts(df: DataFrame, passes, key: str = "text", label: str = "target") -> DataFrame:
     """Each pass: find groups whose label set is one of ``sets`` and drop the rows of those
-    groups labelled with one of ``drop``. Later passes see the reduced table."""
+    groups labelled with one of ``drop``. Later passes see the reduced table.
+
+    What every pass does to a group follows from its set of labels alone, so one aggregate by the
+    key's 128-bit hash works out all labels a group loses, and one join applies them. Rows with a
+    null key, and groups with a null label, lose nothing.
+    """
+    labels = f"array<{df.schema[label].dataType.simpleString()}>"
+    hashed = F.md5(F.col(key).cast("string"))
+    groups = (df.where(F.col(key).isNotNull()).groupBy(hashed.alias("_h"))
+                .agg(F.array_sort(F.collect_set(label)).alias("_left"), F.count_if(F.col(label).isNull()).alias("_nn"))
+                .where(F.col("_nn") == 0).select("_h", "_left", F.array().cast(labels).alias("_gone")))
     for sets, drop in passes:
-        bad = find_cross_class_conflicts(df, sets, key, label).select(key).withColumn("_bad", F.lit(True))
-        j = df.join(bad, key, "left")
-        df = j.where(~(F.coalesce(F.col("_bad"), F.lit(False)) & F.col(label).isin(list(drop)))).drop("_bad")
-    return df
+        gone = F.when(set_in("_left", sets), F.array(*[F.lit(v) for v in drop])).otherwise(F.array()).cast(labels)
+        groups = groups.select("_h", F.array_except("_left", gone).alias("_left"), F.array_union("_gone", gone).alias("_gone"))
+    groups = groups.where(F.size("_gone") > 0).select("_h", "_gone")
+    kept = df.withColumn("_h", hashed).join(groups, "_h", "left")
+    return kept.where(~F.coalesce(F.array_contains("_gone", F.col(label)), F.lit(False))).select(*df.columns)
 
 
 # D6

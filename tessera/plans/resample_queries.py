@@ -118,7 +118,7 @@ st{i} AS (SELECT * FROM st{i - 1} UNION ALL
 
 @query("condensed_nn", sql=cnn_sql())
 def condensed_nn(spark, sf_dir):
-    """Condensed nearest-neighbour subset (iterative rounds, rows-only check)."""
+    """Condensed nearest-neighbour subset (iterative rounds; the SQL unrolls ten)."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")
     return RS.condensed_nn(df, "label", "vec_id", "embedding", SEED).select("vec_id", "label")
 

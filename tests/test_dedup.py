@@ -35,3 +35,21 @@ def test_keep_first_is_ordered(spark):
     df = spark.createDataFrame(data, "doc_id int, text string, sentiment string, polarity int").repartition(3)
     got = sorted((r.doc_id, r.polarity) for r in D.dedup_keep_first(df).collect())
     assert got == [(2, 0), (9, 1)]
+
+
+def test_cross_class_passes_equal_one_by_one(spark):
+    import random
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, *"abcdefghijkl"]), rng.choice([0, 1, 2, 3, 3, None] if i % 5 == 0 else [0, 1, 2, 3])) for i in range(60)]
+    passes = [([[0, 1], [0, 1, 2], [1, 3]], [0, 3]), ([[1, 2], [1]], [1, 2]), ([[2]], [2])]
+    want = rows
+    for sets, drop in passes:
+        groups = {}
+        for _, k, v in want:
+            groups.setdefault(k, set()).add(v)
+        want = [r for r in want if r[1] is None or r[2] not in drop or sorted(groups[r[1]], key=lambda v: (v is None, v)) not in sets]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target int")
+    got = D.resolve_cross_class_conflicts(df, passes)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and 0 < len(want) < len(rows)
+    assert D.resolve_cross_class_conflicts(df.limit(0), passes).count() == 0
