@@ -17,10 +17,13 @@ _E_SQL = f"""{IMBALANCED_SQL},
 e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM imbalanced)"""
 
 
+def _vector_facts():
+    return (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), DIGITS).alias("vsum"),
+            F.round(F.element_at("embedding", 1), DIGITS).alias("v0"))
+
+
 def _syn_out(df):
-    return df.where(F.col("source_id").isNotNull()).select(
-        "label", "syn_index", "source_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), DIGITS).alias("vsum"),
-        F.round(F.element_at("embedding", 1), DIGITS).alias("v0"))
+    return df.where(F.col("source_id").isNotNull()).select("label", "syn_index", "source_id", *_vector_facts())
 
 
 def smote_ctes(src: str, p: str, k: int = 5, seed: int = SEED) -> str:
@@ -130,13 +133,14 @@ rus AS (SELECT vec_id, label, v FROM (SELECT *, row_number() OVER (PARTITION BY
           ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS rk FROM c_kept) WHERE label <> 0 OR rk < 150),
 merged AS (SELECT vec_id, label, v FROM rus UNION ALL SELECT vec_id, label, v FROM e WHERE label NOT IN (0)),
 {smote_ctes('merged', 's_')},
-allr AS (SELECT label, CAST(NULL AS BIGINT) AS source_id FROM merged UNION ALL SELECT label, source_id FROM s_syn)
-SELECT label, count(*) AS n, count(source_id) AS n_synthetic FROM allr GROUP BY label""")
+allr AS (SELECT label, vec_id, CAST(NULL AS BIGINT) AS syn_index, CAST(NULL AS BIGINT) AS source_id, v AS x FROM merged
+         UNION ALL SELECT label, NULL, syn_index, source_id, x FROM s_syn)
+SELECT label, vec_id, syn_index, source_id, round(list_sum(x), {DIGITS}) AS vsum, round(x[1], {DIGITS}) AS v0 FROM allr""")
 def balance_classes(spark, sf_dir):
-    """Class 0 cleaned and under-sampled to 150, classes 1-3 untouched, then SMOTE."""
+    """Class 0 cleaned and under-sampled to 150, classes 1-3 untouched, then SMOTE; all rows."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")
     out = RS.balance_classes(df, "label", "vec_id", "embedding", [0], {0: 150}, "smote", SEED)
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("source_id").alias("n_synthetic"))
+    return out.select("label", "vec_id", "syn_index", "source_id", *_vector_facts())
 
 
 @query("leak_audit", sql=f"""WITH {_E_SQL},
