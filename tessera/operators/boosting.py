@@ -3,9 +3,9 @@
 * Bins: each feature is cut at approximate quantiles (Spark's mergeable percentile sketch, one pass
   over the rows); a row keeps one byte per feature. The binned table is written once.
 * A level is one job. Tasks add up gradient and hessian per (class, node, feature, bin) of their
-  rows in numpy; the sums are shuffled by (class, node, feature); running sums over a feature's bins
-  (at most ``bins`` rows) give the gain of every split; the best split of each node is all that
-  comes to the driver. K trees of a round share the job.
+  rows in numpy and send one row of sums per (class, node, feature) to the part of its feature; there
+  running sums over the bins give the gain of every split. The best split of each node in each part is
+  all that comes to the driver (at most ``MOST_PARTS`` a node). K trees of a round share the job.
 * Rows are never moved: a task recomputes its rows' margins from the trees grown since the margins
   were last written (every ``REFRESH`` rounds) and walks the unfinished trees.
 
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.indexing import materialize
@@ -27,6 +27,7 @@ from tessera.operators.indexing import materialize
 REFRESH = 10
 ACCURACY = 10_000        # of the quantile sketch: rank error n / ACCURACY
 AT_ONCE = 256            # features whose sketches one pass holds
+MOST_PARTS = 1024        # groups of features a level's sums are dealt into
 
 
 def cuts_of(df: DataFrame, features: str, d: int, bins: int) -> list[np.ndarray]:
@@ -104,12 +105,18 @@ def derivatives(margins: np.ndarray, label: np.ndarray, weight: np.ndarray) -> t
     return g * weight[:, None], np.maximum(2 * p * (1 - p), 1e-16) * weight[:, None]
 
 
-def histograms(table: DataFrame, d: int, classes: int, since: list[list[Tree]], growing: list[Tree], active: list[list[int]]) -> DataFrame:
-    """(class, node, feature, bin, g, h): sums over all rows at the ``active`` nodes of each class's tree."""
-    width = 256
+def histograms(table: DataFrame, d: int, bins: int, classes: int, since: list[list[Tree]], growing: list[Tree], active: list[list[int]], parts: int) -> DataFrame:
+    """(part, class, node, feature, g, h): one row a task, ``active`` node and feature with the sums
+    over the task's rows, ``bins`` doubles each. ``part`` deals out features, at most ``parts`` of them."""
+    slots = []
+    for k in range(classes):
+        slot = np.full(len(growing[k].feature), -1, np.int64)
+        slot[active[k]] = np.arange(len(active[k]))
+        slots.append(slot)
+    schema = pa.schema([("part", pa.int32()), ("class", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("g", pa.binary()), ("h", pa.binary())])
 
     def sums(batches):
-        held = {}
+        held = [np.zeros((2, len(active[k]), d, bins)) for k in range(classes)]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -118,39 +125,58 @@ def histograms(table: DataFrame, d: int, classes: int, since: list[list[Tree]],
             margins = add_margins(np.stack(pdf["margins"]).astype(float), x, since)
             g, h = derivatives(margins, pdf["label"].to_numpy(), pdf["weight"].to_numpy(float))
             for k in range(classes):
-                node = growing[k].at(x)
-                for v in active[k]:
-                    rows = np.flatnonzero(node == v)
-                    if not len(rows):
-                        continue
-                    cell = (np.arange(d) * width + x[rows]).ravel()
-                    made = [np.bincount(cell, np.repeat(w[rows, k], d), d * width) for w in (g, h)]
-                    old = held.get((k, v))
-                    held[k, v] = made if old is None else [a + b for a, b in zip(old, made)]
-        for (k, v), (g, h) in held.items():
-            cell = np.flatnonzero(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(np.full(len(cell), v, np.int32)),
-                                              pa.array((cell // width).astype(np.int32)), pa.array((cell % width).astype(np.int32)),
-                                              pa.array(g[cell]), pa.array(h[cell])], ["class", "node", "feature", "bin", "g", "h"])
-
-    made = table.select("bins", "margins", "label", "weight").mapInArrow(sums, "class int, node int, feature int, bin int, g double, h double")
-    by = ["class", "node", "feature"]
-    return made.repartition(*by).groupBy(*by, "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+                slot = slots[k][growing[k].at(x)]
+                rows = np.flatnonzero(slot >= 0)
+                if len(rows):
+                    cell = ((slot[rows, None] * d + np.arange(d)) * bins + x[rows]).ravel()
+                    for total, w in zip(held[k], (g, h)):
+                        total += np.bincount(cell, np.repeat(w[rows, k], d), total.size).reshape(total.shape)
+        for k in range(classes):
+            node, feature = np.nonzero(held[k][1].any(axis=2))
+            if len(node):
+                g, h = (held[k][i][node, feature] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((
+                    (feature % parts).astype(np.int32), np.full(len(node), k, np.int32), np.array(active[k], np.int32)[node],
+                    feature.astype(np.int32), [v.tobytes() for v in g], [v.tobytes() for v in h]), schema)], schema=schema)
+
+    return table.select("bins", "margins", "label", "weight").mapInArrow(sums, "part int, class int, node int, feature int, g binary, h binary")
+
+
+def split_gains(g: np.ndarray, h: np.ndarray, reg_lambda: float, gamma: float, min_child: float) -> np.ndarray:
+    """Gain of each split ``bin <= b`` of histograms (.., bins); -inf where it is not allowed: a bin
+    without rows or with none behind it, or a side whose hessian is below ``min_child``."""
+    gl, hl = g.cumsum(axis=-1), h.cumsum(axis=-1)
+    gt, ht = g.sum(axis=-1, keepdims=True), h.sum(axis=-1, keepdims=True)
+    gr, hr = gt - gl, ht - hl
+    behind = np.flip(np.flip(h > 0, -1).cumsum(axis=-1), -1) > 1
 
+    def score(a, b):
+        return a * a / np.maximum(b + reg_lambda, 1e-300)
+    gain = 0.5 * (score(gl, hl) + score(gr, hr) - score(gt, ht)) - gamma
+    return np.where((h > 0) & behind & (hl >= min_child) & (hr >= min_child), gain, -np.inf)
 
-def split_gains(cells: DataFrame, reg_lambda: float, gamma: float, min_child: float) -> DataFrame:
-    """(class, node, feature, bin, gain, gl, hl, g, h) of every allowed split ``bin <= b``; windows hold one feature's bins."""
-    w = Window.partitionBy("class", "node", "feature").orderBy("bin")
-    whole = Window.partitionBy("class", "node", "feature")
-    c = cells.select("class", "node", "feature", "bin", F.sum("g").over(w).alias("gl"), F.sum("h").over(w).alias("hl"),
-                     F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h"))
-    gr, hr = F.col("g") - F.col("gl"), F.col("h") - F.col("hl")
 
-    def score(a, b):
-        return a * a / (b + reg_lambda)
-    gain = 0.5 * (score(F.col("gl"), F.col("hl")) + score(gr, hr) - score(F.col("g"), F.col("h"))) - gamma
-    last = F.col("bin") == F.max("bin").over(whole)
-    return c.withColumn("gain", gain).withColumn("_last", last).where((F.col("hl") >= min_child) & (hr >= min_child) & ~F.col("_last")).drop("_last")
+def best_splits(cells: DataFrame, reg_lambda: float, gamma: float, min_child: float) -> DataFrame:
+    """(class, node, gain, feature, bin, gl, hl, g, h): the best split of each node in each part;
+    gain -inf if the part has none. A part holds a row a task of its nodes and features."""
+    by = ["class", "node", "feature"]
+    schema = pa.schema([("class", pa.int32()), ("node", pa.int32()), ("gain", pa.float64()), ("feature", pa.int32()), ("bin", pa.int32())]
+                       + [(c, pa.float64()) for c in ("gl", "hl", "g", "h")])
+
+    def best(group: pa.Table) -> pa.Table:
+        keys = np.stack([group.column(c).to_numpy() for c in by])
+        order = np.lexsort(keys[::-1])
+        keys = keys[:, order]
+        first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        g, h = (np.add.reduceat(np.frombuffer(b"".join(group.column(c).to_pylist())).reshape(len(order), -1)[order], first, axis=0) for c in "gh")
+        gain = np.round(split_gains(g, h, reg_lambda, gamma, min_child), 10)
+        at = gain.argmax(axis=1)  # the smallest bin of the largest gain
+        one = np.arange(len(at))
+        rows = pd.DataFrame(keys[:, first].T, columns=by).assign(gain=gain[one, at], bin=at, gl=g.cumsum(axis=1)[one, at], hl=h.cumsum(axis=1)[one, at], g=g.sum(axis=1), h=h.sum(axis=1))
+        rows = rows.sort_values(["class", "node", "gain", "feature"], ascending=[True, True, False, True]).drop_duplicates(["class", "node"])
+        return pa.Table.from_arrays([pa.array(rows[f.name].to_numpy(), f.type) for f in schema], schema=schema)
+
+    return cells.groupBy("part").applyInArrow(best, "class int, node int, gain double, feature int, bin int, gl double, hl double, g double, h double")
 
 
 class SoftmaxBoosted:
@@ -206,12 +232,13 @@ def train_softmax_boosted(df: DataFrame, features: str = "features", label: str
             yield pd.DataFrame({"bins": [r.tobytes() for r in b], "label": pdf["y"].map(code).astype("int32"), "weight": pdf["weight"], "margins": [base] * len(pdf)})
 
     table = materialize(rows.mapInPandas(cut, "bins binary, label int, weight double, margins array<double>"))
+    parts = min(d, MOST_PARTS, max(8, table.rdd.getNumPartitions()))
     done: list[list[Tree]] = []
     written = 0
     for _ in range(rounds):
         if len(done) - written >= REFRESH:
             table, written = _refreshed(table, d, done[written:]), len(done)
-        grown = _grow(table, d, len(classes), done[written:], depth, eta, reg_lambda, gamma, min_child)
+        grown = _grow(table, d, bins, len(classes), done[written:], depth, eta, reg_lambda, gamma, min_child, parts)
         if all(len(t.feature) == 1 and t.value[0] == 0 for t in grown):
             break
         done.append(grown)
@@ -228,25 +255,25 @@ def _refreshed(table: DataFrame, d: int, since: list[list[Tree]]) -> DataFrame:
     return materialize(table.mapInPandas(add, table.schema))
 
 
-def _grow(table, d, classes, since, depth, eta, reg_lambda, gamma, min_child) -> list[Tree]:
+def _grow(table, d, bins, classes, since, depth, eta, reg_lambda, gamma, min_child, parts) -> list[Tree]:
     """One tree per class, level by level."""
     trees = [Tree() for _ in range(classes)]
     active = [[0] for _ in range(classes)]
     sums: dict[tuple[int, int], tuple[float, float]] = {}
-    for level in range(depth):
-        cells = histograms(table, d, classes, since, trees, active)
-        gains = split_gains(cells, reg_lambda, gamma, min_child)
-        best = gains.where("gain > 1e-12").groupBy("class", "node").agg(F.max(F.struct(
-            F.round("gain", 10).alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), "gl", "hl", "g", "h")).alias("s")).collect()  # one row a node
-        if level == 0:  # the roots' totals, for trees that do not split
-            for r in cells.where("feature = 0").groupBy("class").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect() if len(best) < classes else []:
-                sums[r["class"], 0] = (r.g, r.h)
+    for _ in range(depth):
+        cells = histograms(table, d, bins, classes, since, trees, active, parts)
+        found: dict[tuple[int, int], tuple] = {}
+        for r in best_splits(cells, reg_lambda, gamma, min_child).collect():  # a row a node and part
+            k, v = r["class"], r.node
+            sums.setdefault((k, v), (r.g, r.h))
+            split = -r.gain, r.feature, r.bin, r.gl, r.hl, r.g, r.h
+            found[k, v] = min(found.get((k, v), split), split)
         active = [[] for _ in range(classes)]
-        for r in sorted(best, key=lambda r: (r["class"], r.node)):
-            k, s = r["class"], r.s
-            left, right = trees[k].split(r.node, -s.f, -s.b)
-            sums[k, r.node] = (s.g, s.h)
-            sums[k, left], sums[k, right] = (s.gl, s.hl), (s.g - s.gl, s.h - s.hl)
+        for (k, v), (loss, feature, b, gl, hl, g, h) in sorted(found.items()):
+            if -loss <= 1e-12:
+                continue
+            left, right = trees[k].split(v, feature, b)
+            sums[k, left], sums[k, right] = (gl, hl), (g - gl, h - hl)
             active[k] += [left, right]
         if not any(active):
             break

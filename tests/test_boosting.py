@@ -53,15 +53,26 @@ def test_split_gains_equal_a_brute_force_search(spark):
     g, h = B.derivatives(margins, y, w)
     trees = [B.Tree() for _ in range(3)]
     trees[1].split(0, 2, 3)
-    cells = B.histograms(table, 4, 3, [], trees, [[0], [1, 2], [0]])
-    got = {}
-    for r in B.split_gains(cells, 1.0, 0.0, 1.0).collect():
-        got.setdefault((r["class"], r.node), {})[r.feature, r.bin] = r.gain
+    cells = B.histograms(table, 4, 8, 3, [], trees, [[0], [1, 2], [0]], 3)
+    sums, got = {}, {}
+    for r in cells.collect():
+        assert r.part == r.feature % 3
+        sums.setdefault((r["class"], r.node, r.feature), []).append([np.frombuffer(r.g), np.frombuffer(r.h)])
+    for (k, v, f), parts in sums.items():
+        for b, gain in enumerate(B.split_gains(*np.sum(parts, axis=0), 1.0, 0.0, 1.0)):
+            if gain > -np.inf:
+                got.setdefault((k, v), {})[f, b] = gain
+    best = {}
+    for r in B.best_splits(cells, 1.0, 0.0, 1.0).collect():
+        best[r["class"], r.node] = max(best.get((r["class"], r.node), (-np.inf,)), (r.gain, -r.feature, -r.bin, r.gl, r.g))
     left = bins[:, 2] <= 3
     for (k, v), rows in {(0, 0): left | True, (1, 1): left, (1, 2): ~left, (2, 0): left | True}.items():
         want = brute_gains(bins[rows], g[rows, k], h[rows, k], 1.0, 1.0)
         assert got[k, v].keys() == want.keys()
         assert all(got[k, v][s] == pytest.approx(want[s], abs=1e-9) for s in want)
+        f, b = max(want, key=lambda s: (round(want[s], 10), -s[0], -s[1]))
+        assert best[k, v][:3] == (pytest.approx(want[f, b], abs=1e-9), -f, -b)
+        assert best[k, v][3:] == (pytest.approx(g[rows & (bins[:, f] <= b), k].sum()), pytest.approx(g[rows, k].sum()))
 
 
 def brute_tree(bins, g, h, depth, lam=1.0, min_child=1.0, eta=0.3):
