@@ -7,13 +7,17 @@ A document is factored relative to an index of the blocks of all documents:
    windows cover. The cut depends on the words alone, so equal passages are cut alike, and a
    document of n words has about n / 21 blocks. The index keeps, per block content, the
    smallest and the largest ``doc_id``; whole documents are the longest blocks and go first.
-2. *Greedy factors.* A block whose content an earlier document has is a factor, and all its
-   windows are duplicates at once.
-3. *Factor boundaries.* Where a block is new but its minimiser also occurs in another block,
-   a passage may begin or end inside it. Only there every window is hashed and looked up.
+2. *Whole blocks.* A block whose content an earlier document has matches it with all its windows.
+3. *Ends of matches.* Where a block is new but its minimiser also occurs in another block, a
+   passage may begin or end inside it. Only there every window is hashed and looked up.
+4. *Greedy factors.* Matches that go on in the same reference join into runs, and a document is
+   parsed from left to right: at the first word not yet covered, the run that covers it and reaches
+   furthest is the next factor (reference document, position, length). Where a factor ends, runs that
+   began inside it are looked at as well, so a passage across the border of two factors is not lost.
 
 The result is exact (up to 128-bit hashes of the words): a window that starts in a smaller
-document has the same minimiser there, so it is found in step 2 or 3.
+document has the same minimiser there, so it is found in step 2 or 3, and the factors cover
+exactly the words of such windows.
 
 Skew: copies of whole documents collapse to one before blocks are compared, blocks before
 windows; both look-ups are aggregates with map-side combining followed by a join whose
@@ -85,54 +89,98 @@ def _factor(window: int, texts: bool):
     return run
 
 
+def parse(ref: np.ndarray, pos: np.ndarray, known: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, reference, position there) of one document, whose window i is
+    also the window ``pos[i]`` of document ``ref[i]`` where ``known[i]``."""
+    at = np.flatnonzero(known)
+    if not len(at):
+        return []
+    r, q = ref[at], pos[at]
+    new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(r) != 0) | (np.diff(q) != 1)])
+    begin, end = at[new], at[np.r_[new[1:], len(at)] - 1] + window
+    r, q = r[new], q[new]
+    out, word = [], int(begin[0])
+    while True:
+        i = int(np.searchsorted(begin, word, "right")) - 1  # ends rise with begins: the run that reaches furthest
+        out.append((word, int(end[i]) - word, int(r[i]), int(q[i]) + word - int(begin[i])))
+        if i + 1 == len(begin):
+            return out
+        word = max(int(end[i]), int(begin[i + 1]))
+
+
+def _hashed(batch: pa.RecordBatch):
+    """(part, raw, offsets, first word of each row, word hashes, text hashes) of runs of rows."""
+    for part in runs_of(batch, "text"):
+        raw, offsets = string_buffers(part.column("text"))
+        starts, ends, first = word_spans(raw, offsets)
+        h = word_hashes(raw, starts, ends)
+        yield part, raw, offsets, first, h, range_hashes(h, first[:-1], first[1:]).view(np.int64)
+
+
 def _edge_windows(window: int):
-    """Hashes of the windows of the listed boundary blocks."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+    """Hashes of the windows of the listed boundary blocks; ``tag`` tells texts of one doc_id apart."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("at", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            for part in runs_of(batch, "text"):
-                raw, offsets = string_buffers(part.column(1))
-                starts, ends, first = word_spans(raw, offsets)
-                h = word_hashes(raw, starts, ends)
-                ids, spans = part.column(0).to_pylist(), part.column(2).to_pylist()
-                for lo, hi, doc, blocks in zip(first[:-1], first[1:], ids, spans):
+            for part, _, _, first, h, own in _hashed(batch):
+                ids, spans, d1 = (part.column(c).to_pylist() for c in ("doc_id", "spans", "d1"))
+                for lo, hi, doc, blocks, d, o in zip(first[:-1], first[1:], ids, spans, d1, own.tolist()):
                     blocks = [x for x in blocks if x["edge"]]
-                    if not blocks:
+                    if not blocks or d != o:  # another text of this doc_id
                         continue
                     at = np.unique(np.concatenate([np.arange(x["s"], x["s"] + x["c"]) for x in blocks]))
                     w1 = range_hashes(h[lo:hi], at, at + window)
                     w2 = range_hashes(h[lo:hi], at, at + window, 0x9FB21C651E98DF25)
-                    yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], schema=schema)
+                    same = (np.full(len(at), doc, np.int64), np.full(len(at), d & 0x7FFFFFFF, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *map(pa.array, same), pa.array(at.astype(np.int32))], schema=schema)
     return run
 
 
-def _cut(window: int, texts: bool):
-    fields = [("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("kept_text", pa.string())] * texts)
+_FACTORS = "array<struct<start:int,length:int,ref_doc:bigint,ref_start:int>>"
+
+
+def _cut(window: int, texts: bool, factors: bool):
+    piece = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+                       + [("kept_text", pa.string())] * texts + [("factors", pa.list_(piece))] * factors)
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                words = (row["text"] or "").encode().split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                spans = [(x["s"], x["c"]) for x in row["spans"] if not x["edge"]] + [(x, 1) for x in row["at"] or ()]
-                for s, c in spans:
-                    edge[s] += 1
-                    edge[min(len(words), s + c - 1 + window)] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                out = {"doc_id": row["doc_id"], "d1": row["d1"], "d2": row["d2"], "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
-                yield pa.RecordBatch.from_pylist([out | ({"kept_text": kept.decode()} if texts else {})], schema=schema)
+            for part, raw, offsets, first, _, own in _hashed(batch):
+                out = []
+                for i, row in enumerate(part.drop_columns(["text"]).to_pylist()):
+                    if row["d1"] != own[i]:  # another text of this doc_id
+                        continue
+                    n = int(first[i + 1] - first[i])
+                    ref, pos, known = (np.zeros(max(0, n - window + 1), t) for t in (np.int64, np.int64, bool))
+                    for x in row["spans"]:
+                        if not x["edge"]:
+                            s, e = x["s"], x["s"] + x["c"]
+                            ref[s:e], pos[s:e], known[s:e] = x["ref"], np.arange(x["pos"], x["pos"] + x["c"]), True
+                    for x in row["found"] or ():
+                        at = np.array(x["at"])
+                        ref[at], pos[at], known[at] = x["ref"], at + x["shift"], True
+                    found, gone = parse(ref, pos, known, window), np.zeros(n, bool)
+                    for s, c, _, _ in found:
+                        gone[s:s + c] = True
+                    words = raw[offsets[i]:offsets[i + 1]].tobytes().split()
+                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+                    out.append({"doc_id": row["doc_id"], "d1": row["d1"], "d2": row["d2"], "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+                               | ({"kept_text": kept.decode()} if texts else {}) | ({"factors": [dict(zip(piece.names, f)) for f in found]} if factors else {}))
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, texts: bool = False, factors: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256.
 
     A word is removed if a ``window`` of consecutive words covers it whose sequence also
     starts in a document with a smaller ``doc_id``. ``texts`` adds ``kept_text`` (kept words
-    joined by one space).
+    joined by one space), ``factors`` the greedy parse: (start, length, ref_doc, ref_start) of stretches
+    of words that together are the removed ones, each found word by word in a document with a smaller
+    ``doc_id`` (of several places in it, any).
 
     Null and empty texts have no words. A row without ``doc_id`` is kept whole and is no
     reference. Rows that repeat a ``doc_id`` are one document: they never remove each other's
@@ -145,26 +193,35 @@ def substring_dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> D
     firsts = materialize(firsts, "rlz-firsts")
     blocks = (facts.filter("size(a) > 0").join(firsts, ["doc_id", "d1", "d2"], "left_semi")
               .select("doc_id", "d1", "d2", F.explode(F.arrays_zip("a", "b", "s", "c")).alias("x")).select("doc_id", "d1", "d2", "x.*"))
-    index = blocks.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    index = blocks.groupBy("a", "b").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min_by("s", "doc_id").alias("pos"))
     index = materialize(index, "rlz-index")
-    shared = index.groupBy("a").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi").select("a", F.lit(True).alias("edge"))
-    index = materialize(index.join(shared, "a", "left").filter("first < last or edge").select("a", "b", "first", F.coalesce("edge", F.lit(False)).alias("edge")), "rlz-live")
-    factors = (blocks.join(index, ["a", "b"]).filter("doc_id > first or edge")
-               .select("doc_id", "d1", "d2", "s", "c", F.expr("doc_id = first").alias("edge")))
-    factors = factors.groupBy("doc_id", "d1", "d2").agg(F.collect_list(F.struct("s", "c", "edge")).alias("spans"))
+    shared = index.groupBy("a").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi")).filter("lo < hi").select("a", F.lit(True).alias("edge"))
+    index = materialize(index.join(shared, "a", "left").filter("ref < last or edge").select("a", "b", "ref", "pos", F.coalesce("edge", F.lit(False)).alias("edge")), "rlz-live")
+    spans = (blocks.join(index, ["a", "b"]).filter("doc_id > ref or edge")
+             .select("doc_id", "d1", "d2", F.struct("s", "c", "ref", "pos", F.expr("doc_id = ref").alias("edge")).alias("x")))
+    spans = spans.groupBy("doc_id", "d1", "d2").agg(F.collect_list("x").alias("spans"))
     # the texts of the documents that have a factor or a boundary
-    dirty = docs.join(materialize(factors, "rlz-factors"), "doc_id").select("doc_id", "text", "spans", "d1", "d2")
+    dirty = docs.join(materialize(spans, "rlz-spans"), "doc_id").select("doc_id", "text", "spans", "d1", "d2")
     dirty = materialize(dirty, "rlz-dirty")
-    edges = materialize(dirty.mapInArrow(_edge_windows(window), "w1 long, w2 long, doc_id long, at int"), "rlz-edges")
-    seen = edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    found = edges.join(materialize(seen, "rlz-windows"), ["w1", "w2"]).filter("doc_id > first")
-    found = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    kind = "doc_id long, d1 long, d2 long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    cut = dirty.join(found, "doc_id", "left").mapInArrow(_cut(window, texts), kind).dropDuplicates(["doc_id", "d1", "d2"])
+    edges = materialize(dirty.mapInArrow(_edge_windows(window), "w1 long, w2 long, doc_id long, tag int, at int"), "rlz-edges")
+    seen = edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("pos")).filter("ref < last").drop("last")
+    found = edges.join(materialize(seen, "rlz-windows"), ["w1", "w2"]).filter("doc_id > ref")
+    found = found.select("doc_id", "tag", "ref", (F.col("pos") - F.col("at")).alias("shift"), "at").repartition("doc_id", "tag")
+    found = found.groupBy("doc_id", "tag", "ref", "shift").agg(F.collect_set("at").alias("at"))
+    found = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("ref", "shift", "at")).alias("found"))
+    kind = "doc_id long, d1 long, d2 long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + f", factors {_FACTORS}" * factors
+    cut = dirty.withColumn("tag", F.col("d1").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).join(found, ["doc_id", "tag"], "left")
+    cut = cut.mapInArrow(_cut(window, texts, factors), kind).dropDuplicates(["doc_id", "d1", "d2"])
     whole = facts.select("doc_id", "n_words", "d1", "d2", "sha", *["whole"] * texts)
     out = (whole.join(firsts.withColumn("original", F.lit(True)), ["doc_id", "d1", "d2"], "left").join(cut, ["doc_id", "d1", "d2"], "left"))
     gone = F.expr(f"doc_id is not null and original is null and n_words >= {window}")
     empty = F.sha2(F.lit(""), 256)
-    out = out.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-                     F.when(gone, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), *[F.when(gone, F.lit("")).otherwise(F.coalesce("kept_text", "whole")).alias("kept_text") for _ in range(texts)])
-    return out
+    cols = [F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(gone, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
+    if texts:
+        cols.append(F.when(gone, F.lit("")).otherwise(F.coalesce("kept_text", "whole")).alias("kept_text"))
+    if factors:  # a copy is one factor: the first document with its words
+        out = out.join(firsts.withColumnRenamed("doc_id", "_first"), ["d1", "d2"], "left")
+        copy = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.col("_first").alias("ref_doc"), F.lit(0).alias("ref_start")))
+        cols.append(F.when(gone, copy).otherwise(F.coalesce("factors", F.array().cast(_FACTORS))).alias("factors"))
+    return out.select("doc_id", "n_words", *cols)
