@@ -557,6 +557,38 @@ def test_url_model_separates(spark):
     assert right >= 190
 
 
+def test_url_model_takes_every_labelled_url(spark):
+    """More labelled URLs than the 8,000 a class once fitted on: scores and cut are those of the models in memory over all."""
+    rng = random.Random(8)
+    good = [f"http://a{rng.randint(1, 9)}.com/s/{i}" for i in range(8300)]
+    bad = [f"http://c{rng.randint(1, 9)}.net/es/{i:x}" for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(good + bad)) + [(90000, "http://a1.org/s/7"), (90001, "http://c.org/es/ff"), (90002, None)], "page_id long, url string")
+    got = {r.page_id: r for r in url_lm.filter_urls(rows).where("page_id >= 90000").collect()}
+    halves = {}
+    for v, urls in (("allow", good), ("block", bad)):
+        ordered = [r.url for r in spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("url", "xxhash64(url) h").orderBy("h", "url").collect()]
+        halves[v] = ordered[::2], ordered[1::2]
+    models = [url_lm.Markov(), url_lm.Markov()]
+    for m, v in zip(models, ("allow", "block")):
+        for u in halves[v][0]:
+            m.add(u)
+        m.finish()
+    cut = url_lm.threshold(*[[url_lm.ratio(*models, u) for u in halves[v][1]] for v in ("allow", "block")])
+    for i, u in ((90000, "http://a1.org/s/7"), (90001, "http://c.org/es/ff"), (90002, "")):
+        want = url_lm.ratio(*models, u)
+        assert got[i].score == pytest.approx(want, rel=1e-9) and got[i].verdict == ("allow" if want >= cut else "block")
+    scored = [(url_lm.ratio(*models, u), v) for v in ("allow", "block") for u in halves[v][1]]
+    assert url_lm.calibrate(spark.createDataFrame(scored, "score double, verdict string")) == pytest.approx(cut, rel=1e-9)
+
+
+def test_url_cut_equals_the_threshold_in_memory(spark):
+    rng = random.Random(2)
+    cases = [([], []), ([1.0, 2.0], []), ([], [1.0, 3.0]), ([1.0, 2.0], [3.0, 4.0]), ([3.0], [1.0]), ([1.0, 1.0, 2.0], [1.0, 0.5]), ([rng.randint(0, 9) / 4 for _ in range(30)], [rng.randint(-4, 6) / 4 for _ in range(20)])]
+    for a, b in cases:
+        rows = spark.createDataFrame([(x, "allow") for x in a] + [(x, "block") for x in b], "score double, verdict string")
+        assert url_lm.calibrate(rows) == pytest.approx(url_lm.threshold(a, b))
+
+
 def test_markov_sums_to_one():
     m = url_lm.Markov(3)
     for u in ("abc", "abd", "xbc"):
