@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import embed as EM
 from tessera.operators import tfidf as TF
-from tessera.operators.indexing import dense_index
+from tessera.operators.indexing import dense_index, materialize
 from tessera.operators.vocab import word_counts
 from tessera.plans.params import DIGITS
 from tessera.plans.registry import query
@@ -21,9 +21,15 @@ from tessera.session import scratch_path
 from tessera.sources.tables import table
 
 
-def word_vectors(spark, sf_dir, order: str = "frequency", docs=None):
-    """``docs``: the corpus's tokens, if the query has them already."""
-    wc = word_counts(clean_tokens(spark, sf_dir) if docs is None else docs)
+def counts_once(spark, sf_dir, docs=None):
+    """Word counts written once: ranking them reads them twice (range sampling, then the sort), and
+    each reading would clean the corpus again."""
+    return materialize(word_counts(clean_tokens(spark, sf_dir) if docs is None else docs))
+
+
+def word_vectors(spark, sf_dir, order: str = "frequency", docs=None, counts=None):
+    """``docs``: the corpus's tokens, ``counts``: its word counts, if the query has them already."""
+    wc = counts_once(spark, sf_dir, docs) if counts is None else counts
     keys = [F.col("count").desc(), F.col("term")] if order == "frequency" else [F.col("term")]
     ranked = dense_index(wc, keys, "rank")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -179,8 +185,9 @@ SELECT word, round({_COS.format(a='vector', b='qv')}, {DIGITS}) AS similarity FR
 ORDER BY {_COS.format(a='vector', b='qv')} DESC, word LIMIT 10""")
 def most_similar(spark, sf_dir):
     """The 10 words closest (cosine) to the corpus's most frequent word."""
-    wv = word_vectors(spark, sf_dir)
-    top = word_counts(clean_tokens(spark, sf_dir)).orderBy(F.col("count").desc(), "term").first()["term"]
+    wc = counts_once(spark, sf_dir)
+    wv = word_vectors(spark, sf_dir, counts=wc)
+    top = wc.orderBy(F.col("count").desc(), "term").first()["term"]
     m = EM.most_similar(wv, top, 10)
     return m.select("word", F.round("similarity", DIGITS).alias("similarity"))
 
@@ -191,8 +198,8 @@ SELECT a.word AS word, b.word AS next_word, round({_COS.format(a='a.vector', b='
 FROM r a JOIN r b ON b.rk = a.rk + 1""")
 def word_similarity(spark, sf_dir):
     """Cosine similarity of each word with the next word in frequency order."""
-    wc = word_counts(clean_tokens(spark, sf_dir))
-    r = dense_index(word_vectors(spark, sf_dir).join(wc.withColumnRenamed("term", "word"), "word"),
+    wc = counts_once(spark, sf_dir)
+    r = dense_index(word_vectors(spark, sf_dir, counts=wc).join(wc.withColumnRenamed("term", "word"), "word"),
                     [F.col("count").desc(), F.col("word")], "rk")
     a = r.select("word", "vector", "rk")
     b = r.select(F.col("word").alias("next_word"), F.col("vector").alias("v2"), (F.col("rk") - 1).alias("rk"))
@@ -206,7 +213,8 @@ SELECT coalesce(p.word, s.word) AS word, CASE WHEN p.word IS NOT NULL THEN 'pret
 FROM wv s FULL OUTER JOIN pv p ON s.word = p.word""")
 def merge_pretrained(spark, sf_dir):
     """Frequency-ranked vectors merged with alphabetically-ranked 'pretrained' ones."""
-    m = EM.merge_pretrained(word_vectors(spark, sf_dir), word_vectors(spark, sf_dir, "alphabetical"))
+    wc = counts_once(spark, sf_dir)
+    m = EM.merge_pretrained(word_vectors(spark, sf_dir, counts=wc), word_vectors(spark, sf_dir, "alphabetical", counts=wc))
     return m.select("word", "source", _vsum("vector").alias("vsum"))
 
 
