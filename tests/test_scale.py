@@ -23,7 +23,7 @@ def test_pooling_in_blocks_equals_the_sums(spark, monkeypatch):
     for i, t in docs:
         words.setdefault(i, []).extend(t or [])
     df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
-    table = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "word string, vector array<float>")
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()] + [("w20", None)], "word string, vector array<float>")
     got = EM.mean_pool(df, table, dim=4).collect()
     assert len(got) == len(docs)
     for r in got:
