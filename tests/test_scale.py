@@ -79,3 +79,41 @@ def test_a_query_visits_few_cells(spark, monkeypatch):
     d[np.arange(20), np.arange(20)] = np.inf
     assert got == {(i, int(j)) for i in range(20) for j in np.argsort(d[i])[:2]}
     assert seen == [16]
+
+
+def test_subword_vectors_in_blocks_equal_the_means(spark, monkeypatch):
+    """Several blocks, repeated n-grams and words, a word and an n-gram without a vector; no vector goes along with a (word, n-gram) row."""
+    monkeypatch.setattr(EM, "GRAM_WORDS", 30)
+    monkeypatch.setattr(EM, "_mean_per_doc", None)
+    known = {"abab": [1.0, 2.0], "abcd": [3.0, 5.0], "xyz": [0.5, -1.0]}
+    words = [*known, "ababab", "abz", "qqq", "ababab"]
+
+    def grams(w):
+        return [f"<{w}>"[i:i + n] for n in (2, 3) for i in range(len(w) + 3 - n)]
+    table = {}
+    for w, v in known.items():
+        for g in set(grams(w)):
+            table.setdefault(g, []).append(v)
+    got = EM.subword_vectors(spark.createDataFrame([(w,) for w in words], "word string"),
+                             spark.createDataFrame(list(known.items()), "word string, vector array<float>"), 2, 3).collect()
+    assert sorted(r.word for r in got) == sorted(set(words))
+    for r in got:
+        hits = [np.mean(table[g], axis=0) for g in grams(r.word) if g in table]
+        want = known[r.word] if r.word in known else np.mean(hits, axis=0).tolist() if hits else None
+        assert r.vector == (want if want is None else pytest.approx(want)) and r.n_ngrams == (0 if r.word in known else len(hits))
+
+
+def test_sequences_are_written_in_blocks(spark, monkeypatch):
+    """Several blocks, words twice in the table or with a null vector, documents twice, without tokens or id; a position's vector is not shuffled."""
+    monkeypatch.setattr(EM, "SEQUENCE_DOCS", 2)
+    docs = [(1, ["a", "b", "a", "c"]), (2, []), (3, None), (2 ** 53 + 1, ["zz", "b"]), (4, ["a"]), (4, ["b"]), (None, ["b"])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    table = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("c", None), ("<pad>", [9.0, 9.0])], "word string, vector array<float>")
+    out = EM.sequence_embed(df, table, max_len=3, dim=2)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    a, b, p = [1.0, 2.0], [3.0, 4.0], [9.0, 9.0]
+    got = {r.doc_id: (r.sequence, r.mask) for r in out.collect()}
+    assert got == {1: ([a, b, a], [True] * 3), 2: ([p] * 3, [False] * 3), 3: ([p] * 3, [False] * 3), 2 ** 53 + 1: ([p, b, p], [True, True, False]),
+                   4: ([a, b, p, p, p, p], [True, True] + [False] * 4), None: ([b, p, p], [True, False, False])}
+    twice = {r.doc_id: r.sequence for r in EM.sequence_embed(df, table.union(table.where("word = 'b'")), max_len=3, dim=2).collect()}
+    assert twice[1] == [a, b, b, a] and twice[None] == [b, b, p, p]
