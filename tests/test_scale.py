@@ -117,3 +117,21 @@ def test_sequences_are_written_in_blocks(spark, monkeypatch):
                    4: ([a, b, p, p, p, p], [True, True] + [False] * 4), None: ([b, p, p], [True, False, False])}
     twice = {r.doc_id: r.sequence for r in EM.sequence_embed(df, table.union(table.where("word = 'b'")), max_len=3, dim=2).collect()}
     assert twice[1] == [a, b, b, a] and twice[None] == [b, b, p, p]
+
+
+def test_a_query_is_shipped_once_per_block(spark, monkeypatch):
+    """Several blocks, groups and tiles, a hot bin of copies, vectors that are not finite: the same neighbours as by all pairs."""
+    for name, value in {"LEAST_ROWS": 8, "BLOCK_ROWS": 40, "TILE": (16, 8)}.items():
+        monkeypatch.setattr(KN, name, value)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(150, 3)), 1)
+    x[:60] = x[0]  # one bin of copies: ties by id
+    x[149] = np.nan
+    q = spark.createDataFrame([(i, v.tolist(), [1, 2, 3, 4], float("inf")) for i, v in enumerate(x)], "_lid long, _lvec array<float>, _bins array<long>, _w double")
+    r = spark.createDataFrame([(i, v.tolist(), 1 if i < 60 else 2 + i % 3) for i, v in enumerate(x)], "_rid long, _rvec array<float>, _bin long")
+    out = KN._best(KN._block_pairs(q, r, 4, True), 4).collect()
+    y = x.astype(np.float32).astype(float)
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    d[np.arange(150), np.arange(150)] = np.inf
+    want = {(i, int(j)) for i in range(149) for j in sorted(range(149), key=lambda j: (d[i, j], j))[:4]}
+    assert {(p["_lid"], p["_rid"]) for p in out} == want
