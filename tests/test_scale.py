@@ -135,3 +135,12 @@ def test_a_query_is_shipped_once_per_block(spark, monkeypatch):
     d[np.arange(150), np.arange(150)] = np.inf
     want = {(i, int(j)) for i in range(149) for j in sorted(range(149), key=lambda j: (d[i, j], j))[:4]}
     assert {(p["_lid"], p["_rid"]) for p in out} == want
+
+
+def test_a_row_of_several_buckets_counts_once(spark):
+    """Buckets of one block hold the same rows: the k best are different ones."""
+    x = np.arange(30, dtype=float)
+    q = spark.createDataFrame([(0, [0.0], [5, 6, 7], float("inf"))], "_lid long, _lvec array<double>, _bins array<long>, _w double")
+    r = spark.createDataFrame([(i, [float(v)], b) for b in (5, 6, 7) for i, v in enumerate(x)], "_rid long, _rvec array<double>, _bin long")
+    out = KN._block_pairs(q, r, 4, True, sieve=lambda a, b: np.ones((len(a), len(b)), bool)).collect()
+    assert sorted((p["_rid"], p["dist"]) for p in out) == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]
