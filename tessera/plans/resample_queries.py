@@ -127,19 +127,19 @@ def condensed_nn(spark, sf_dir):
 
 
 @query("balance_classes", sql=f"""WITH {_E_SQL},
-sub AS (SELECT * FROM e WHERE label IN (0)),
+sub AS (SELECT * FROM e WHERE label IN (0, 1)),
 {ncr_ctes('sub', 'c_')},
 rus AS (SELECT vec_id, label, v FROM (SELECT *, row_number() OVER (PARTITION BY label
           ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS rk FROM c_kept) WHERE label <> 0 OR rk < 150),
-merged AS (SELECT vec_id, label, v FROM rus UNION ALL SELECT vec_id, label, v FROM e WHERE label NOT IN (0)),
+merged AS (SELECT vec_id, label, v FROM rus UNION ALL SELECT vec_id, label, v FROM e WHERE label NOT IN (0, 1)),
 {smote_ctes('merged', 's_')},
 allr AS (SELECT label, vec_id, CAST(NULL AS BIGINT) AS syn_index, CAST(NULL AS BIGINT) AS source_id, v AS x FROM merged
          UNION ALL SELECT label, NULL, syn_index, source_id, x FROM s_syn)
 SELECT label, vec_id, syn_index, source_id, round(list_sum(x), {DIGITS}) AS vsum, round(x[1], {DIGITS}) AS v0 FROM allr""")
 def balance_classes(spark, sf_dir):
-    """Class 0 cleaned and under-sampled to 150, classes 1-3 untouched, then SMOTE; all rows."""
+    """Classes 0 and 1 cleaned against each other, class 0 under-sampled to 150, classes 2 and 3 untouched, then SMOTE; all rows."""
     df = imbalanced(spark, sf_dir).select("vec_id", "label", "embedding")
-    out = RS.balance_classes(df, "label", "vec_id", "embedding", [0], {0: 150}, "smote", SEED)
+    out = RS.balance_classes(df, "label", "vec_id", "embedding", [0, 1], {0: 150}, "smote", SEED)
     return out.select("label", "vec_id", "syn_index", "source_id", *_vector_facts())
 
 

@@ -10,6 +10,7 @@ from tessera.operators import knn as KN
 from tessera.operators import models as MD
 from tessera.plans import embed_queries as E
 from tessera.plans import model_queries as Q
+from tessera.plans import resample_queries as RQ
 
 
 def test_pooling_in_blocks_equals_the_sums(spark, monkeypatch):
@@ -144,3 +145,16 @@ def test_a_row_of_several_buckets_counts_once(spark):
     r = spark.createDataFrame([(i, [float(v)], b) for b in (5, 6, 7) for i, v in enumerate(x)], "_rid long, _rvec array<double>, _bin long")
     out = KN._block_pairs(q, r, 4, True, sieve=lambda a, b: np.ones((len(a), len(b)), bool)).collect()
     assert sorted((p["_rid"], p["dist"]) for p in out) == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]
+
+
+def test_balancing_cleans_two_classes_against_each_other(spark, monkeypatch):
+    """Rows of class 0 amid class 1 go before the under-sampling; with one class alone nothing could go."""
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, rng.normal(size=2) * 0.1) for i in range(20)] + [(20 + i, 1, 5 + rng.normal(size=2) * 0.1) for i in range(12)]
+    rows += [(40, 0, np.array([5.0, 5.0]))] + [(50 + i, 2 + i % 2, np.array([-5.0, 5.0 * (i % 2)]) + rng.normal(size=2) * 0.1) for i in range(12)]
+    df = spark.createDataFrame([(i, y, v.tolist()) for i, y, v in rows], "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(RQ, "imbalanced", lambda *a: df)
+    out = RQ.balance_classes(spark, "").collect()
+    kept = {r.vec_id for r in out if r.vec_id is not None}
+    assert kept == {i for i, _, _ in rows} - {40}
+    assert {y: sum(r.label == y for r in out) for y in range(4)} == dict.fromkeys(range(4), 20)
