@@ -9,6 +9,9 @@ has 33 values and a part is shared by chance by one in 2**32 fingerprints.
 Equal fingerprints are one node (exact copies never pair up), so a node has at most
 sum(C(64, k), k <= bits) links. Components come from alternating large-star and small-star
 rounds over the link table, each round written to the shared folder.
+
+Joins of data-sized tables are merge joins: before an explode a table's files may be small enough
+for Spark to broadcast what comes out of it, through the driver.
 """
 
 from __future__ import annotations
@@ -75,7 +78,7 @@ def links(nodes: DataFrame, bits: int = 3, segments: int = 2) -> DataFrame:
     probes = probes.select(F.col("id").alias("u"), F.col("fp").alias("fp_u"), "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     stored = rows.select(F.col("id").alias("v"), F.col("fp").alias("fp_v"), "part", "value")
     near = F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= bits
-    return probes.join(stored, ["part", "value"]).filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    return probes.join(stored.hint("merge"), ["part", "value"]).filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -90,7 +93,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     def star(edges, large):
         both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.join(materialize(least, "star-least"), "u")
+        moved = both.join(materialize(least, "star-least").hint("merge"), "u")
         if large:
             moved = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -125,9 +128,9 @@ def simhash_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     pairs = materialize(links(nodes, bits), "simhash-links")
     label = components(pairs)
     degree = pairs.select("u").union(pairs.select("v")).groupBy("u").agg(F.count("*").alias("n_links")).withColumnRenamed("u", "id")
-    named = (nodes.join(label.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
+    named = (nodes.join(label.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(degree.hint("merge"), "id", "left")
              .select("fp", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    out = fps.join(materialize(named, "simhash-named"), "fp", "left")
+    out = fps.join(materialize(named, "simhash-named").hint("merge"), "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 

@@ -5,6 +5,8 @@ import pyspark.ml.feature
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash as SH
+from tessera.llm.common import materialize
 from tessera.operators import embed as EM
 from tessera.operators import knn as KN
 from tessera.operators import models as MD
@@ -158,3 +160,21 @@ def test_balancing_cleans_two_classes_against_each_other(spark, monkeypatch):
     kept = {r.vec_id for r in out if r.vec_id is not None}
     assert kept == {i for i, _, _ in rows} - {40}
     assert {y: sum(r.label == y for r in out) for y in range(4)} == dict.fromkeys(range(4), 20)
+
+
+def test_near_copies_broadcast_no_exploded_table(spark):
+    """The fingerprints' file is far below the threshold, what is exploded from it need not be."""
+    rng = np.random.default_rng(4)
+    fps = [int(x) for x in rng.integers(-2 ** 62, 2 ** 62, 300)]
+    rows = [(i, fp) for i, fp in enumerate(fps)] + [(300 + i, fps[i] ^ (1 << i) ^ (1 << 40)) for i in range(30)] + [(400, fps[0] ^ 15)]
+    nodes = materialize(spark.createDataFrame(rows, "id long, fp long"), "nodes")
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        assert spark.conf.get(key) in ("-1", "10MB")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        out = SH.links(nodes)
+        got = {(r.u, r.v) for r in out.collect()}
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert got == {(i, 300 + i) for i in range(30)}  # 400 differs in four bits
