@@ -49,3 +49,15 @@ def test_direction_is_that_of_the_two_loops():
         d += (u - b @ d / (a @ b)) * a
     base = np.vstack([s, y, g])
     assert np.allclose(WS._direction(base @ base.T, 3) @ base, -d)
+
+
+def test_wide_rows_are_fitted_class_by_class(spark, monkeypatch):
+    """Below WIDE columns MLlib fits as many classes at a time as the driver holds; the blocks of columns are for wider rows."""
+    seen = []
+    whole = MD.OneVsRest
+    monkeypatch.setattr(MD, "OneVsRest", lambda **k: seen.append(k["parallelism"]) or whole(**k))
+    for columns in (1000, 200_000, 600_000):
+        df = spark.createDataFrame([(Vectors.sparse(columns, {i % 3: 1.0, columns - 1: 0.5}), i % 3) for i in range(12)], ["features", "label"])
+        model = MD.train_linear_svm(df, max_iter=3)
+        assert [r.prediction for r in model.transform(df).collect()] == [r.label for r in df.collect()]
+    assert seen == [4, 2, 1]
