@@ -81,3 +81,35 @@ def test_pca_query_keeps_fifty_components(spark, planted, monkeypatch):
     monkeypatch.setattr(Q, "_split", lambda *a: planted)
     rows = Q.pca(spark, "").collect()
     assert len(rows) == 80 and {r.k for r in rows} == {50} and 0.9 < rows[0].explained < 1
+
+
+def test_naive_bayes_equals_its_sql(spark, tmp_path):
+    """The whole result: predictions, probabilities and facts, on a table of its own."""
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.plans import catalog
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 10, (rng.normal(size=5) + i % 10 / 4).tolist()) for i in range(150)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = catalog.QUERIES["train_gaussian_nb"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    cur = con.execute(catalog.ORACLES["train_gaussian_nb"])
+    names = [c[0] for c in cur.description]
+    want = {r["vec_id"]: r for r in (dict(zip(names, x)) for x in cur.fetchall())}
+    assert out.columns == names and len(want) == 30
+    for r in out.collect():
+        one = want.pop(r.vec_id)
+        assert r.probability == pytest.approx(one.pop("probability"), abs=1e-9)
+        assert {k: r[k] for k in one} == one
+    assert not want
+
+
+@pytest.mark.parametrize("name", ["train_boosted", "train_mlp"])
+def test_fits_return_the_facts_of_the_first_sql_beside_their_predictions(spark, planted, monkeypatch, name):
+    monkeypatch.setattr(Q, "_split", lambda *a: planted)
+    boost, mlp = MD.train_boosted, MD.train_mlp
+    monkeypatch.setattr(MD, "train_boosted", lambda df, **k: boost(df, max_iter=3, max_depth=3, **k))
+    monkeypatch.setattr(MD, "train_mlp", lambda df, layers, **k: mlp(df, layers, max_iter=20, **k))
+    out = getattr(Q, name)(spark, "").cache()
+    assert held_out(out) > BOUND
+    assert {(r.known_class, r.proper_probability, r.above_chance) for r in out.collect()} == {(True, True, True)}
